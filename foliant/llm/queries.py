@@ -1,6 +1,9 @@
 """The operators' queries with production parameters, and DuckDB SQL where it can express them."""
 
 from foliant.llm.op4_quality_rules import op4_quality_rules
+from foliant.llm.op5_toxicity import op5_toxicity
+from foliant.llm.op7_language_id import op7_language_id
+from foliant.llm.op10_quality_classifier import op10_quality_classifier
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_toxicity, op7_language_id, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
