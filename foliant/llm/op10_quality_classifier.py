@@ -3,7 +3,7 @@
 Tokens are runs of letters, of digits or of one kind of symbol, hashed to `1 << BITS` rows. Every row has a fixed sparse
 ternary index vector; its word vector is the sum of the index vectors around all its occurrences in the whole corpus.
 The sums of the tasks have a fixed size and are added up in rounds of bounded fan-in. A document is the mean and the
-spread of its tokens' vectors; a two-layer network in numpy is trained on a bounded sample of labelled rows, and a
+spread of its tokens' vectors, and how far neighbouring tokens' vectors agree; a two-layer network in numpy is trained on a bounded sample of labelled rows, and a
 temperature fitted on rows kept out of training calibrates it.
 
 Defined cases: a null or empty text has the zero vector and still gets a score; labels that are null are not learned; several
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import each_batch, fold, joined, list_array, lower_ascii, span_hashes, stash, table, texts_as_bytes
 
 BITS, WIDTH, WINDOW, FAN_IN = 12, 32, 2, 64
+FEATURES = 4 * WIDTH
 _KIND = np.full(256, 3, np.uint8)  # punctuation and symbols
 _KIND[[32, 9, 10, 11, 12, 13]] = 0
 _KIND[48:58] = 2
@@ -96,16 +97,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the vectors of each text's tokens."""
+    """Mean and spread of the vectors of each text's tokens, and the mean product with the next and the second next token's."""
     rows, doc = tokens(texts)
-    out = np.zeros((len(texts), 2 * WIDTH), np.float32)
+    out = np.zeros((len(texts), FEATURES), np.float32)
     if len(rows):
         at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
         n = np.diff(np.concatenate((at, [len(doc)])))[:, None]
         v = vectors[rows]
         mean = np.add.reduceat(v, at, axis=0) / n
         out[doc[at], :WIDTH] = mean
-        out[doc[at], WIDTH:] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0) / n - mean * mean, 0))
+        out[doc[at], WIDTH : 2 * WIDTH] = np.sqrt(np.maximum(np.add.reduceat(v * v, at, axis=0) / n - mean * mean, 0))
+        for gap in (1, 2):
+            near = np.zeros_like(v)
+            near[:-gap] = v[:-gap] * v[gap:] * (doc[:-gap] == doc[gap:])[:, None]
+            out[doc[at], (gap + 1) * WIDTH : (gap + 2) * WIDTH] = np.add.reduceat(near, at, axis=0) / n
     return out
 
 
@@ -160,7 +165,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000)
 
     def features(cols: dict) -> dict:
         x = pooled(texts_as_bytes(cols["text"]), vectors)
-        return {"doc_id": cols["doc_id"], "features": list_array(x.ravel(), np.full(len(x), 2 * WIDTH), pa.float32())}
+        return {"doc_id": cols["doc_id"], "features": list_array(x.ravel(), np.full(len(x), FEATURES), pa.float32())}
 
     known = stash(docs.mapInArrow(each_batch(features, arrow, 1000), "doc_id long, features array<float>"))
     truth = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -173,7 +178,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, max_train: int = 6000)
     default = float(y.mean()) if len(y) else 0.5
 
     def score(cols: dict) -> dict:
-        flat = cols["features"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 2 * WIDTH)
+        flat = cols["features"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, FEATURES)
         return {"doc_id": cols["doc_id"], "score": network.score(flat) if network else np.full(len(flat), default)}
 
     return known.mapInArrow(each_batch(score, pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])), "doc_id long, score double")

@@ -52,17 +52,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on bucket sets and a few dense inputs, by full-batch Adam with an L2 penalty."""
+    """Logistic regression on bucket sets and a few dense inputs, by full-batch Adam with an L2 penalty.
 
-    def __init__(self, flat, sizes, dense, y, *, steps: int = 250, least: int = 3):
+    Only buckets in at least `least` rows whose share among the positive rows lies `least_z` deviations off get a weight.
+    """
+
+    def __init__(self, flat, sizes, dense, y, *, steps: int = 250, least: int = 5, least_z: float = 4.0):
         self.words, self.dense, self.base = np.zeros(1 << BITS), np.zeros(dense.shape[1]), 0.0
         rate = y.mean() if len(y) else 0.0
         self.base = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
         if not 0 < rate < 1:
             return
-        often = np.bincount(flat, minlength=1 << BITS) >= least
-        kept = often[flat]
-        doc = np.repeat(np.arange(len(sizes)), sizes)[kept]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        share = np.bincount(flat, minlength=1 << BITS) / len(y)
+        shown = np.bincount(flat, weights=y[doc], minlength=1 << BITS)
+        spread = np.sqrt(y.sum() * share * (1 - share)) + 1e-9
+        telling = (share * len(y) >= least) & (np.abs(shown - y.sum() * share) >= least_z * spread)
+        kept = telling[flat]
+        doc = doc[kept]
         used, column = np.unique(flat[kept], return_inverse=True)
         weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)) ** 0.5
         params = [np.zeros(len(used)), np.zeros(dense.shape[1]), np.array([self.base])]
@@ -70,7 +77,7 @@ class Linear:
         for t in range(1, steps + 1):
             z = np.bincount(doc, weights=params[0][column], minlength=len(y)) + dense @ params[1] + params[2]
             g = weight * (sigmoid(z) - y) / len(y)
-            grads = [np.bincount(column, weights=g[doc], minlength=len(used)) + 2e-5 * params[0], dense.T @ g, np.array([g.sum()])]
+            grads = [np.bincount(column, weights=g[doc], minlength=len(used)) + 1e-4 * params[0], dense.T @ g, np.array([g.sum()])]
             for k, q in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * q
                 v[k] = 0.999 * v[k] + 0.001 * q * q

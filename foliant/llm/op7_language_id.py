@@ -63,12 +63,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list, *, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
+def train(rows: list, *, epochs: int = 10, rate: float = 0.3, seed: int = 7) -> Model:
     """rows: (lang, buckets, share of each bucket), sorted so that reruns agree."""
     langs = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
-    embed = rng.normal(0, 0.1, (1 << BITS, WIDTH))
-    weights, bias = rng.normal(0, 0.1, (WIDTH, len(langs))), np.zeros(len(langs))
+    embed, weights, bias = rng.normal(0, 0.5, (1 << BITS, WIDTH)), np.zeros((WIDTH, len(langs))), np.zeros(len(langs))
+    seen, seen_weights = np.full(1 << BITS, 1e-8), np.full(WIDTH, 1e-8)  # sums of squared gradients, for the step of each row
     data = [(langs.index(lang), np.asarray(b), np.asarray(s, np.float64)) for lang, b, s in rows]
     kept_out = {i for i in range(len(data)) if i % 5 == 4} if len(data) >= 10 * len(langs) else set()
     order = np.array([i for i in range(len(data)) if i not in kept_out])
@@ -80,9 +80,11 @@ def train(rows: list, *, epochs: int = 12, rate: float = 0.5, seed: int = 7) ->
             p = softmax((hidden @ weights + bias)[None])[0]
             p[y] -= 1
             back = weights @ p
-            weights -= step * np.outer(hidden, p)
+            seen_weights += hidden * hidden * (p @ p)
+            weights -= step * np.outer(hidden / np.sqrt(seen_weights), p)
             bias -= 0.1 * step * p
-            embed[buckets] -= (20 * step * share)[:, None] * back
+            seen[buckets] += share * share * (back @ back)
+            embed[buckets] -= (step * share / np.sqrt(seen[buckets]))[:, None] * back
     scores = (embed @ weights).astype(np.float32)
     held = [data[i] for i in sorted(kept_out) or range(len(data))]
     raw = np.array([s @ scores[b] + bias for _, b, s in held])
@@ -93,7 +95,7 @@ def train(rows: list, *, epochs: int = 12, rate: float = 0.5, seed: int = 7) ->
     sure = softmax(raw / temperature).max(axis=1)
     right = softmax(raw / temperature).argmax(axis=1) == truth
     low = float(np.quantile(sure[right], 0.001)) if right.any() else 0.0
-    return Model(langs, scores, bias, temperature, min(low, 1.2 / max(len(langs), 1), 0.6))
+    return Model(langs, scores, bias, temperature, min(low, 0.5))
 
 
 def fit(labelled: DataFrame, per_lang: int) -> Model | None:
