@@ -1,6 +1,6 @@
 """Toxicity: a chain of linear classifiers, each fed the probabilities of the categories before it.
 
-A document is the set of its hashed lower-case words. The categories are learned in the given order; the linear model of
+A document is the set of its hashed lower-case words and their beginnings. The categories are learned in the given order; the linear model of
 a category sees the words and the earlier categories' probabilities. In training these are out-of-fold predictions, so a
 later model learns from probabilities as uncertain as those it gets for new documents. Training uses a bounded sample of
 labelled rows; every document is scored.
@@ -13,6 +13,7 @@ scored one by one; other columns are ignored; an empty table gives an empty resu
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,28 @@ INSULT = ["idiot", "moron", "clown", "loser", "stupid"]
 CONTEMPT = ["pathetic", "worthless", "disgusting", "scum", "trash"]
 
 
+PREFIXES = (3, 4, 5, 6)
+_SEEN: dict[str, tuple[int, ...]] = {}
+
+
+def buckets(word: str) -> tuple[int, ...]:
+    """The bucket of the word and of its beginnings, which catch inflected forms never seen in training."""
+    parts = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    return tuple(crc32(p.encode("utf-8", "replace")) & ((1 << BITS) - 1) for p in parts)
+
+
 def word_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct buckets of each text, flat, and how many each text has."""
-    from zlib import crc32
-
     flat, sizes = [], []
     for t in texts:
-        found = {crc32(w.encode("utf-8", "replace")) & ((1 << BITS) - 1) for w in set(_WORD.findall((t or "").lower()))}
+        found: set[int] = set()
+        for w in set(_WORD.findall((t or "").lower())):
+            known = _SEEN.get(w)
+            if known is None:
+                if len(_SEEN) >= 300_000:
+                    _SEEN.clear()
+                known = _SEEN[w] = buckets(w)
+            found.update(known)
         flat.extend(sorted(found))
         sizes.append(len(found))
     return np.array(flat, np.int64), np.array(sizes, np.int64)
