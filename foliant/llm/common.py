@@ -48,13 +48,13 @@ def discard(*frames: DataFrame) -> None:
                 fs.delete(folder, True)
 
 
-def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int = 1 << 20) -> Callable:
-    """A mapInArrow function from a function of columns; batches are cut to `rows` rows and about 8 MB of data."""
+def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int = 1 << 20, size: float = 2e6) -> Callable:
+    """A mapInArrow function from a function of columns; batches are cut to `rows` rows and about `size` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            step = max(1, min(rows, n, int(n * 8e6 / max(batch.nbytes, 1)) + 1))
+            step = max(1, min(rows, n, int(n * size / max(batch.nbytes, 1)) + 1))
             for at in range(0, n, step):
                 part = batch.slice(at, step)
                 out = fn({name: part.column(i) for i, name in enumerate(part.schema.names)})
@@ -107,13 +107,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, equal for equal bytes wherever they lie."""
-    up, down = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * down[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, equal for equal bytes wherever they lie.
+
+    The spans come in order without overlap; about `block` bytes are worked on at a time.
+    """
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, side="right")))
+        part, at = data[starts[i] : ends[j - 1]], starts[i]
+        up, down = _powers(len(part) + 1)
+        with np.errstate(over="ignore"):
+            prefix = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=prefix[1:])
+            out[i:j] = mix((prefix[ends[i:j] - at] - prefix[starts[i:j] - at]) * down[starts[i:j] - at])
+        i = j
+    return out
 
 
 _SPACE = np.zeros(256, bool)
@@ -138,3 +147,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def fold(df: DataFrame, modulus: int, held: int, key: str = "doc_id") -> DataFrame:
     """Adds held_out: crc32(key as text) modulo `modulus` is `held`; false for a null key."""
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == held, F.lit(False)))
+
+
+#: A side of at most so many rows of a few numbers each is broadcast after counting it.
+BROADCAST_ROWS = 1 << 20
+
+
+def join_counted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Joins with other, broadcast if a count shows that it is small; its rows hold a few numbers each."""
+    small = other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(other) if small else other, on, how)
