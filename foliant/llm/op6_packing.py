@@ -46,6 +46,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
 class Encoder:
     """Token ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
 
@@ -53,7 +56,7 @@ class Encoder:
     place, so the ids of each part are looked up, and the tokenizer only runs over parts not seen lately.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,7 +80,12 @@ class Encoder:
 
     def part(self, text: str) -> bytes:
         plain = _PLAIN.fullmatch(text)
-        if plain is None or text.find("<|") >= 0:
+        if plain is None:
+            lines = text.split("\n")  # single line ends between plain parts are units of their own
+            if len(lines) > 1 and all(map(_PLAIN.fullmatch, lines)):
+                return self.unit("\n").join(map(self.part, lines))
+            return self.whole(text)
+        if "<|" in text:
             return self.whole(text)
         return self.unit(plain[1]) + (self.unit(plain[2]) if plain[2] else b"")
 
@@ -98,6 +106,13 @@ class Encoder:
             out.append(self.part(first) + b"".join(got))
         return out
 
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The encoder of this Python worker, which keeps what earlier tasks looked up."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        return _ENCODERS[path]
+
     def uneven(self, text: str) -> list[bytes]:
         """A part that begins or ends with white space stays with its neighbours."""
         first, *parts = text.split(" ")
@@ -165,7 +180,7 @@ def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def pieces(batches):
-        encoder, end = Encoder(tokenizer), np.zeros(1, "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer), np.zeros(1, "<u4").tobytes()
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * 8e6 / max(batch.nbytes, 1)) + 1))
             for first in range(0, batch.num_rows, step):
