@@ -1,11 +1,71 @@
-"""The corpus pipeline: stages that each apply one training-data operator to all documents the stage before kept."""
+"""The corpus pipeline: each stage applies one training-data operator to all documents that the stage before kept.
 
-STAGES = []
+A document without an id passes the near-duplicate stage, as no kept id can name it; of several rows with one id one
+stays there. Extra columns of the input are carried to the last stage, which returns pieces of documents. An empty table gives an
+empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliant.llm.common import fold, join_counted, stash
+from foliant.llm.op1_mixing import mix
+from foliant.llm.op6_packing import karmarkar_karp_packing
+from foliant.llm.op7_language_id import language_id
+from foliant.llm.op8_ngram_jaccard import jaccard_components
+from foliant.llm.op9_line_dedup import line_dedup
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the rejected go."""
+    columns = docs.columns
+    labelled = fold(docs.select("doc_id", "text", "lang"), 5, 0).filter(~F.col("held_out"))
+    return language_id(docs, labelled).filter(~F.col("rejected")).select(*columns)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that recur across documents."""
+    return line_dedup(docs).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group linked by shingle similarity."""
+    groups = jaccard_components(docs)
+    kept = stash(groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    found = join_counted(docs, kept.select("doc_id"), "doc_id").select(*docs.columns)
+    if not kept.filter("n > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id"])
+    return found.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, in the order of its shards."""
+    return mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    import public_tokenizers
+
+    return karmarkar_karp_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_recurring_lines),
+    ("ngram_jaccard", keep_one_of_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

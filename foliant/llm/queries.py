@@ -1,5 +1,6 @@
 """The operators' queries with production parameters, and DuckDB SQL where it can express them."""
 
+from foliant.llm.op1_mixing import op1_mixing
 from foliant.llm.op2_embedding_dedup import op2_embedding_dedup
 from foliant.llm.op3_html_extraction import op3_html_extraction
 from foliant.llm.op4_quality_rules import op4_quality_rules
@@ -10,5 +11,5 @@ from foliant.llm.op8_ngram_jaccard import op8_ngram_jaccard
 from foliant.llm.op9_line_dedup import op9_line_dedup
 from foliant.llm.op10_quality_classifier import op10_quality_classifier
 
-QUERIES = {f.__name__: f for f in (op2_embedding_dedup, op3_html_extraction, op4_quality_rules, op5_toxicity, op6_packing, op7_language_id, op8_ngram_jaccard, op9_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_html_extraction, op4_quality_rules, op5_toxicity, op6_packing, op7_language_id, op8_ngram_jaccard, op9_line_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
