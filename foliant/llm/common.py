@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -157,3 +158,9 @@ def join_counted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -
     """Joins with other, broadcast if a count shows that it is small; its rows hold a few numbers each."""
     small = other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(other) if small else other, on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark._jvm.System.gc()
