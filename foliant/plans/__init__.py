@@ -1 +1,3 @@
-"""Foliant: plans."""
+"""Queries that bind the operators to tables."""
+
+from foliant.plans import search  # noqa: F401
