@@ -1,3 +1,3 @@
 """Queries that bind the operators to tables."""
 
-from foliant.plans import search  # noqa: F401
+from foliant.plans import records, search  # noqa: F401
