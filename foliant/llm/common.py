@@ -49,7 +49,7 @@ def discard(*frames: DataFrame) -> None:
                 fs.delete(folder, True)
 
 
-def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int = 1 << 20, size: float = 2e6) -> Callable:
+def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int = 1 << 20, size: float = 1e6) -> Callable:
     """A mapInArrow function from a function of columns; batches are cut to `rows` rows and about `size` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +61,7 @@ def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int =
                 out = fn({name: part.column(i) for i, name in enumerate(part.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else out[f.name].cast(f.type) for f in schema], schema=schema)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return run
 
