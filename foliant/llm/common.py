@@ -49,7 +49,7 @@ def discard(*frames: DataFrame) -> None:
                 fs.delete(folder, True)
 
 
-def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int = 1 << 20, size: float = 1e6) -> Callable:
+def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int = 1 << 20, size: float = 5e5) -> Callable:
     """A mapInArrow function from a function of columns; batches are cut to `rows` rows and about `size` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each span, equal for equal bytes wherever they lie.
 
     The spans come in order without overlap; about `block` bytes are worked on at a time.

@@ -182,7 +182,7 @@ def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1
     def pieces(batches):
         encoder, end = Encoder.of(tokenizer), np.zeros(1, "<u4").tobytes()
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 8e6 / max(batch.nbytes, 1)) + 1))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 1e6 / max(batch.nbytes, 1)) + 1))
             for first in range(0, batch.num_rows, step):
                 part, rows = batch.slice(first, step), []
                 texts = [t or "" for t in part.column(1).to_pylist()]
@@ -191,6 +191,7 @@ def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1
                     for at, n in cuts(len(got) // 4, capacity):
                         rows.append((doc_id, at, n, crc32(got[4 * at : 4 * (at + n)]), len(got) // 4))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=arrow_schema(PIECE))
+        pa.default_memory_pool().release_unused()
 
     cut = stash(docs.mapInArrow(pieces, PIECE))
     groups = max(1, -(-cut.count() // group))

@@ -134,7 +134,7 @@ def language_id(docs: DataFrame, labelled: DataFrame, *, per_lang: int = 400) ->
 
     def predict(batches):
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 1e6 / max(batch.nbytes, 1)) + 1))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 5e5 / max(batch.nbytes, 1)) + 1))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 texts = part.column(part.schema.get_field_index("text")).to_pylist()
@@ -147,6 +147,7 @@ def language_id(docs: DataFrame, labelled: DataFrame, *, per_lang: int = 400) ->
                 rejected = ~read | (score < (model.reject_below if model else 1.0))
                 new = [pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *arrow.names])
+        pa.default_memory_pool().release_unused()
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return docs.select(*columns).mapInArrow(predict, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]))

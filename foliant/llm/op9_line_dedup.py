@@ -155,7 +155,7 @@ def line_dedup(docs: DataFrame, *, min_texts: int = 5, similarity: float = 0.7,
 
     def drop(batches):
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 2e6 / max(batch.nbytes, 1)) + 1))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 5e5 / max(batch.nbytes, 1)) + 1))
             for first in range(0, batch.num_rows, step):
                 part = batch.slice(first, step)
                 at = part.schema.get_field_index("text")
@@ -181,6 +181,7 @@ def line_dedup(docs: DataFrame, *, min_texts: int = 5, similarity: float = 0.7,
                 count = np.bincount(got.text, minlength=len(old)).astype(np.int64)
                 dropped = np.bincount(got.text[hit], minlength=len(old)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(count), pa.array(dropped)], names=[*columns, "n_lines", "n_dropped"])
+        pa.default_memory_pool().release_unused()
 
     return full.mapInArrow(drop, ddl)
 
