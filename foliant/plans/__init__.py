@@ -1,3 +1,3 @@
 """Queries that bind the operators to tables."""
 
-from foliant.plans import records, search, texts  # noqa: F401
+from foliant.plans import assembly, records, search, texts  # noqa: F401
