@@ -231,7 +231,8 @@ def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, mo
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     cutoff: parts in an inverted list above which its shingle moves to the end of the order. most_long: bound of the list
-    of such shingles that tasks get, 8 bytes each; those beyond it keep their place.
+    of such shingles that tasks get, at least 1, 8 bytes each; those beyond it keep their place in the order, and the sets that first dealt
+    one out deal anew all the same.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
@@ -287,19 +288,20 @@ def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, mo
     lows = with_part(real.select("mark", "n_shingles", "low"))
     total = real.agg(F.sum(F.col("n_shingles") * (1 - PERCENT / 100) + 1)).first()[0] or 0
     buckets = max(16, int(total / 4e5) + 1)
+    lows = lows.withColumn("anew", F.lit(False))
     long_ones, current = np.zeros(0, np.int64), lows.withColumn("whole", F.lit(False))
-    columns = ["part", "n_shingles", "low", "whole"]
+    columns = ["part", "n_shingles", "low", "whole", "anew"]
 
     def moved(late) -> Callable:
-        """(part, other shingles, long ones, size) of the sets that had a long one among those they first dealt out."""
+        """(part, other shingles, long ones, size) of the sets that had a long one, listed or beyond the bound, among those they first dealt out."""
 
         def run(batches):
             demoted = late.value
             for batch in batches:
-                for part, n, low, whole in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for part, n, low, whole, anew in zip(*(batch.column(i).to_pylist() for i in range(5))):
                     s, p = np.frombuffer(low, np.int64), dealt(n)
                     out = among(s, demoted)
-                    if out[:p].any():
+                    if anew or out[:p].any():
                         yield part, s[~out], s[out] if whole else s[:0], n
 
         return run
@@ -312,6 +314,16 @@ def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, mo
     found = stash(postings(current.select(*columns), first, buckets, cutoff))
     cand = found.filter("NOT long").select("a", "b")
     more = found.filter("long").select(F.col("a").alias("token"), F.col("b").alias("size"))
+    if more.limit(most_long + 1).count() > most_long:  # the list of tasks will not name all; the sets are found by a join
+
+        def tokens_of(batches):
+            for batch in batches:
+                sets = [np.frombuffer(low, np.int64)[: dealt(n)] & ~LOW for n, low in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate([*sets, np.zeros(0, np.int64)]), [len(x) for x in sets], pa.int64())], names=["mark", "tokens"])
+
+        dealt_out = real.select("mark", "n_shingles", "low").dropDuplicates(["mark"]).mapInArrow(tokens_of, "mark long, tokens array<long>").select("mark", F.explode("tokens").alias("token"))
+        again = stash(dealt_out.join(more.select("token"), "token", "left_semi").select("mark").distinct())
+        lows = join_counted(lows.drop("anew"), again.withColumn("anew", F.lit(True)), "mark", "left").withColumn("anew", F.coalesce("anew", F.lit(False)))
     for _ in range(rounds):
         release(spark)
         new = [r["token"] for r in more.orderBy(F.desc("size"), "token").limit(max(0, most_long - len(long_ones))).collect()]  # bounded
@@ -340,7 +352,7 @@ def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, mo
 
         short = stash(real.select("mark", "n_shingles", "low").mapInArrow(lacking, "mark long").distinct())
         full = stash(sets_of(short))
-        full = with_part(full.select("mark", F.expr("cast(octet_length(shingles) / 8 as long)").alias("n_shingles"), F.col("shingles").alias("low"))).withColumn("whole", F.lit(True))
+        full = with_part(full.select("mark", F.expr("cast(octet_length(shingles) / 8 as long)").alias("n_shingles"), F.col("shingles").alias("low"))).withColumn("anew", F.lit(True)).withColumn("whole", F.lit(True))
         current = join_counted(lows, short, "mark", "left_anti").withColumn("whole", F.lit(False)).unionByName(full)
         tokens = current.select(*columns).mapInArrow(others, "part long, tokens array<long>").select("part", F.explode("tokens").alias("token"))
         more = stash(tokens.distinct().groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > cutoff))

@@ -189,6 +189,18 @@ def test_jaccard_components_are_exact(spark, cutoff):
     assert got == brute_jaccard(rows)
 
 
+def test_jaccard_links_hold_beyond_the_list_of_long_shingles(spark):
+    random.seed(5)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for f in range(400):  # similarity 60 / 78: bands miss a few of the pairs, which only their lists of two parts can give
+        shared = [random.choice(words) for _ in range(64)]
+        rows += [(10 * f + i, " ".join([*shared, *(random.choice(words) for _ in range(9))])) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_ngram_jaccard.jaccard_components(docs, cutoff=1, most_long=2).collect()}
+    assert got == brute_jaccard(rows)
+
+
 def test_packing_keeps_every_id(spark):
     from tokenizers import Tokenizer
 
