@@ -4,9 +4,9 @@ A line is its words, those with a digit replaced by a wildcard. The tree has a f
 LEAD words; that path is the leaf. Leaves met in fewer than `min_texts` different texts hold no recurring template and are
 left out early. In a leaf, a line joins the most similar template if at least `similarity` of the words agree, and
 positions that differ become wildcards; otherwise it starts a template. Templates met in at least `min_texts` different
-texts are recurring and their lines are dropped. Equal texts count once, and a document with more than
-`max_dropped` of its words in such lines is a copy of other documents rather than a text with furniture: it stays whole, for
-the document-level operators to judge.
+texts are recurring and their lines are dropped, whatever share of a text they hold. Equal texts count once, and so do near copies:
+texts that share a minhash band key and whose sketches of the SKETCH lowest shingle hashes show a Jaccard similarity of at least 0.75
+are one class, so that copies of a text do not take each other's lines and the document-level operators can judge them.
 
 Defined cases: a null text stays null with no lines; blank lines are kept and counted as no line; a repeated line of one
 document counts once for its template and is dropped wherever it stands; repeated rows are cleaned alike; other columns pass through; an
@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import BROADCAST_ROWS, each_batch, join_counted, joined, list_array, mix, span_hashes, stash, table, texts_as_bytes, word_spans
+from foliant.llm.components import components
+from foliant.llm.op8_ngram_jaccard import PERCENT, packed, profile, shingles
 
 LEAD = 3
+SKETCH = 128
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 WILD = np.uint64(0x57494C44)
@@ -71,6 +74,39 @@ def templates(lines: np.ndarray, similarity: float) -> np.ndarray:
     return out
 
 
+def near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets are similar, by their SKETCH lowest hashes; exact where these are the whole sets."""
+    both = np.union1d(x, y)[:SKETCH]
+    shared = np.intersect1d(x, y, assume_unique=True)
+    return 100 * int(np.isin(both, shared, assume_unique=True).sum()) >= PERCENT * len(both)
+
+
+def copy_classes(docs: DataFrame) -> DataFrame:
+    """(key, class) of the texts that have near copies. docs: key, text."""
+    arrow = pa.schema([("key", pa.int64()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
+
+    def profiles(cols: dict) -> dict:
+        sets = shingles(texts_as_bytes(cols["text"]))
+        bands = [profile(s)[1] if len(s) else np.zeros(0, np.int64) for s in sets]
+        return {"key": cols["key"], "bands": list_array(np.concatenate(bands), [len(b) for b in bands], pa.int64()), "low": packed([s[:SKETCH] for s in sets])}
+
+    known = stash(docs.mapInArrow(each_batch(profiles, arrow), "key long, bands array<long>, low binary"))
+    keys = known.select("key", F.posexplode("bands").alias("band", "at")).distinct()
+    hubs = keys.groupBy("band", "at").agg(F.min("key").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    stars = stash(keys.join(hubs, ["band", "at"]).filter("key != hub").select("key", "hub").distinct())
+    wanted = stars.select("key").unionByName(stars.select(F.col("hub").alias("key"))).distinct()
+    low = stash(join_counted(known.select("key", "low"), wanted, "key", "left_semi").dropDuplicates(["key"]))
+    pairs = stars.join(low, "key").join(low.select(F.col("key").alias("hub"), F.col("low").alias("hub_low")), "hub").select("key", "hub", "low", "hub_low")
+
+    def confirmed(batches):
+        for batch in batches:
+            keep = [near(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    links = stash(pairs.mapInArrow(confirmed, "key long, hub long").select(F.col("key").alias("a"), F.col("hub").alias("b")))
+    return stash(components(links).select(F.col("id").alias("key"), F.col("component").alias("class")))
+
+
 def recurring_masks(docs: DataFrame, min_texts: int, similarity: float) -> DataFrame:
     """mask of every masked line that belongs to a recurring template. docs: key, text."""
     arrow = pa.schema([("key", pa.int64()), ("leaf", pa.int64()), ("mask", pa.int64())])
@@ -124,12 +160,13 @@ def recurring_masks(docs: DataFrame, min_texts: int, similarity: float) -> DataF
 
     grown = stash(full.select("leaf", "mask", "words").mapInArrow(grow, "mask long, template long"))
     live_lines = join_counted(lines, live, "leaf", "left_semi").select("mask", "key")
+    live_lines = join_counted(live_lines, copy_classes(docs), "key", "left").select("mask", F.coalesce("class", "key").alias("key"))
     texts = live_lines.join(grown, "mask").select("template", "key").distinct().groupBy("template").agg(F.count("*").alias("n"))
     often = texts.filter(F.col("n") >= min_texts).select("template")
     return stash(grown.join(often, "template", "left_semi").select("mask").distinct())
 
 
-def line_dedup(docs: DataFrame, *, min_texts: int = 5, similarity: float = 0.7, max_dropped: float = 0.6) -> DataFrame:
+def line_dedup(docs: DataFrame, *, min_texts: int = 5, similarity: float = 0.7) -> DataFrame:
     """docs with its text less the recurring lines, and n_lines, n_dropped (lines with a word) after its columns."""
     key = F.coalesce(F.xxhash64("text"), F.lit(0))
     texts = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), "text")
@@ -166,10 +203,6 @@ def line_dedup(docs: DataFrame, *, min_texts: int = 5, similarity: float = 0.7,
                 else:
                     masks = np.unique(np.array([m for r in part.column(part.num_columns - 1).to_pylist() for m in r or ()], np.int64))
                 hit = masks[np.minimum(np.searchsorted(masks, got.mask), len(masks) - 1)] == got.mask if len(masks) else np.zeros(len(got.mask), bool)
-                words = np.bincount(got.text, weights=got.size, minlength=len(old))
-                lost = np.bincount(got.text, weights=got.size * hit, minlength=len(old))
-                copy = lost > max_dropped * words
-                hit &= ~copy[got.text]
                 gone: dict[int, set[int]] = {}
                 for t, number in zip(got.text[hit].tolist(), got.number[hit].tolist()):
                     gone.setdefault(t, set()).add(number)

@@ -255,6 +255,23 @@ def test_recurring_lines_go(spark):
     assert got[103]["n_dropped"] == 0 and got[200]["text"] is None and got[201]["text"] == ""
 
 
+def test_recurring_lines_go_whatever_their_share(spark):
+    random.seed(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def line(n):
+        return " ".join("".join(random.choices(letters, k=8)) for _ in range(n))
+
+    box, copied = "\n".join(line(20) for _ in range(3)), "\n".join(line(15) for _ in range(6))
+    rows = [(i, f"{box}\n{line(30)}") for i in range(8)]  # two thirds of the words recur in texts that are no copies
+    rows += [(100 + i, f"{copied} {line(1)}") for i in range(8)]  # near copies, whose lines nothing else holds
+    got = {r["doc_id"]: r for r in op9_line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:8]:
+        assert got[i]["text"] == text.split("\n")[-1] and got[i]["n_dropped"] == 3
+    for i, text in rows[8:]:
+        assert got[i]["text"] == text and got[i]["n_dropped"] == 0
+
+
 def test_drain_templates_generalise():
     lines = np.array([[1, 2, 3, 4], [1, 2, 9, 4], [7, 8, 9, 9], [1, 2, 5, 4]])
     assert op9_line_dedup.templates(lines, 0.7).tolist() == [0, 0, 1, 0]
