@@ -79,6 +79,6 @@ def text_changes(pairs: DataFrame) -> DataFrame:
     def share(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([round(changed_share(x, y), 6) for x, y in zip(old, new)])
 
-    same = F.sha2("old_text", 256) == F.sha2("new_text", 256)
+    same = F.sha2("old_text", 256).eqNullSafe(F.sha2("new_text", 256))
     out = pairs.withColumn("unchanged", same)
     return out.withColumn("proportion", F.when(F.col("unchanged"), 0.0).otherwise(share("old_text", "new_text")))

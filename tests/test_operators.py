@@ -39,6 +39,16 @@ def test_changed_share():
     assert compare.changed_share("", "a b") == 1 and compare.changed_share("", "") == 0
 
 
+def test_long_and_missing_texts_are_compared(spark, tmp_path):
+    from foliant.plans import texts
+
+    long = [" ".join(f"Sentence {k} of {n}." for k in range(400)) for n in "ab"]
+    rows = [(0, long[0]), (5, long[0] + " One more."), (10, long[1]), (15, None), (20, None), (25, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["unchanged"], r["proportion"]) for r in texts.text_difference(spark, str(tmp_path)).collect()}
+    assert got == {i: (x == y, round(compare.changed_share(x, y), 6)) for (i, x), (_, y) in zip(rows, rows[1:])}
+
+
 def test_chunks_stop_at_sections_and_split_long_text(spark):
     rows = [(1, 1, "paragraph", 1, 1, 1, "a " * 30), (1, 2, "paragraph", 1, 1, 1, "b " * 30), (1, 3, "paragraph", 2, 1, 2, " ".join(f"w{i}." for i in range(130)))]
     df = spark.createDataFrame(rows, "doc_id long, segment int, kind string, section long, page int, end_page int, text string")
