@@ -1,34 +1,38 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists with DivideSkip.
 
 Two documents link when the Jaccard similarity of their sets of 5-word shingles is at least 0.75. Equal sets are one
-node from the start. Then:
-
-1. Minhash bands give star candidates; those that the T-occurrence search confirms join their sets into parts. This only
-   saves work: a part counts as one entry in every inverted list below.
-2. Each set deals out its rarest-hash shingles, n - T + 1 of them for T = ceil(0.75 n): two similar sets share one. Lists
-   of up to `cutoff` parts give candidate parts, where enough of both sets is left after the shingle, which settles every pair with a set that dealt no shingle of a longer list.
-   Shingles of longer lists go to the end of the order; so do, in up to `rounds` counts, others that are as frequent among the
-   sets that had one. Those sets then deal out anew, in that order, into lists of any length.
-3. Candidate parts are searched by blocks: an index of at most BLOCK sets of one part against the sets of the other. In a
-   block DivideSkip merges the short lists of a query by counting and probes its longest lists by binary search, which gives exact
+node from the start. A set of n shingles shares at least T = ceil(0.75 n) of them with any similar set. DivideSkip with the
+most long lists, L = T - 1, merges the n - T + 1 shortest lists of a set, where T - L = 1 occurrence makes a candidate, and probes
+the long lists for the candidates only:
+
+1. Minhash bands give star candidates; those that the search confirms join their sets into parts. This only saves work:
+   a part counts as one entry in every list below.
+2. Shingles are counted over one set of each part. A shingle's level is the rounded logarithm of its count, 0 beyond the `most_levels` most
+   frequent; the order of all shingles is level, then hash, so the first n - T + 1 of a set are its shortest lists. The order
+   only steers the work: any order gives whole results.
+3. The shortest lists are built over all sets and merged. A short list gives the pairs of its parts where enough of both sets is
+   left after the shingle. A long list first gives a star, from the part with most left to the others; what the search confirms joins parts,
+   and the list then gives the pairs of the parts that are still apart, in chunks.
+4. Candidate parts are searched by blocks: an index of at most BLOCK sets of one part against the sets of the other. In a
+   block DivideSkip merges the short lists of a query as sorted runs and probes its longest lists by binary search, which gives exact
    overlaps. Only links that join different parts leave the search; the rest cannot change a component.
 
 Defined cases: null and empty texts have no shingle and link with nothing; with fewer than five words the sequence is one shingle;
-equal texts and repeated ids are one component; a row whose id is null takes part like any other and its component is the smallest id that
-is not null, or null; other columns are ignored; an empty table gives an empty result.
+texts of any length are read whole; equal texts, ties and repeated rows or ids are one component; a row whose id is null takes part like any
+other and its component is the smallest id that is not null, or null; other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import each_batch, join_counted, joined, list_array, lower_ascii, mix, release, span_hashes, stash, table, texts_as_bytes, word_spans
+from foliant.llm.common import discard, each_batch, join_counted, joined, list_array, lower_ascii, mix, release, span_hashes, stash, table, texts_as_bytes, word_spans
 from foliant.llm.components import components
 
 GRAM, PERCENT = 5, 75
@@ -37,6 +41,10 @@ WINDOW = 0.36  # share of a set's shingles, those of lowest hash, that is kept b
 BLOCK, QUERIES = 128, 256
 BITS = 6  # low bits of a shingle's hash that give way to a share
 LOW = np.int64((1 << BITS) - 1)
+LEVEL = 58  # bit from which a ranked shingle holds its level; the sign bit stays free
+SALTED = 12  # shingles of this level and above have lists dealt over several tasks, of about 2**SALTED entries each
+COUNTED = 1 << 21  # shingles counted in one group, 4 bytes each
+CHUNK = 1024  # parts of a long list that meet those of another chunk in one task
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -63,10 +71,11 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def among(s: np.ndarray, demoted: np.ndarray) -> np.ndarray:
-    """Which shingles are demoted; these are known but for the low bits."""
-    even = s & ~LOW
-    return demoted[np.minimum(np.searchsorted(demoted, even), len(demoted) - 1)] == even
+def ranked(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The set in the order of level, then hash: a shingle is its level above the high bits of its hash."""
+    u = mix(s.view(np.uint64))
+    level = levels[(u >> np.uint64(32)) & np.uint64(len(levels) - 1)].astype(np.uint64)
+    return np.sort((level << np.uint64(LEVEL) | u >> np.uint64(64 - LEVEL)).view(np.int64))
 
 
 def dealt(n: int) -> int:
@@ -96,7 +105,7 @@ def packed(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([s.tobytes() for s in sets], pa.binary())
 
 
-def divide_skip(tokens: np.ndarray, owner: np.ndarray, count: int, sizes: np.ndarray, query: np.ndarray, mu: float = 0.01) -> np.ndarray:
+def divide_skip(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, query: np.ndarray, mu: float = 0.01) -> np.ndarray:
     """The index sets similar to query. tokens, owner: the inverted lists, sorted by token, then owner."""
     n = len(query)
     t = -(-PERCENT * n // 100)
@@ -108,11 +117,11 @@ def divide_skip(tokens: np.ndarray, owner: np.ndarray, count: int, sizes: np.nda
     skipped = min(t - 1, int(t / (mu * math.log2(max(2, lengths.max())) + 1)))
     order = found[np.argsort(lengths[found], kind="stable")]
     short, long = order[: max(0, len(order) - skipped)], order[max(0, len(order) - skipped) :]
-    merged = np.concatenate([owner[lo[i] : hi[i]] for i in short] or [owner[:0]])
-    overlap = np.bincount(merged, minlength=count)
-    left = np.flatnonzero(overlap >= max(1, t - len(long)))
-    left = left[(sizes[left] * 100 >= PERCENT * n) & (n * 100 >= PERCENT * sizes[left])]
-    overlap = overlap[left]
+    merged = np.sort(np.concatenate([owner[lo[i] : hi[i]] for i in short] or [owner[:0]]), kind="stable")  # merges sorted runs
+    at = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1]))) if len(merged) else np.zeros(0, np.int64)
+    left, overlap = merged[at], np.diff(np.concatenate((at, [len(merged)])))
+    fits = (overlap >= max(1, t - len(long))) & (sizes[left] * 100 >= PERCENT * n) & (n * 100 >= PERCENT * sizes[left])
+    left, overlap = left[fits], overlap[fits]
     for k, i in enumerate(long):
         lists = owner[lo[i] : hi[i]]
         at = np.searchsorted(lists, left)
@@ -147,7 +156,7 @@ def search_block(index: pa.Table, queries: pa.Table) -> pa.Table:
     for mark, part, text in zip(queries.column("mark").to_pylist(), queries.column("part").to_pylist(), queries.column("shingles").to_pylist()):
         if all(top(p) == top(part) for p in own):
             continue
-        for i in divide_skip(tokens, owner, len(sets), sizes, np.frombuffer(text, np.int64)):
+        for i in divide_skip(tokens, owner, sizes, np.frombuffer(text, np.int64)):
             a, b = top(part), top(parts[i])
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -178,79 +187,159 @@ def one_each(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return token[new], owner[new]
 
 
-def postings(rows: DataFrame, choose: Callable, buckets: int, cutoff: int | None) -> DataFrame:
-    """(long, a, b): candidate parts a < b, or a shingle a whose list is long.
+def feasible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets with shares a and b left from their first common shingle on can be similar: the overlap is at most a n and b m,
+    and must be 3/7 (n + m)."""
+    return (7 / 3 * a - 1) * (7 / 3 * b - 1) >= 1 - 1e-6
 
-    choose makes (parts, shingles each deals out, their sets' sizes) of batches of rows. After the first shared shingle, at shares q
-    and r of the two sets, they can only be similar if (7/3 q - 1)(7/3 r - 1) >= 1, whatever their sizes: the overlap is at most
-    q n and r m, and must be 3/7 (n + m). The low bits of a shingle hold the share of its set that is left, rounded up.
-    """
+
+def share(token: np.ndarray) -> np.ndarray:
+    return 0.75 + 0.25 * (token & LOW) / LOW
+
+
+def frequent_levels(texts: DataFrame, most: int) -> np.ndarray:
+    """The level of each shingle, by bits of its hash: log2 of its count of texts, rounded up; 0 for one text, and beyond the `most`
+    most frequent shingles. Bounded by `most`: 4 bytes a shingle reach the driver, 8 to 16 go to each worker."""
+    words = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, words // (4 * COUNTED) + 1)
+
+    def deal(batches):
+        held, many = [], 0
+
+        def rows() -> pa.RecordBatch:
+            u = mix(np.concatenate([*held, np.zeros(0, np.int64)]).view(np.uint64))
+            bucket = ((u & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            high, bucket = (u >> np.uint64(32)).astype(np.uint32)[order], bucket[order]
+            at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), pa.array([high[i:j].tobytes() for i, j in zip(at, [*at[1:], len(high)])], pa.binary())], names=["bucket", "high"])
+
+        for batch in batches:
+            step = max(1, min(batch.num_rows, int(batch.num_rows * 5e5 / max(batch.nbytes, 1)) + 1))
+            for at in range(0, batch.num_rows, step):
+                held += shingles(texts_as_bytes(batch.column(0).slice(at, step)))
+                many += sum(map(len, held[-step:]))
+                if many > COUNTED:
+                    yield rows()
+                    held, many = [], 0
+        if many:
+            yield rows()
+        pa.default_memory_pool().release_unused()
+
+    def count(got: pa.Table) -> pa.Table:
+        high = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in got.column("high").to_pylist()]))
+        at = np.flatnonzero(np.concatenate(([True], high[1:] != high[:-1])))
+        level = np.ceil(np.log2(np.diff(np.concatenate((at, [len(high)]))))).astype(np.int64)
+        found = np.unique(level[level > 0])
+        high = high[at]
+        return pa.Table.from_arrays([pa.array(found), pa.array([int((level == k).sum()) for k in found], pa.int64()), pa.array([high[level == k].tobytes() for k in found], pa.binary())], schema=pa.schema([("level", pa.int64()), ("n", pa.int64()), ("high", pa.binary())]))
+
+    found = stash(texts.mapInArrow(deal, "bucket long, high binary").groupBy("bucket").applyInArrow(count, "level long, n long, high binary"))
+    lowest, listed = 99, 0
+    for row in sorted(found.groupBy("level").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["level"]):
+        if listed + row["n"] > most:
+            break
+        lowest, listed = row["level"], listed + row["n"]
+    levels = np.zeros(1 << max(10, int(8 * listed).bit_length()), np.uint8)
+    for row in found.filter(F.col("level") >= lowest).toLocalIterator():
+        at = np.frombuffer(row["high"], np.uint32) & np.uint32(len(levels) - 1)
+        levels[at] = np.maximum(levels[at], min(row["level"], 31))
+    discard(found)
+    return levels
+
+
+def short_lists(rows: DataFrame, buckets: int, longest: int) -> DataFrame:
+    """(token, a, b) from rows (part, n, low): candidate parts a < b with token null; or, of a list with more than `longest` parts, the
+    shingle, a part and, in b, that part's share left. The low bits of a shingle hold the share of its set that is left, rounded up."""
 
     def deal(batches):
-        for parts, dealt_out, sizes in choose(batches):
-            part = np.asarray(parts.to_numpy(zero_copy_only=False))
-            token, owner = np.concatenate([*dealt_out, np.zeros(0, np.int64)]) & ~LOW, np.repeat(part, [len(x) for x in dealt_out])
-            token |= np.concatenate([*(np.ceil((0.25 - np.arange(len(x)) / n) * 4 * LOW - 1e-6) for x, n in zip(dealt_out, sizes)), np.zeros(0)]).clip(0, LOW).astype(np.int64)
+        for batch in batches:
+            part, sizes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            first = [np.frombuffer(low, np.int64)[: dealt(n)] for n, low in zip(sizes, batch.column(2).to_pylist())]
+            token, owner = np.concatenate([*first, np.zeros(0, np.int64)]) & ~LOW, np.repeat(part, [len(x) for x in first])
+            token |= np.concatenate([*(np.ceil((0.25 - np.arange(len(x)) / n) * 4 * LOW - 1e-6) for x, n in zip(first, sizes)), np.zeros(0)]).clip(0, LOW).astype(np.int64)
             token, owner = one_each(token, owner)
-            if cutoff is not None and len(token):  # one entry over the cutoff already shows that a list is long
-                begins = np.concatenate(([True], token[1:] >> BITS != token[:-1] >> BITS))
-                at = np.arange(len(token))
-                few = at - np.maximum.accumulate(np.where(begins, at, 0)) <= cutoff
-                token, owner = token[few], owner[few]
-            bucket = (mix((token >> BITS).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            salts = np.uint64(1) << np.maximum((token >> LEVEL) - SALTED, 0).astype(np.uint64)
+            bucket = (mix((token >> BITS).view(np.uint64) + mix(owner.view(np.uint64)) % salts) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             token, owner, bucket = token[order], owner[order], bucket[order]
             at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
             ends = [*at[1:], len(bucket)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i in at], pa.int32()), pa.array([token[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["bucket", "tokens", "owners"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i in at], pa.int64()), pa.array([token[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), pa.array([owner[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], names=["bucket", "tokens", "owners"])
 
     def meet(got: pa.Table) -> pa.Table:
         token, owner = one_each(*(np.concatenate([np.frombuffer(x, np.int64) for x in got.column(c).to_pylist()]) for c in ("tokens", "owners")))
-        reach = 7 / 3 * (0.75 + 0.25 * (token & LOW) / LOW) - 1
         at = np.flatnonzero(np.concatenate(([True], token[1:] >> BITS != token[:-1] >> BITS)))
         size = np.diff(np.concatenate((at, [len(token)])))
+        salted = token[at] >> LEVEL >= SALTED
         a, b = [owner[:0]], [owner[:0]]
-        for n in np.unique(size[size > 1]):
-            if cutoff is not None and n > cutoff:
-                continue
-            rows = at[size == n][:, None] + np.arange(n)
+        for n in np.unique(size[(size > 1) & (size <= longest) & ~salted]):
+            rows = at[(size == n) & ~salted][:, None] + np.arange(n)
             for gap in range(1, int(n)):
                 i, j = rows[:, :-gap].ravel(), rows[:, gap:].ravel()
-                near = reach[i] * reach[j] >= 1 - 1e-6
+                near = feasible(share(token[i]), share(token[j]))
                 a.append(owner[i[near]])
                 b.append(owner[j[near]])
         a, b = distinct_pairs(np.concatenate(a), np.concatenate(b))
-        many = size > cutoff if cutoff is not None else np.zeros(len(size), bool)
-        long = token[at[many]] & ~LOW
-        return pa.Table.from_arrays([pa.array(np.repeat([False, True], [len(a), len(long)])), pa.array(np.concatenate((a, long))), pa.array(np.concatenate((b, size[many])))], schema=pa.schema([("long", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())]))
-
-    return rows.mapInArrow(deal, "bucket int, tokens binary, owners binary").groupBy("bucket").applyInArrow(meet, "long boolean, a long, b long")
-
-
-def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, most_long: int = 1 << 21) -> DataFrame:
+        rest = np.repeat((size > longest) | salted, size)
+        long = token[rest]
+        return pa.Table.from_arrays([pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(long & ~LOW)]), pa.array(np.concatenate((a, owner[rest]))), pa.array(np.concatenate((b, long & LOW)))], schema=pa.schema([("token", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
+
+    return rows.mapInArrow(deal, "bucket long, tokens binary, owners binary").groupBy("bucket").applyInArrow(meet, "token long, a long, b long")
+
+
+def long_list_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b), a < b: the parts of each list (token, part, left) that can be similar; the chunks of a list meet in pairs."""
+    per = entries.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    own = entries.join(per, "token").withColumn("chunk", F.pmod(F.xxhash64("part"), "chunks"))
+    other = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    met = own.withColumn("other", F.explode(other)).select("token", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "part", "left")
+
+    def pairs(got: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        part, left, chunk = (got.column(c).to_numpy() for c in ("part", "left", "chunk"))
+        one = chunk == got.column("x")[0].as_py()
+        same = got.column("x")[0].as_py() == got.column("y")[0].as_py()
+        i = np.flatnonzero(one)
+        j = i if same else np.flatnonzero(~one)
+        out_a, out_b = [], []
+        for k in i:
+            near = j[(part[j] > part[k]) | (not same)]
+            near = near[feasible(share(left[k : k + 1]), share(left[near]))]
+            out_a.append(np.minimum(part[k], part[near]))
+            out_b.append(np.maximum(part[k], part[near]))
+        return pa.Table.from_arrays([pa.array(np.concatenate([*x, part[:0]])) for x in (out_a, out_b)], schema=schema)
+
+    return met.groupBy("token", "x", "y").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int = 1 << 22) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
-    cutoff: parts in an inverted list above which its shingle moves to the end of the order. most_long: bound of the list
-    of such shingles that tasks get, at least 1, 8 bytes each; those beyond it keep their place in the order, and the sets that first dealt
-    one out deal anew all the same.
+    longest: parts of an inverted list above which it first gives a star. most_levels: bound of the shingles whose level is known to tasks.
+    Neither changes the result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
+    spark = docs.sparkSession
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def profiles(cols: dict) -> dict:
         sets = shingles(texts_as_bytes(cols["text"]))
         known = [profile(s) if len(s) else (None, np.zeros(0, np.int64)) for s in sets]
         bands = [k for _, k in known]
-        return {
-            "doc_id": cols["doc_id"], "n_shingles": np.array([len(s) for s in sets]), "mark": [m for m, _ in known],
-            "bands": list_array(np.concatenate(bands), [len(k) for k in bands], pa.int64()),
-            "low": packed([s[: max(dealt(len(s)), math.ceil(WINDOW * len(s)) + 2)] for s in sets]),
-        }
+        return {"doc_id": cols["doc_id"], "n_shingles": np.array([len(s) for s in sets]), "mark": [m for m, _ in known], "bands": list_array(np.concatenate(bands), [len(k) for k in bands], pa.int64())}
 
-    known = stash(docs.mapInArrow(each_batch(profiles, arrow), "doc_id long, n_shingles long, mark long, bands array<long>, low binary"))
+    known = stash(docs.mapInArrow(each_batch(profiles, arrow), "doc_id long, n_shingles long, mark long, bands array<long>"))
     real = known.filter("mark IS NOT NULL")
-    # One row stands for all rows of equal sets; its text is found again by a hash of the row's id and text.
+    # One row stands for all rows of equal sets; its text is found again by the row's id.
     nodes = stash(real.groupBy("mark").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
+    no_id = not nodes.filter("least IS NULL").isEmpty()  # only where all rows of a set lack an id
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The texts of the wanted nodes (least); other texts of rows without an id, or with a repeated one, may come along."""
+        ids = wanted.select(F.col("least").alias("doc_id")).distinct()
+        texts = join_counted(docs, ids, "doc_id", "left_semi").select("text")
+        return texts.unionByName(docs.filter("doc_id IS NULL").select("text")) if no_id else texts
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(mark, shingles) of the wanted marks, from the text of one row each."""
@@ -261,124 +350,78 @@ def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, mo
             sets = shingles(texts_as_bytes(cols["text"]))
             return {"mark": [profile(s)[0] if len(s) else None for s in sets], "shingles": packed(sets)}
 
-        with_id = docs.join(ids.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi") if ids.limit((1 << 20) + 1).count() > 1 << 20 else docs.join(F.broadcast(ids.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi")
-        texts = with_id.select("text")
-        if not ids.filter("least IS NULL").isEmpty():  # only where all rows of a set lack an id
-            texts = texts.unionByName(docs.filter("doc_id IS NULL").select("text"))
-        got = texts.mapInArrow(each_batch(full, kind), "mark long, shingles binary")
+        got = texts_of(ids).mapInArrow(each_batch(full, kind), "mark long, shingles binary")
         return got.join(ids.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
 
+    def confirmed(stars: DataFrame) -> DataFrame:
+        """Links (a, b) among the pairs stars (mark, hub)."""
+        sets = stash(sets_of(stars.select("mark").unionByName(stars.select(F.col("hub").alias("mark"))).distinct()))
+        load = stars.groupBy("hub").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / QUERIES))
+        salted = stars.join(load, "hub").select("mark", F.xxhash64("hub", F.pmod(F.xxhash64("mark"), "salts")).alias("block"))
+        blocks = load.select(F.col("hub").alias("mark"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        blocks = blocks.select("mark", F.xxhash64("mark", "salt").alias("block")).join(sets, "mark").withColumn("part", F.col("mark"))
+        found = stash(search(blocks, salted.join(sets, "mark").withColumn("part", F.col("mark"))))
+        discard(sets)
+        return found
+
+    def parts_by(links: DataFrame) -> DataFrame:
+        return stash(components(links).select(F.col("id").alias("mark"), F.col("component").alias("part")))
+
+    def with_part(df: DataFrame, parts: DataFrame) -> DataFrame:
+        return join_counted(df, parts, "mark", "left").withColumn("part", F.coalesce("part", "mark"))
+
     # 1. Stars of equal band keys, confirmed.
     keys = nodes.select("mark", F.posexplode("bands").alias("band", "key"))
     hubs = keys.groupBy("band", "key").agg(F.min("mark").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     stars = stash(keys.join(hubs, ["band", "key"]).filter("mark != hub").select("mark", "hub").distinct())
-    sets = stash(sets_of(stars.select("mark").unionByName(stars.select(F.col("hub").alias("mark"))).distinct()))
-    load = stars.groupBy("hub").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / QUERIES))
-    salted = stars.join(load, "hub").select("mark", F.xxhash64("hub", F.pmod(F.xxhash64("mark"), "salts")).alias("block"))
-    blocks = load.select(F.col("hub").alias("mark"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    blocks = blocks.select("mark", F.xxhash64("mark", "salt").alias("block")).join(sets, "mark").withColumn("part", F.col("mark"))
-    links = stash(search(blocks, salted.join(sets, "mark").withColumn("part", F.col("mark"))))
-    joined_parts = stash(components(links).select(F.col("id").alias("mark"), F.col("component").alias("part")))
-
-    # 2. Candidate parts from the inverted lists.
-    def with_part(df: DataFrame) -> DataFrame:
-        return join_counted(df, joined_parts, "mark", "left").withColumn("part", F.coalesce("part", "mark"))
+    links = confirmed(stars)
+    parts = parts_by(links)
 
-    spark = docs.sparkSession
-    lows = with_part(real.select("mark", "n_shingles", "low"))
-    total = real.agg(F.sum(F.col("n_shingles") * (1 - PERCENT / 100) + 1)).first()[0] or 0
-    buckets = max(16, int(total / 4e5) + 1)
-    lows = lows.withColumn("anew", F.lit(False))
-    long_ones, current = np.zeros(0, np.int64), lows.withColumn("whole", F.lit(False))
-    columns = ["part", "n_shingles", "low", "whole", "anew"]
-
-    def moved(late) -> Callable:
-        """(part, other shingles, long ones, size) of the sets that had a long one, listed or beyond the bound, among those they first dealt out."""
-
-        def run(batches):
-            demoted = late.value
-            for batch in batches:
-                for part, n, low, whole, anew in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                    s, p = np.frombuffer(low, np.int64), dealt(n)
-                    out = among(s, demoted)
-                    if anew or out[:p].any():
-                        yield part, s[~out], s[out] if whole else s[:0], n
-
-        return run
-
-    def first(batches):
-        for batch in batches:
-            sizes = batch.column(1).to_pylist()
-            yield batch.column(0), [np.frombuffer(low, np.int64)[: dealt(n)] for n, low in zip(sizes, batch.column(2).to_pylist())], sizes
-
-    found = stash(postings(current.select(*columns), first, buckets, cutoff))
-    cand = found.filter("NOT long").select("a", "b")
-    more = found.filter("long").select(F.col("a").alias("token"), F.col("b").alias("size"))
-    if more.limit(most_long + 1).count() > most_long:  # the list of tasks will not name all; the sets are found by a join
-
-        def tokens_of(batches):
-            for batch in batches:
-                sets = [np.frombuffer(low, np.int64)[: dealt(n)] & ~LOW for n, low in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate([*sets, np.zeros(0, np.int64)]), [len(x) for x in sets], pa.int64())], names=["mark", "tokens"])
-
-        dealt_out = real.select("mark", "n_shingles", "low").dropDuplicates(["mark"]).mapInArrow(tokens_of, "mark long, tokens array<long>").select("mark", F.explode("tokens").alias("token"))
-        again = stash(dealt_out.join(more.select("token"), "token", "left_semi").select("mark").distinct())
-        lows = join_counted(lows.drop("anew"), again.withColumn("anew", F.lit(True)), "mark", "left").withColumn("anew", F.coalesce("anew", F.lit(False)))
-    for _ in range(rounds):
-        release(spark)
-        new = [r["token"] for r in more.orderBy(F.desc("size"), "token").limit(max(0, most_long - len(long_ones))).collect()]  # bounded
-        if not new:
-            break
-        long_ones = np.unique(np.concatenate((long_ones, np.array(new, np.int64))))
-        late = spark.sparkContext.broadcast(long_ones)
-
-        def lacking(batches, late=late):
-            """Sets with a demoted shingle among those they would deal out, and too few others beside their profile."""
-            for batch in batches:
-                demoted, out = late.value, []
-                for mark, n, low in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    s, p = np.frombuffer(low, np.int64), dealt(n)
-                    hit = among(s, demoted)
-                    if hit[:p].any() and (~hit).sum() < p:
-                        out.append(mark)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["mark"])
-
-        def others(batches, choose=moved(late)):
-            """What the sets that deal anew would deal out before long ones; of those that are short of it, all other shingles."""
-            for batch in batches:
-                got = list(choose([batch]))
-                dealt_out = [g[1] if len(g[2]) else g[1][: dealt(g[3])] for g in got]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), list_array(np.concatenate([*dealt_out, np.zeros(0, np.int64)]) & ~LOW, [len(x) for x in dealt_out], pa.int64())], names=["part", "tokens"])
-
-        short = stash(real.select("mark", "n_shingles", "low").mapInArrow(lacking, "mark long").distinct())
-        full = stash(sets_of(short))
-        full = with_part(full.select("mark", F.expr("cast(octet_length(shingles) / 8 as long)").alias("n_shingles"), F.col("shingles").alias("low"))).withColumn("anew", F.lit(True)).withColumn("whole", F.lit(True))
-        current = join_counted(lows, short, "mark", "left_anti").withColumn("whole", F.lit(False)).unionByName(full)
-        tokens = current.select(*columns).mapInArrow(others, "part long, tokens array<long>").select("part", F.explode("tokens").alias("token"))
-        more = stash(tokens.distinct().groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > cutoff))
-
-    if len(long_ones):
-
-        def last(batches, choose=moved(late)):
-            for batch in batches:
-                got = list(choose([batch]))
-                yield pa.array([g[0] for g in got], pa.int64()), [np.concatenate(g[1:3])[: dealt(g[3])] for g in got], [g[3] for g in got]
-
-        cand = cand.unionByName(stash(postings(current.select(*columns), last, buckets, None)).select("a", "b"))
+    # 2. The order of the shingles, then the shortest lists of every set.
+    release(spark)
+    alone = nodes.select("mark", "least").join(parts.filter("mark != part"), "mark", "left_anti")  # one set of each part
+    late = spark.sparkContext.broadcast(frequent_levels(texts_of(alone), most_levels))
+    low_kind = pa.schema([("mark", pa.int64()), ("n", pa.int64()), ("low", pa.binary())])
+
+    def lowest(cols: dict) -> dict:
+        sets = [s for s in shingles(texts_as_bytes(cols["text"])) if len(s)]
+        lows = [ranked(s, late.value)[: max(dealt(len(s)), math.ceil(WINDOW * len(s)) + 2)] for s in sets]
+        return {"mark": [profile(s)[0] for s in sets], "n": [len(s) for s in sets], "low": packed(lows)}
+
+    lows = stash(texts_of(nodes).mapInArrow(each_batch(lowest, low_kind), "mark long, n long, low binary"))
+    total = nodes.agg(F.sum(F.col("n") * (1 - PERCENT / 100) + 1)).first()[0] or 0
+    found = stash(short_lists(with_part(lows, parts).select("part", "n", "low"), max(16, int(total / 4e5) + 1), longest))
+    cand, entries = found.filter("token IS NULL").select("a", "b"), found.filter("token IS NOT NULL").select("token", F.col("a").alias("part"), F.col("b").alias("left"))
+
+    # 3. Long lists: stars first, then the pairs of the parts that are still apart.
+    if not entries.isEmpty():
+        hosts = entries.groupBy("token").agg(F.max(F.struct("left", F.col("part").alias("hub"))).alias("host"))
+        reach = (F.lit(7 / 3) * (0.75 + 0.25 * F.col("left") / int(LOW)) - 1) * (F.lit(7 / 3) * (0.75 + 0.25 * F.col("host.left") / int(LOW)) - 1)
+        stars = entries.join(hosts, "token").filter((F.col("part") != F.col("host.hub")) & (reach >= 1 - 1e-6)).select(F.col("part").alias("mark"), F.col("host.hub").alias("hub")).distinct()
+        links = links.unionByName(confirmed(stash(stars)))
+        moved = parts_by(links)
+        anew = join_counted(entries, moved.withColumnRenamed("mark", "old").withColumnRenamed("part", "new").withColumnRenamed("old", "part"), "part", "left")
+        anew = anew.groupBy("token", F.coalesce("new", "part").alias("part")).agg(F.max("left").alias("left"))
+        for side in ("a", "b"):
+            cand = join_counted(cand, moved.select(F.col("mark").alias(side), F.col("part").alias("new")), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
+        cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").unionByName(long_list_pairs(stash(anew)))
+        parts = moved
     release(spark)
 
-    # 3. The search in candidate parts.
-    stats = with_part(nodes.select("mark", "n")).groupBy("part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("members"))
+    # 4. The search in candidate parts.
+    stats = with_part(nodes.select("mark", "n"), parts).groupBy("part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("members"))
     cand = cand.distinct()
     for side in ("a", "b"):
         cand = cand.join(stats.select(F.col("part").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("lo", "hi", "members")]), side)
     fits = (F.col("a_hi") * 100 >= PERCENT * F.col("b_lo")) & (F.col("b_hi") * 100 >= PERCENT * F.col("a_lo"))
     larger = (F.col("a_members") > F.col("b_members")) | ((F.col("a_members") == F.col("b_members")) & (F.col("a") < F.col("b")))
-    cand = stash(cand.filter(fits).select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("guest"), F.when(larger, F.col("a_members")).otherwise(F.col("b_members")).alias("members"), F.when(larger, F.col("b_members")).otherwise(F.col("a_members")).alias("guests")))
-    # Of two single sets the profiles bound the overlap, which settles nearly all pairs that only share a passage.
+    sides = {"host": ("a", "b"), "guest": ("b", "a"), "members": ("a_members", "b_members"), "guests": ("b_members", "a_members")}
+    cand = stash(cand.filter(fits).select(*[F.when(larger, F.col(x)).otherwise(F.col(y)).alias(name) for name, (x, y) in sides.items()]))
+    # Of two single sets the lowest shingles bound the overlap, which settles nearly all pairs that only share a passage.
     single = (F.col("members") == 1) & (F.col("guests") == 1)
-    profile_of = nodes.select("mark", "n").join(real.select("mark", "low").dropDuplicates(["mark"]), "mark")
-    ones = cand.filter(single)
+    ones, profile_of = cand.filter(single), lows.dropDuplicates(["mark"])
+    wanted = ones.select(F.col("host").alias("mark")).unionByName(ones.select(F.col("guest").alias("mark"))).distinct()
+    profile_of = stash(join_counted(profile_of, wanted, "mark", "left_semi"))
     for side in ("host", "guest"):
         ones = ones.join(profile_of.select(F.col("mark").alias(side), F.col("n").alias(f"{side}_n"), F.col("low").alias(f"{side}_low")), side)
 
@@ -386,21 +429,22 @@ def jaccard_components(docs: DataFrame, *, cutoff: int = 16, rounds: int = 3, mo
         for batch in batches:
             c = {x: batch.column(x).to_pylist() for x in batch.schema.names}
             keep = [may_reach(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), n, m) for x, y, n, m in zip(c["host_low"], c["guest_low"], c["host_n"], c["guest_n"])]
-            yield batch.select(["host", "guest", "members"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["host", "guest", "members", "guests"]).filter(pa.array(keep, pa.bool_()))
 
-    ones = ones.mapInArrow(possible, "host long, guest long, members long")
-    cand = stash(cand.filter(~single).select("host", "guest", "members").unionByName(ones))
+    ones = ones.mapInArrow(possible, "host long, guest long, members long, guests long")
+    cand = stash(cand.filter(~single).unionByName(ones))
+    discard(lows, profile_of, found)
     release(spark)
     needed = cand.select(F.col("host").alias("part")).unionByName(cand.select(F.col("guest").alias("part"))).distinct()
-    members = stash(with_part(nodes.select("mark")).join(needed, "part", "left_semi"))
+    members = stash(with_part(nodes.select("mark"), parts).join(needed, "part", "left_semi"))
     sets = stash(members.join(sets_of(members.select("mark")), "mark"))
-    chunks = F.ceil(F.col("members") / BLOCK)
-    load = cand.groupBy("host", "members").agg(F.count("*").alias("asking")).withColumn("salts", F.ceil(F.col("asking") / QUERIES)).withColumn("chunks", chunks)
+    load = cand.groupBy("host", "members").agg(F.sum("guests").alias("asking"))
+    load = load.withColumn("salts", F.ceil(F.col("asking") / QUERIES)).withColumn("chunks", F.ceil(F.col("members") / BLOCK))
     spread = load.select("host", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     index = sets.join(spread, sets["part"] == spread["host"]).select("mark", "part", "shingles", F.xxhash64("host", F.pmod(F.xxhash64("mark"), "chunks"), "salt").alias("block"))
-    asks = cand.select("host", "guest").join(load.select("host", "salts", "chunks"), "host").withColumn("salt", F.pmod(F.xxhash64("guest"), "salts"))
-    asks = asks.select("guest", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("host", c, "salt"))).alias("block"))
-    asked = sets.join(asks, sets["part"] == asks["guest"]).select("mark", "part", "shingles", "block")
+    asks = cand.select("host", "guest").join(load.select("host", "salts", "chunks"), "host")
+    asked = sets.join(asks, sets["part"] == asks["guest"]).withColumn("salt", F.pmod(F.xxhash64("mark"), "salts"))
+    asked = asked.select("mark", "part", "shingles", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("host", c, "salt"))).alias("block"))
     links = links.unionByName(stash(search(index, asked)))
 
     whole = components(links).select(F.col("id").alias("mark"), "component")

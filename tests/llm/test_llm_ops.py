@@ -185,7 +185,7 @@ def test_jaccard_components_are_exact(spark, cutoff):
             b[1:1] = passage
         rows.append((3 * i, " ".join(b)))
     rows += [(1000 + i, t) for i, t in enumerate([None, "", "\n", "one", "ONE", "a b c d e", "A  b\tc d e"])]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), cutoff=cutoff).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), longest=cutoff, most_levels=cutoff * 20).collect()}
     assert got == brute_jaccard(rows)
 
 
@@ -197,7 +197,7 @@ def test_jaccard_links_hold_beyond_the_list_of_long_shingles(spark):
         shared = [random.choice(words) for _ in range(64)]
         rows += [(10 * f + i, " ".join([*shared, *(random.choice(words) for _ in range(9))])) for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_ngram_jaccard.jaccard_components(docs, cutoff=1, most_long=2).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_ngram_jaccard.jaccard_components(docs, longest=1, most_levels=2).collect()}
     assert got == brute_jaccard(rows)
 
 
