@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master, where that is unset, a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "foliant-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -66,6 +68,21 @@ def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int =
     return run
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name beginning with `name` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def pieces(column: pa.Array, size: float = 5e5) -> Iterator[pa.Array]:
+    """The column in slices of about `size` bytes."""
+    step = max(1, min(len(column), int(len(column) * size / max(column.nbytes, 1)) + 1))
+    for at in range(0, len(column), step):
+        yield column.slice(at, step)
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]

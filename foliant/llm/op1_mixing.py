@@ -11,8 +11,8 @@ Everything is DataFrame functions. Windows run over sources and over blocks, nev
 cut block. Draws follow hashes of the seed, so reruns agree.
 
 Defined cases: a null text has size 0; the null source is a source of its own and comes last; documents of size 0 take 0 words;
-repeated rows are mixed one by one, those equal in id and text share a place in the order; other columns are ignored by the query and kept
-by the mix; an empty table gives an empty result.
+repeated rows are mixed one by one, also those equal in id and text; ties in the order of documents go by id and size; texts of any length
+are counted and drawn whole; other columns, whatever their names, are ignored by the query and kept by the mix; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import WORD, stash, table
+from foliant.llm.common import BROADCAST_ROWS, WORD, stash, table, unused
 
 #: Words of a block, at most this many blocks of a source.
 BLOCK_WORDS, MOST_BLOCKS = 1 << 15, 1024
+#: Words of a shard, about, where the number of shards is not given.
+SHARD_WORDS = 1 << 22
 
 
 def word_count(text: str) -> Column:
@@ -89,7 +91,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("low").alias("shard"), F.explode("q").alias("x")).select("shard", "x.number", "x.quota")
 
 
-def plan(sized: DataFrame, weights: list[int], most: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def plan(sized: DataFrame, weights: list[int], most: int, shards: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
     """sized with source_size, target, taken and draws (pass, shard, words); and the plan of the sources."""
     sized = sized.withColumn("block_of", F.xxhash64("doc_id", F.lit(seed)))
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -98,6 +100,9 @@ def plan(sized: DataFrame, weights: list[int], most: int, shards: int, seed: int
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", quota - F.col("passes") * F.col("source_size"))
     sources = stash(sources.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))))
 
+    if shards is None:
+        drawn = sources.agg(F.sum("target")).first()[0] or 0.0
+        shards = 1 << max(6, int(drawn / SHARD_WORDS).bit_length())
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     docs = sized.withColumn("source_key", key).drop("source").join(F.broadcast(sources) if sources.limit(4097).count() <= 4096 else sources, "source_key")
     docs = docs.withColumn("block", F.pmod("block_of", "blocks"))
@@ -132,29 +137,35 @@ def plan(sized: DataFrame, weights: list[int], most: int, shards: int, seed: int
     return docs.withColumn("draws", F.filter(each, lambda d: d["words"] > 0)), sources
 
 
-def mix_plan(docs: DataFrame, *, weights: list[int] = (1, 2, 3), most: int = 3, shards: int = 64, seed: int = 17) -> DataFrame:
+def mix_plan(docs: DataFrame, *, weights: list[int] = (1, 2, 3), most: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken and draws (pass, shard, words) of every row of docs (doc_id, text, source)."""
     sized = stash(docs.select(F.col("doc_id").cast("long"), "source", word_count("text").alias("size"), F.xxhash64("text").alias("order_key")))
     planned, _ = plan(sized, list(weights), most, shards, seed)
     return planned.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"), "draws")
 
 
-def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), most: int = 3, shards: int = 64, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), most: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of docs (doc_id, text, source, ...) as often as they are drawn, by shard, shuffled in it.
 
     The one document at a source's edge comes whole if at least half of it is drawn, and not at all otherwise.
     """
-    columns = docs.columns
-    rows = docs.withColumn("order_key", F.xxhash64("text")).withColumn("size", word_count("text"))
-    slim = stash(rows.select(F.col("doc_id").cast("long"), "source", "size", "order_key"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    id_, none, key, row, size = (unused(docs.columns, name) for name in ("_id", "_no_id", "_key", "_row", "_words"))
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), none: F.col("doc_id").isNull(), key: F.xxhash64("text"), row: F.lit(0).cast("long"), size: word_count("text")})
+    names = [id_, none, key]
+    repeats = stash(rows.groupBy(*names).agg(F.count("*").alias(unused(docs.columns, "_n"))).filter(F.col(unused(docs.columns, "_n")) > 1).select(*names))
+    if not repeats.isEmpty():  # rows equal in id and text are written down, so that each has a number of its own
+        few = F.broadcast(repeats) if repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else repeats
+        equal = stash(rows.join(few, names, "left_semi").withColumn(row, F.monotonically_increasing_id() + 1))
+        rows = rows.join(few, names, "left_anti").unionByName(equal)
+    names.append(row)
+    slim = stash(rows.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("doc_id"), "source", F.col(size).alias("size"), F.lit(0).alias("order_key")))
     planned, _ = plan(slim, list(weights), most, shards, seed)
-    # rows equal in id and text are one entry each way: they are numbered by none and drawn alike
-    planned = planned.groupBy("doc_id", "order_key").agg(F.max("draws").alias("draws"))
-    planned = planned.select(F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("doc_id").isNull().alias("_n"), F.coalesce("order_key", F.lit(0)).alias("_k"), F.col("draws").alias("_draws"))
-    keyed = rows.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("_n", F.col("doc_id").isNull()).withColumn("_k", F.coalesce("order_key", F.lit(0)))
-    drawn = keyed.join(planned, ["_d", "_n", "_k"]).withColumn("_draw", F.explode("_draws")).filter(2 * F.col("_draw.words") >= F.col("size"))
-    local = F.xxhash64(F.lit(seed + 3), "doc_id", "_draw.pass")
-    return drawn.withColumn("_at", local).withColumn("_shard", F.col("_draw.shard")).repartition(shards, "_shard").sortWithinPartitions("_shard", "_at").select(*columns)
+    draw, draws, shard, at = (unused(docs.columns, name) for name in ("_draw", "_draws", "_shard", "_at"))
+    planned = planned.select(*[F.col(f"doc_id.c{i}").alias(c) for i, c in enumerate(names)], F.col("draws").alias(draws)).filter(F.size(draws) > 0)
+    drawn = rows.join(planned, names).withColumn(draw, F.explode(draws)).filter(2 * F.col(draw)["words"] >= F.col(size))
+    drawn = drawn.withColumn(at, F.xxhash64(F.lit(seed + 3), *names, F.col(draw)["pass"])).withColumn(shard, F.col(draw)["shard"])
+    return drawn.repartition(shard).sortWithinPartitions(shard, at).select(*columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ capacity, the number of windows rises and the group is packed again. A group who
 that are nearly equal, so all of them are padded by little.
 
 Defined cases: a null or empty text is the end token alone; a null id counts like any other; repeated rows are packed as documents of
-their own; other columns are ignored; an empty table gives an empty result.
+their own and dealt apart; texts of any length are cut into as many windows as they fill; equal lengths are placed by id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -195,7 +195,8 @@ def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1
 
     cut = stash(docs.mapInArrow(pieces, PIECE))
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    row = F.monotonically_increasing_id()  # of written rows: rows that are equal are dealt apart
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", row), F.lit(groups)).cast("int"))
 
     def place(got: pa.Table) -> pa.Table:
         got = got.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])

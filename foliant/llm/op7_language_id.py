@@ -6,22 +6,23 @@ stochastic gradient descent in numpy, on a bounded sample per language; document
 of the sample is kept out of training to fit a temperature and the rejection threshold.
 
 Defined cases: a null text, or one without a letter, gets `und`, score 0, and is rejected; null languages are never
-learned; without any labelled row everything is `und`; repeated rows are scored one by one; other columns are ignored; ids
-that are null are never learned from.
+learned; without any labelled row everything is `und`; repeated rows are scored one by one; ties go to the
+language first by name; texts of any length are read whole; other columns pass through, but columns named like the results are replaced; ids
+that are null are never learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import each_batch, fold, joined, list_array, table
+from foliant.llm.common import each_batch, fold, joined, list_array, pieces, table, unused
 
 BITS, WIDTH = 15, 16
 _LETTER = re.compile(r"[^\W\d_]")
@@ -122,35 +123,39 @@ def fit(labelled: DataFrame, per_lang: int) -> Model | None:
     return train([(r["lang"], r["buckets"], r["share"]) for r in sorted(seen, key=lambda r: (r["doc_id"], r["lang"], len(r["buckets"])))])
 
 
-def language_id(docs: DataFrame, labelled: DataFrame, *, per_lang: int = 400) -> DataFrame:
-    """Adds lang_pred, score and rejected to each row of docs (text); labelled (doc_id, text, lang) is learned from.
+def language_verdict(labelled: DataFrame, *, per_lang: int = 400) -> Callable[[Column | str], Column]:
+    """A function of a text column that gives (lang_pred, score, rejected), learned from labelled (doc_id, text, lang).
 
     At most about per_lang rows of each language are learned from. Rejected: no letter, or a calibrated probability below
     the threshold under which hardly any right answer of the kept-out rows lies.
     """
     model = fit(labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()), per_lang)
-    columns = docs.columns
-    arrow = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
-
-    def predict(batches):
-        for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 5e5 / max(batch.nbytes, 1)) + 1))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                read = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
-                lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-                if model is not None and read.any():
-                    p = softmax(logits(lowered(texts), model.scores, model.bias) / model.temperature)
-                    lang[read] = np.array(model.langs, object)[p.argmax(axis=1)][read]
-                    score[read] = p.max(axis=1)[read]
-                rejected = ~read | (score < (model.reject_below if model else 1.0))
-                new = [pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *arrow.names])
-        pa.default_memory_pool().release_unused()
-
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.select(*columns).mapInArrow(predict, ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]))
+
+    @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
+    def verdict(column: pa.Array) -> pa.Array:
+        langs, scores, rejected = [], [], []
+        for part in pieces(column):
+            texts = part.to_pylist()
+            read = np.array([bool(t) and _LETTER.search(t) is not None for t in texts])
+            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            if model is not None and read.any():
+                p = softmax(logits(lowered(texts), model.scores, model.bias) / model.temperature)
+                lang[read] = np.array(model.langs, object)[p.argmax(axis=1)][read]
+                score[read] = p.max(axis=1)[read]
+            langs += lang.tolist()
+            scores.append(score)
+            rejected.append(~read | (score < (model.reject_below if model else 1.0)))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.zeros(0)])), pa.array(np.concatenate([*rejected, np.zeros(0, bool)]))], names=["lang_pred", "score", "rejected"])
+
+    return verdict
+
+
+def language_id(docs: DataFrame, labelled: DataFrame, *, per_lang: int = 400) -> DataFrame:
+    """Adds lang_pred, score and rejected to each row of docs (text), in place of columns of these names; see language_verdict."""
+    name = unused(docs.columns, "verdict")
+    found = docs.withColumn(name, language_verdict(labelled, per_lang=per_lang)("text"))
+    own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
+    return found.select(*[F.col(f"`{c}`") for c in own], *[F.col(name)[c].alias(c) for c in ("lang_pred", "score", "rejected")])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

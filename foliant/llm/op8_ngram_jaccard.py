@@ -36,7 +36,7 @@ from foliant.llm.common import discard, each_batch, join_counted, joined, list_a
 from foliant.llm.components import components
 
 GRAM, PERCENT = 5, 75
-BANDS, ROWS = 6, 3
+BANDS, ROWS, SKETCH = 6, 3, 128
 WINDOW = 0.36  # share of a set's shingles, those of lowest hash, that is kept beside its profile
 BLOCK, QUERIES = 128, 256
 BITS = 6  # low bits of a shingle's hash that give way to a share
@@ -83,14 +83,18 @@ def dealt(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-def profile(s: np.ndarray) -> tuple[int, np.ndarray]:
-    """A fingerprint of the set and its band keys."""
+def fingerprint(s: np.ndarray) -> int:
+    """A number that stands for the set."""
     with np.errstate(over="ignore"):
         u = s.view(np.uint64)
-        mark = mix(np.array([np.add.reduce(mix(u)) + np.uint64(len(u))], np.uint64)).view(np.int64)[0]
-        low = np.array([(u * k).min() for k in _SEEDS], np.uint64).reshape(BANDS, ROWS)
-        keys = mix(low[:, 0] * np.uint64(3) + mix(low[:, 1] * np.uint64(5) + mix(low[:, 2])))
-    return int(mark), keys.view(np.int64)
+        return int(mix(np.array([np.add.reduce(mix(u)) + np.uint64(len(u))], np.uint64)).view(np.int64)[0])
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """Band keys of the set's SKETCH lowest hashes, which are alike for similar sets."""
+    with np.errstate(over="ignore"):
+        low = np.multiply.outer(_SEEDS, s[:SKETCH].view(np.uint64)).min(axis=1).reshape(BANDS, ROWS)
+        return mix(low[:, 0] * np.uint64(3) + mix(low[:, 1] * np.uint64(5) + mix(low[:, 2]))).view(np.int64)
 
 
 def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
@@ -325,9 +329,8 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
 
     def profiles(cols: dict) -> dict:
         sets = shingles(texts_as_bytes(cols["text"]))
-        known = [profile(s) if len(s) else (None, np.zeros(0, np.int64)) for s in sets]
-        bands = [k for _, k in known]
-        return {"doc_id": cols["doc_id"], "n_shingles": np.array([len(s) for s in sets]), "mark": [m for m, _ in known], "bands": list_array(np.concatenate(bands), [len(k) for k in bands], pa.int64())}
+        bands = [band_keys(s) if len(s) else s for s in sets]
+        return {"doc_id": cols["doc_id"], "n_shingles": np.array([len(s) for s in sets]), "mark": [fingerprint(s) if len(s) else None for s in sets], "bands": list_array(np.concatenate(bands), [len(k) for k in bands], pa.int64())}
 
     known = stash(docs.mapInArrow(each_batch(profiles, arrow), "doc_id long, n_shingles long, mark long, bands array<long>"))
     real = known.filter("mark IS NOT NULL")
@@ -348,7 +351,7 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
 
         def full(cols: dict) -> dict:
             sets = shingles(texts_as_bytes(cols["text"]))
-            return {"mark": [profile(s)[0] if len(s) else None for s in sets], "shingles": packed(sets)}
+            return {"mark": [fingerprint(s) if len(s) else None for s in sets], "shingles": packed(sets)}
 
         got = texts_of(ids).mapInArrow(each_batch(full, kind), "mark long, shingles binary")
         return got.join(ids.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
@@ -386,7 +389,7 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
     def lowest(cols: dict) -> dict:
         sets = [s for s in shingles(texts_as_bytes(cols["text"])) if len(s)]
         lows = [ranked(s, late.value)[: max(dealt(len(s)), math.ceil(WINDOW * len(s)) + 2)] for s in sets]
-        return {"mark": [profile(s)[0] for s in sets], "n": [len(s) for s in sets], "low": packed(lows)}
+        return {"mark": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "low": packed(lows)}
 
     lows = stash(texts_of(nodes).mapInArrow(each_batch(lowest, low_kind), "mark long, n long, low binary"))
     total = nodes.agg(F.sum(F.col("n") * (1 - PERCENT / 100) + 1)).first()[0] or 0
@@ -446,6 +449,7 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
     asked = sets.join(asks, sets["part"] == asks["guest"]).withColumn("salt", F.pmod(F.xxhash64("mark"), "salts"))
     asked = asked.select("mark", "part", "shingles", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("host", c, "salt"))).alias("block"))
     links = links.unionByName(stash(search(index, asked)))
+    discard(sets, members, cand)
 
     whole = components(links).select(F.col("id").alias("mark"), "component")
     classes = nodes.select("mark", "least").join(whole, "mark", "left").withColumn("class", F.coalesce("component", "mark"))

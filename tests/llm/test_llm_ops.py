@@ -314,3 +314,59 @@ def test_pipeline_keeps_clean_documents(spark):
     groups = op8_ngram_jaccard.jaccard_components(docs)
     assert kept.count() >= 0.9 * groups.select("component_id").distinct().count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+CLASH = "rejected n_lines n_dropped lang_pred score size order_key verdict _key _masks _n row left _words _draw _shard"
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empties, long texts, ties, repeats and columns named like those that operators use inside, for every stage."""
+    import corpus_pipeline
+
+    texts = [None, "", " \n", "one", "a long line of words that goes on and on " * 30_000, *[f"the quick brown fox number {i} jumps over the lazy dog near the river" for i in range(6)]]
+    rows = [(None if i == 3 else i, t, "en" if i % 2 else None, "s" if i % 3 else None, len(t or ""), *("x" for _ in CLASH.split())) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[5], rows[5], rows[2]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH.split()))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, None)
+        assert got.count() > 0 and (name == "packing" or got.columns == docs.columns), name
+        assert name == "packing" or {r["rejected"] for r in got.collect()} == {"x"}, name
+        assert stage(spark, docs.limit(0), None).count() == 0, name
+
+
+def test_equal_rows_are_mixed_one_by_one(spark):
+    rows = [(7, "a b c d", "big")] * 40 + [(100 + i, "u v w " * 10, "small") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: r["target"] for r in op1_mixing.mix_plan(docs.withColumn("doc_id", F.monotonically_increasing_id())).join(docs.withColumn("doc_id", F.monotonically_increasing_id()), "doc_id").collect()}
+    words = {s: sum(len(r["text"].split()) for r in op1_mixing.mix(docs).collect() if r["source"] == s) for s in want}
+    assert all(abs(words[s] - want[s]) <= 30 for s in want), (words, want)
+
+
+def brute_templates(lines, similarity=0.7):
+    known = []
+    out = []
+    for words in lines:
+        scores = [sum(a == b or w for a, b, w in zip(k, words, wild)) for k, wild in known]
+        best = max(range(len(known)), key=lambda i: (scores[i], -i), default=None)
+        if best is not None and scores[best] >= similarity * len(words):
+            grown = [w or a != b for a, b, w in zip(known[best][0], words, known[best][1])]
+            if sum(grown) <= (1 - similarity) * len(words):
+                known[best] = (known[best][0], grown)
+            out.append(best)
+        else:
+            known.append((words, [False] * len(words)))
+            out.append(len(known) - 1)
+    return out
+
+
+def test_templates_agree_with_brute_force():
+    rng = np.random.default_rng(3)
+    for width in (1, 3, 8):
+        lines = rng.integers(0, 3, (200, width))
+        assert op9_line_dedup.templates(lines, 0.7).tolist() == brute_templates(lines.tolist())
+
+
+def test_large_leaves_merge_their_cells(spark, monkeypatch):
+    monkeypatch.setattr(op9_line_dedup, "CELL", 4)
+    rows = [(i, f"own{chr(97 + i // 26)}{chr(97 + i % 26)} text\nour shop sells only good things like {chr(97 + i // 26)}{chr(97 + i % 26)} today") for i in range(60)]
+    got = op9_line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["n_dropped"] == 1 and "shop" not in r["text"] for r in got)
