@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of a word: a run of anything but ASCII white space.
@@ -35,10 +35,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stash(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path, counted = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}", Observation()
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out.stashed_rows = counted.get["n"]  # the rows written, which saves counting them again
+    return out
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows."""
+    known = getattr(df, "stashed_rows", None)
+    return (df.limit(rows + 1).count() if known is None else known) <= rows
 
 
 def discard(*frames: DataFrame) -> None:
@@ -55,6 +63,7 @@ def each_batch(fn: Callable[[dict], dict | None], schema: pa.Schema, rows: int =
     """A mapInArrow function from a function of columns; batches are cut to `rows` rows and about `size` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WORKER_CACHE.clear()
         for batch in batches:
             n = batch.num_rows
             step = max(1, min(rows, n, int(n * size / max(batch.nbytes, 1)) + 1))
@@ -76,8 +85,21 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+#: What this Python worker keeps from task to task, of one operator at a time.
+WORKER_CACHE: dict = {}
+
+
+def cached(key: tuple, make: Callable):
+    """make() of an earlier task of this worker, if it was for the same key and no other operator ran since."""
+    if key not in WORKER_CACHE:
+        WORKER_CACHE.clear()
+        WORKER_CACHE[key] = make()
+    return WORKER_CACHE[key]
+
+
 def pieces(column: pa.Array, size: float = 5e5) -> Iterator[pa.Array]:
     """The column in slices of about `size` bytes."""
+    WORKER_CACHE.clear()
     step = max(1, min(len(column), int(len(column) * size / max(column.nbytes, 1)) + 1))
     for at in range(0, len(column), step):
         yield column.slice(at, step)
@@ -174,8 +196,7 @@ BROADCAST_ROWS = 1 << 20
 
 def join_counted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Joins with other, broadcast if a count shows that it is small; its rows hold a few numbers each."""
-    small = other.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(other) if small else other, on, how)
+    return df.join(F.broadcast(other) if at_most(other, BROADCAST_ROWS) else other, on, how)
 
 
 def release(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.llm.common import discard, stash
@@ -17,14 +17,16 @@ def components(links: DataFrame) -> DataFrame:
     ends = links.filter(F.col("a") != F.col("b"))
     edges = stash(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
-    while True:
+    while edges.stashed_rows:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stash(small.unionByName(low.withColumnRenamed("m", "v")).filter("u != v").distinct())
-        now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        seen = Observation()
+        new = small.unionByName(low.withColumnRenamed("m", "v")).filter("u != v").distinct()
+        new = stash(new.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        now = seen.get
         discard(edges)
         edges = new
         if now == state:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_ROWS, WORD, stash, table, unused
+from foliant.llm.common import BROADCAST_ROWS, WORD, at_most, stash, table, unused
 
 #: Words of a block, at most this many blocks of a source.
 BLOCK_WORDS, MOST_BLOCKS = 1 << 15, 1024
@@ -104,7 +104,7 @@ def plan(sized: DataFrame, weights: list[int], most: int, shards: int | None, se
         drawn = sources.agg(F.sum("target")).first()[0] or 0.0
         shards = 1 << max(6, int(drawn / SHARD_WORDS).bit_length())
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    docs = sized.withColumn("source_key", key).drop("source").join(F.broadcast(sources) if sources.limit(4097).count() <= 4096 else sources, "source_key")
+    docs = sized.withColumn("source_key", key).drop("source").join(F.broadcast(sources) if at_most(sources, 4096) else sources, "source_key")
     docs = docs.withColumn("block", F.pmod("block_of", "blocks"))
     blocks = docs.groupBy("number", "block").agg(F.sum("size").alias("words"), F.first("blocks").alias("blocks"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
 
@@ -127,7 +127,7 @@ def plan(sized: DataFrame, weights: list[int], most: int, shards: int | None, se
     drawn = draws.groupBy("number", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
     by_block = stash(blocks.join(drawn, ["number", "block"], "left").select("number", "block", "in_rest", "cut", "draws"))
 
-    docs = docs.drop("blocks").join(F.broadcast(by_block) if by_block.limit(65537).count() <= 65536 else by_block, ["number", "block"])
+    docs = docs.drop("blocks").join(F.broadcast(by_block) if at_most(by_block, 65536) else by_block, ["number", "block"])
     edge = docs.filter("in_rest AND cut IS NOT NULL")
     inside = Window.partitionBy("number").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size", "order_key").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("rest_words", F.greatest(F.lit(0), F.least("size", F.col("cut") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
@@ -154,8 +154,8 @@ def mix(docs: DataFrame, *, weights: list[int] = (1, 2, 3), most: int = 3, shard
     rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), none: F.col("doc_id").isNull(), key: F.xxhash64("text"), row: F.lit(0).cast("long"), size: word_count("text")})
     names = [id_, none, key]
     repeats = stash(rows.groupBy(*names).agg(F.count("*").alias(unused(docs.columns, "_n"))).filter(F.col(unused(docs.columns, "_n")) > 1).select(*names))
-    if not repeats.isEmpty():  # rows equal in id and text are written down, so that each has a number of its own
-        few = F.broadcast(repeats) if repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else repeats
+    if repeats.stashed_rows:  # rows equal in id and text are written down, so that each has a number of its own
+        few = F.broadcast(repeats) if at_most(repeats, BROADCAST_ROWS) else repeats
         equal = stash(rows.join(few, names, "left_semi").withColumn(row, F.monotonically_increasing_id() + 1))
         rows = rows.join(few, names, "left_anti").unionByName(equal)
     names.append(row)

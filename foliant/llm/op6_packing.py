@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stash, table
+from foliant.llm.common import cached, stash, table
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
@@ -46,9 +46,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 class Encoder:
     """Token ids of whole texts as bytes of little-endian unsigned 32-bit numbers.
 
@@ -109,9 +106,7 @@ class Encoder:
     @staticmethod
     def of(path: str) -> Encoder:
         """The encoder of this Python worker, which keeps what earlier tasks looked up."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        return _ENCODERS[path]
+        return cached(("encoder", path), lambda: Encoder(path))
 
     def uneven(self, text: str) -> list[bytes]:
         """A part that begins or ends with white space stays with its neighbours."""
@@ -194,7 +189,7 @@ def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1
         pa.default_memory_pool().release_unused()
 
     cut = stash(docs.mapInArrow(pieces, PIECE))
-    groups = max(1, -(-cut.count() // group))
+    groups = max(1, -(-cut.stashed_rows // group))
     row = F.monotonically_increasing_id()  # of written rows: rows that are equal are dealt apart
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", row), F.lit(groups)).cast("int"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import each_batch, fold, joined, list_array, pieces, table, unused
+from foliant.llm.common import each_batch, fold, joined, pieces, table, unused
 
 BITS, WIDTH = 15, 16
 _LETTER = re.compile(r"[^\W\d_]")
@@ -70,7 +70,7 @@ def train(rows: list, *, epochs: int = 10, rate: float = 0.3, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     embed, weights, bias = rng.normal(0, 0.5, (1 << BITS, WIDTH)), np.zeros((WIDTH, len(langs))), np.zeros(len(langs))
     seen, seen_weights = np.full(1 << BITS, 1e-8), np.full(WIDTH, 1e-8)  # sums of squared gradients, for the step of each row
-    data = [(langs.index(lang), np.asarray(b), np.asarray(s, np.float64)) for lang, b, s in rows]
+    data = [(langs.index(lang), np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for lang, b, s in rows]
     kept_out = {i for i in range(len(data)) if i % 5 == 4} if len(data) >= 10 * len(langs) else set()
     order = np.array([i for i in range(len(data)) if i not in kept_out])
     for epoch in range(epochs):
@@ -108,17 +108,16 @@ def fit(labelled: DataFrame, per_lang: int) -> Model | None:
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30))
 
     def shares(cols: dict) -> dict:
-        buckets, counts, lengths = [], [], []
+        buckets, counts = [], []
         for text in lowered(cols["text"].to_pylist()):
             found = np.bincount(np.concatenate(grams(np.frombuffer(text + b" ", np.uint8))), minlength=1 << BITS)
             at = np.flatnonzero(found)
-            buckets.append(at)
-            counts.append(found[at] / found.sum())
-            lengths.append(len(at))
-        return {"doc_id": cols["doc_id"], "lang": cols["lang"], "buckets": list_array(np.concatenate(buckets), lengths, pa.int32()), "share": list_array(np.concatenate(counts), lengths, pa.float64())}
+            buckets.append(at.astype(np.int32).tobytes())
+            counts.append((found[at] / found.sum()).astype(np.float32).tobytes())
+        return {"doc_id": cols["doc_id"], "lang": cols["lang"], "buckets": buckets, "share": counts}
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("buckets", pa.list_(pa.int32())), ("share", pa.list_(pa.float64()))])
-    rows = chosen.mapInArrow(each_batch(shares, arrow), "doc_id long, lang string, buckets array<int>, share array<double>")
+    arrow = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("buckets", pa.binary()), ("share", pa.binary())])
+    rows = chosen.mapInArrow(each_batch(shares, arrow), "doc_id long, lang string, buckets binary, share binary")
     seen = rows.limit(2 * per_lang * len(counts)).collect()
     return train([(r["lang"], r["buckets"], r["share"]) for r in sorted(seen, key=lambda r: (r["doc_id"], r["lang"], len(r["buckets"])))])
 

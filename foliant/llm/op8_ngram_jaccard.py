@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import discard, each_batch, join_counted, joined, list_array, lower_ascii, mix, release, span_hashes, stash, table, texts_as_bytes, word_spans
+from foliant.llm.common import BROADCAST_ROWS, at_most, discard, each_batch, join_counted, joined, list_array, lower_ascii, mix, release, span_hashes, stash, table, texts_as_bytes, word_spans
 from foliant.llm.components import components
 
 GRAM, PERCENT = 5, 75
@@ -340,13 +340,14 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """The texts of the wanted nodes (least); other texts of rows without an id, or with a repeated one, may come along."""
-        ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-        texts = join_counted(docs, ids, "doc_id", "left_semi").select("text")
+        few = at_most(wanted, BROADCAST_ROWS)
+        ids = wanted.select(F.col("least").alias("doc_id"))
+        texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
         return texts.unionByName(docs.filter("doc_id IS NULL").select("text")) if no_id else texts
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(mark, shingles) of the wanted marks, from the text of one row each."""
-        ids = stash(wanted.join(nodes.select("mark", "least"), "mark"))
+        ids = stash(join_counted(nodes.select("mark", "least"), wanted, "mark", "left_semi"))
         kind = pa.schema([("mark", pa.int64()), ("shingles", pa.binary())])
 
         def full(cols: dict) -> dict:
@@ -370,6 +371,9 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
     def parts_by(links: DataFrame) -> DataFrame:
         return stash(components(links).select(F.col("id").alias("mark"), F.col("component").alias("part")))
 
+    def as_links(parts: DataFrame) -> DataFrame:
+        return parts.select(F.col("mark").alias("a"), F.col("part").alias("b"))
+
     def with_part(df: DataFrame, parts: DataFrame) -> DataFrame:
         return join_counted(df, parts, "mark", "left").withColumn("part", F.coalesce("part", "mark"))
 
@@ -377,8 +381,7 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
     keys = nodes.select("mark", F.posexplode("bands").alias("band", "key"))
     hubs = keys.groupBy("band", "key").agg(F.min("mark").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     stars = stash(keys.join(hubs, ["band", "key"]).filter("mark != hub").select("mark", "hub").distinct())
-    links = confirmed(stars)
-    parts = parts_by(links)
+    parts = parts_by(confirmed(stars))
 
     # 2. The order of the shingles, then the shortest lists of every set.
     release(spark)
@@ -401,8 +404,7 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
         hosts = entries.groupBy("token").agg(F.max(F.struct("left", F.col("part").alias("hub"))).alias("host"))
         reach = (F.lit(7 / 3) * (0.75 + 0.25 * F.col("left") / int(LOW)) - 1) * (F.lit(7 / 3) * (0.75 + 0.25 * F.col("host.left") / int(LOW)) - 1)
         stars = entries.join(hosts, "token").filter((F.col("part") != F.col("host.hub")) & (reach >= 1 - 1e-6)).select(F.col("part").alias("mark"), F.col("host.hub").alias("hub")).distinct()
-        links = links.unionByName(confirmed(stash(stars)))
-        moved = parts_by(links)
+        moved = parts_by(as_links(parts).unionByName(confirmed(stash(stars))))
         anew = join_counted(entries, moved.withColumnRenamed("mark", "old").withColumnRenamed("part", "new").withColumnRenamed("old", "part"), "part", "left")
         anew = anew.groupBy("token", F.coalesce("new", "part").alias("part")).agg(F.max("left").alias("left"))
         for side in ("a", "b"):
@@ -448,7 +450,7 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
     asks = cand.select("host", "guest").join(load.select("host", "salts", "chunks"), "host")
     asked = sets.join(asks, sets["part"] == asks["guest"]).withColumn("salt", F.pmod(F.xxhash64("mark"), "salts"))
     asked = asked.select("mark", "part", "shingles", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.xxhash64("host", c, "salt"))).alias("block"))
-    links = links.unionByName(stash(search(index, asked)))
+    links = as_links(parts).unionByName(stash(search(index, asked)))
     discard(sets, members, cand)
 
     whole = components(links).select(F.col("id").alias("mark"), "component")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import BROADCAST_ROWS, discard, each_batch, join_counted, joined, list_array, mix, pieces, span_hashes, stash, table, texts_as_bytes, unused, word_spans
+from foliant.llm.common import BROADCAST_ROWS, at_most, discard, each_batch, join_counted, joined, list_array, mix, pieces, span_hashes, stash, table, texts_as_bytes, unused, word_spans
 from foliant.llm.components import components
 from foliant.llm.op8_ngram_jaccard import PERCENT, SKETCH, band_keys, packed, shingles
 
@@ -167,7 +167,7 @@ def recurring_masks(docs: DataFrame, min_texts: int, similarity: float, copies_o
             yield done(kept)
 
     grown = stash(dealt.mapInArrow(grow, "mask long, template long"))
-    if not large.isEmpty():
+    if large.stashed_rows:
         whole = join_counted(full, large.select("leaf"), "leaf", "left_semi").join(grown, "mask")
         first = whole.groupBy("leaf", "template").agg(F.min_by("words", "mask").alias("words"))
 
@@ -200,7 +200,7 @@ def line_dedup(docs: DataFrame, *, min_texts: int = 5, similarity: float = 0.7,
     texts = docs.filter(F.col("text").isNotNull()).select(key.alias("key"), "text")
     masks = recurring_masks(texts, min_texts, similarity, copies_once)
     own, hits, got = (unused(docs.columns, name) for name in ("_key", "_masks", "_left"))
-    few = masks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = at_most(masks, BROADCAST_ROWS)
     if few:
         found = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["mask"] for r in masks.collect()], np.int64)))
         full = docs.withColumn(hits, F.lit(None).cast("array<long>"))
