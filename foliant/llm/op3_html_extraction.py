@@ -7,7 +7,7 @@ text. Elements that are furniture by tag, role or class go in any case. The text
 element, or else its body.
 
 Defined cases: a null or empty html gives an empty text; a null or odd url has no host and only the fixed rules apply; a page
-that repeats counts once for its template; repeated page ids are extracted one by one; broken markup never fails: tags that are open end with
+that repeats counts once for its template; repeated page ids are extracted one by one; pages of any length and depth are read whole; broken markup never fails: tags that are open end with
 the page; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
@@ -31,6 +32,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("aside blockquote details dialog div dl fieldset figure footer form header main nav ol section table ul".split())
+NAMED = CONTAINERS - {"main"}  # elements that go by their class or id, which must be one of CLASSES as a whole
 FURNITURE = frozenset("aside audio button canvas dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title video".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog navigation search".split())
 CLASSES = frozenset(
@@ -42,12 +44,14 @@ CLOSES = {
 }
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
+# Every alternative that begins also ends, at the end of the page if need be, so a page is read once whatever it holds. A tag without its
+# end mark ends where the next tag begins.
 _PART = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b(?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+(?:>.*?(?:</\1\s*>|\Z)|\Z|(?=<))"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z|(?=<))|([^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_TOKEN = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -70,42 +74,47 @@ def is_furniture(tag: str, attrs: dict[str, str]) -> bool:
     if attrs.get("role", "").lower() in ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-    return tag not in ("html", "body", "article", "main") and not CLASSES.isdisjoint(_TOKEN.findall(names))
+    return tag in NAMED and not CLASSES.isdisjoint(names.split())
 
 
 def parse(text: str) -> Node:
     root = Node("#root")
-    stack = [root]
+    stack, open_tags = [root], Counter()
+
+    def end(k: int) -> None:
+        """Closes the elements from the k-th on."""
+        open_tags.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     for m in _PART.finditer(text):
         if m[5] is not None:
             stack[-1].items.append(entities.unescape(m[5]))
         elif m[3] is not None:
             tag = m[3].lower()
             if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if open_tags[tag] > 0:
+                    end(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
                 continue
-            if tag in BLOCK and tag != "br":  # an open paragraph ends where a block begins
+            if tag in BLOCK and tag != "br" and open_tags["p"] > 0:  # an open paragraph ends where a block begins
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        end(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
-            if tag in CLOSES:
+            if tag in CLOSES and any(open_tags[t] > 0 for t in CLOSES[tag]):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in CLOSES[tag]:
-                        del stack[k:]
+                        end(k)
                         break
                     if stack[k].tag in FENCES.get(tag, ("table",)):
                         break
             attrs = attributes(m[4]) if m[4].strip("/ ") else {}
             node = Node(tag, f"{tag} {' '.join(sorted(attrs))} {attrs.get('class', '')}", is_furniture(tag, attrs))
             stack[-1].items.append(node)
-            if tag not in VOID and not m[4].endswith("/") and len(stack) < 500:
+            if tag not in VOID and not m[4].endswith("/"):
                 stack.append(node)
+                open_tags[tag] += 1
     return root
 
 
@@ -136,7 +145,7 @@ def contents(root: Node) -> list[Node]:
         while todo:
             n = todo.pop()
             if n.tag == tag and not n.furniture:
-                if not CLASSES.isdisjoint(_TOKEN.findall(n.label)):
+                if not CLASSES.isdisjoint(n.label.lower().split()):
                     continue
                 found.append(n)
                 continue
@@ -171,23 +180,21 @@ def text_of(roots: list[Node], template: set[int]) -> str:
             if line:
                 blocks.append(line)
 
-        def walk(n: Node) -> None:
-            for x in n.items:
-                if isinstance(x, str):
-                    current.append(x)
-                    continue
-                if x.furniture or (x.tag == "header" and n.tag != "article") or (x.hash in template and x.tag in CONTAINERS and x.size <= half):
-                    if x.tag in BLOCK:
-                        flush()
-                    continue
-                edge = x.tag in BLOCK
-                if edge:
+        todo = [(root, iter(root.items))]
+        while todo:
+            n, items = todo[-1]
+            x = next(items, None)
+            if x is None:
+                todo.pop()
+                if n.tag in BLOCK:
                     flush()
-                walk(x)
-                if edge:
+            elif isinstance(x, str):
+                current.append(x)
+            else:
+                if x.tag in BLOCK:
                     flush()
-
-        walk(root)
+                if not (x.furniture or (x.tag == "header" and n.tag != "article") or (x.hash in template and x.tag in CONTAINERS and x.size <= half)):
+                    todo.append((x, iter(x.items)))
         flush()
     return "\n".join(blocks)
 

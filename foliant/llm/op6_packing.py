@@ -104,9 +104,9 @@ class Encoder:
         return out
 
     @staticmethod
-    def of(path: str) -> Encoder:
+    def of(path: str, most: int) -> Encoder:
         """The encoder of this Python worker, which keeps what earlier tasks looked up."""
-        return cached(("encoder", path), lambda: Encoder(path))
+        return cached(("encoder", path, most), lambda: Encoder(path, most))
 
     def uneven(self, text: str) -> list[bytes]:
         """A part that begins or ends with white space stays with its neighbours."""
@@ -167,15 +167,16 @@ def pack_group(sizes: list[int], capacity: int) -> np.ndarray:
         k += max(1, k // 64)
 
 
-def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, group: int = 1500) -> DataFrame:
+def karmarkar_karp_packing(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, group: int = 1500, lookups: int = 400_000) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): where it lies in its document and in which sequence.
 
     tokenizer: path of a tokenizer file on every machine. group: about how many items meet in one task's group.
+    lookups: parts and units of texts that a worker keeps with their ids, some 100 bytes each.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
     def pieces(batches):
-        encoder, end = Encoder.of(tokenizer), np.zeros(1, "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer, lookups), np.zeros(1, "<u4").tobytes()
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * 1e6 / max(batch.nbytes, 1)) + 1))
             for first in range(0, batch.num_rows, step):

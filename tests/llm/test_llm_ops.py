@@ -370,3 +370,24 @@ def test_large_leaves_merge_their_cells(spark, monkeypatch):
     rows = [(i, f"own{chr(97 + i // 26)}{chr(97 + i % 26)} text\nour shop sells only good things like {chr(97 + i // 26)}{chr(97 + i % 26)} today") for i in range(60)]
     got = op9_line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["n_dropped"] == 1 and "shop" not in r["text"] for r in got)
+
+
+def test_pages_keep_names_that_only_contain_a_listed_word(spark):
+    inner = '<h2 id="market-share">Head</h2><section id="related-work"><p class="widget-count">one</p></section><div class="comments">reader</div>'
+    deep = "<div>" * 3000 + "<nav>menu</nav><p>low</p>"
+    rows = [(1, None, f"<body><article>{inner}</article></body>"), (2, None, deep), (3, None, "a<b"), (4, None, "<p>x</p><script>1<2"), (5, None, "<li>a<li>b")]
+    docs = spark.createDataFrame([(*r, "x", "x") for r in [*rows, rows[0]]], "page_id long, url string, html string, subtree string, host string")
+    got = {r["page_id"]: r["text"] for r in op3_html_extraction.extract_pages(docs).collect()}
+    assert got == {1: "Head\none", 2: "low", 3: "a", 4: "x", 5: "a\nb"}
+    assert op3_html_extraction.extract_pages(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<script ", '<script "', "<!", "<div>", "</x><div>", "<li>", "<p><b>", "<", "'<a\"", "<a '\"<"])
+def test_odd_pages_are_read_once(unit):
+    import time
+
+    began = time.process_time()
+    root = op3_html_extraction.parse(unit * (400_000 // len(unit)))
+    op3_html_extraction.hash_subtrees(root)
+    op3_html_extraction.text_of(op3_html_extraction.contents(root), set())
+    assert time.process_time() - began < 20
