@@ -63,7 +63,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     import public_tokenizers
 
-    return karmarkar_karp_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return karmarkar_karp_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), lookups=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
