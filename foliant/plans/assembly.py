@@ -7,13 +7,13 @@ from foliant.plans.registry import query, table
 
 
 @query("""SELECT l_orderkey, l_linenumber, o_custkey, c_name AS name, CASE WHEN p_partkey IS NULL THEN NULL WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN p_brand ELSE p_brand || ' ' || p_name END AS label
- FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5 WHERE l_quantity > 45""")
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey LEFT JOIN part ON p_partkey = l_partkey AND l_returnflag <> 'R'""")
 def retrieval_star(spark, sf_dir):
-    chunks = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("version_id"), F.col("l_partkey").alias("section_id"))
+    chunks = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("version_id"), F.when(F.col("l_returnflag") != "R", F.col("l_partkey")).alias("section_id"))
     versions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("document_id"))
     documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("name"))
     kind = F.col("p_size") % 3
-    sections = table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("section_id"), F.when(kind != 0, F.col("p_brand")).alias("number"), F.when(kind != 1, F.col("p_name")).alias("title"))
+    sections = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("section_id"), F.when(kind != 0, F.col("p_brand")).alias("number"), F.when(kind != 1, F.col("p_name")).alias("title"))
     return A.retrieval_rows(chunks, versions, documents, sections).select("l_orderkey", "l_linenumber", F.col("document_id").alias("o_custkey"), "name", "label")
 
 

@@ -58,9 +58,9 @@ def chat_scope(spark, sf_dir):
     return scope.chat_scope(documents(spark, sf_dir), 7, 3).select("id", "access")
 
 
-@query(f"WITH {_DOCS} SELECT DISTINCT l_orderkey % 900 AS conflict_id FROM lineitem WHERE l_orderkey % 900 NOT IN (SELECT l_orderkey % 900 FROM lineitem JOIN docs ON docs.id = l_suppkey WHERE access = 'private' AND owner <> 3 AND l_linenumber = 1) AND l_linenumber = 1")
+@query(f"WITH {_DOCS} SELECT DISTINCT l_orderkey AS conflict_id FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem JOIN docs ON docs.id = l_suppkey WHERE access = 'private' AND owner <> 3)")
 def visible_conflicts(spark, sf_dir):
-    statements = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") % 900).alias("conflict_id"), F.col("l_suppkey").alias("document_id"))
+    statements = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conflict_id"), F.col("l_suppkey").alias("document_id"))
     return scope.visible_conflicts(statements, documents(spark, sf_dir), 3)
 
 

@@ -48,18 +48,18 @@ def normalized_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.collapse(F.col("text")).alias("flat"), X.first_line_title(F.col("text")).alias("title"))
 
 
-_MARKED = "SELECT doc_id AS message_id, regexp_replace(substr(text, 1, 300), '\\. ', ' [' || CAST(doc_id % 12 AS VARCHAR) || ']. ', 'g') AS text FROM documents"
+_MARKED = "SELECT doc_id AS message_id, regexp_replace(text, '\\. ', ' [' || CAST(doc_id % 12 AS VARCHAR) || ']. ', 'g') AS text FROM documents"
 
 
 def marked(spark, sf_dir):
     """Answers with markers, made from documents."""
     mark = F.concat(F.lit(" ["), (F.col("doc_id") % 12).cast("string"), F.lit("]. "))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.replace(F.substring("text", 1, 300), F.lit(". "), mark).alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("message_id"), F.replace(F.col("text"), F.lit(". "), mark).alias("text"))
 
 
-@query(f"WITH m AS ({_MARKED}), c AS (SELECT message_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\[(?:SOURCE\\s*)?(\\d{{1,2}})\\]', 1), lambda x: CAST(x AS INT)))) AS citation_index FROM m) SELECT message_id, citation_index, CAST(0 AS INT) AS place, l_orderkey AS source_id FROM c JOIN lineitem ON l_linenumber = citation_index AND l_orderkey % 1000 = message_id AND l_partkey % 7 = 0")
+@query(f"WITH m AS ({_MARKED}), c AS (SELECT message_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\\[(?:SOURCE\\s*)?(\\d{{1,2}})\\]', 1), lambda x: CAST(x AS INT)))) AS citation_index FROM m) SELECT message_id, citation_index, CAST(0 AS INT) AS place, l_orderkey AS source_id FROM c JOIN lineitem ON l_linenumber = citation_index AND l_orderkey % 1000 = message_id")
 def citation_resolution(spark, sf_dir):
-    sources = table(spark, sf_dir, "lineitem").filter("l_partkey % 7 = 0").select((F.col("l_orderkey") % 1000).alias("message_id"), F.col("l_linenumber").cast("int").alias("citation_index"), F.col("l_orderkey").alias("source_id"))
+    sources = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("message_id"), F.col("l_linenumber").cast("int").alias("citation_index"), F.col("l_orderkey").alias("source_id"))
     return answers.resolve_citations(marked(spark, sf_dir), sources)
 
 
