@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 #: Numbering kinds in the order they are tried, with the heading level they give (0: the number of parts).
 NUMBERING = [
-    ("decimal", r"^(\d+(?:\.\d+)+)\.?\s+(\S.*)$", 0),
-    ("section", r"(?i)^section\s+(\d+(?:\.\d+)*)[.:]?\s+(\S.*)$", 0),
-    ("appendix", r"(?i)^appendix\s+([A-Z])[.:]?\s*(.*)$", 1),
-    ("roman", r"^([IVXLC]+)\.\s+(\S.*)$", 1),
-    ("single", r"^(\d+)\.?\s+(\S.*)$", 1),
+    ("decimal", r"^(\d+(?:\.\d+)+)[.)]?\s+(\S.*)$", 0),
+    ("section", r"(?i)^section\s+(\d+)\s*[:.–—-]?\s*(.*)$", 1),
+    ("appendix", r"(?i)^appendix\s+([A-Z](?:\.\d+)*)\s*[:.–—-]?\s*(.*)$", 0),
+    ("roman", r"^([IVXLCDM]{1,7})[.)]\s+(\S.*)$", 1),
+    ("single", r"^(\d+)[.)]\s+(\S.*)$", 1),
 ]
 
 
@@ -68,39 +68,57 @@ def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.filter("title IS NOT NULL").drop("_caps")
 
 
+def font_heading(line, size, body, bold):
+    """Level 1, 2 or 3 of a line set larger than the body text (3 only if bold), else null; long lines and whole sentences are none."""
+    words = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
+    level = F.when(size >= body * 1.4, 1).when(size >= body * 1.2, 2).when(bold & (size >= body * 1.15), 3)
+    return F.when((F.length(line) <= 100) & (words <= 14) & ~line.rlike(r"[.!?:;]\s*$"), level)
+
+
+def solo_lines(page_lines: DataFrame, page: str) -> DataFrame:
+    """Lines that are all a page holds (stamps); capitals there are no headings."""
+    return page_lines.groupBy(page).agg(F.count("*").alias("n"), F.first("line").alias("line")).filter("n = 1").select(page, "line")
+
+
 def section_tree(heads: DataFrame, last_page: DataFrame, key: str = "doc_id") -> DataFrame:
     """sort_order, parent_order and end_page of headings (key, page, line_no, level, ...).
 
     The parent is the last earlier section of smaller level; a section ends on the page where the next of the same or a smaller level begins.
-    last_page: key and the number of the document's last page.
+    last_page: key and the number of the document's last page. Windows over one document's headings, no join of headings with headings.
     """
     order = Window.partitionBy(key).orderBy("page", "line_no")
     rows = heads.withColumn("sort_order", F.row_number().over(order))
-    other = rows.select(F.col(key).alias("_k"), F.col("sort_order").alias("_o"), F.col("level").alias("_l"), F.col("page").alias("_p"))
-    before = rows.join(other, (F.col(key) == F.col("_k")) & (F.col("_o") < F.col("sort_order")) & (F.col("_l") < F.col("level"))).groupBy(key, "sort_order").agg(F.max("_o").alias("parent_order"))
-    after = rows.join(other, (F.col(key) == F.col("_k")) & (F.col("_o") > F.col("sort_order")) & (F.col("_l") <= F.col("level"))).groupBy(key, "sort_order").agg(F.min_by("_p", "_o").alias("_end"))
-    out = rows.join(before, [key, "sort_order"], "left").join(after, [key, "sort_order"], "left").join(last_page, key)
-    return out.withColumn("end_page", F.coalesce("_end", "last_page")).drop("_end", "last_page")
-
-
-def heading_paths(sections: DataFrame, key: str = "doc_id", depth: int = 10) -> DataFrame:
-    """key, sort_order, and path: titles from the root to the section. One join for each level, `depth` at most."""
-    found = sections.select(key, "sort_order", F.array("title").alias("path"), F.col("parent_order").alias("_up"))
-    up = sections.select(F.col(key).alias("_k"), F.col("sort_order").alias("_o"), F.col("title").alias("_t"), F.col("parent_order").alias("_next"))
-    for _ in range(depth - 1):
-        found = found.join(up, (F.col(key) == F.col("_k")) & (F.col("_up") == F.col("_o")), "left")
-        found = found.select(key, "sort_order", F.when(F.col("_o").isNull(), F.col("path")).otherwise(F.concat(F.array("_t"), F.col("path"))).alias("path"), F.col("_next").alias("_up"))
-    return found.drop("_up")
-
-
-def descendants(sections: DataFrame, key: str = "doc_id", depth: int = 10) -> DataFrame:
-    """key, top (a root section's order) and member (itself or a section below)."""
-    level = sections.filter("parent_order IS NULL").select(key, F.col("sort_order").alias("top"), F.col("sort_order").alias("member"))
-    found = level
-    for _ in range(depth - 1):
-        level = level.join(sections.select(key, F.col("parent_order").alias("member"), F.col("sort_order").alias("_below")), [key, "member"]).select(key, "top", F.col("_below").alias("member"))
-        found = found.unionByName(level)
-    return found
+    before = F.collect_list(F.struct("level", "sort_order")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.collect_list(F.struct("level", "page")).over(order.rowsBetween(1, Window.unboundedFollowing))
+    parent = F.element_at(F.filter("_before", lambda x: x["level"] < F.col("level")), -1)["sort_order"]
+    following = F.get(F.filter("_after", lambda x: x["level"] <= F.col("level")), F.lit(0))["page"]
+    out = rows.withColumn("_before", before).withColumn("_after", after)
+    out = out.withColumn("parent_order", F.when(F.exists("_before", lambda x: x["level"] < F.col("level")), parent)).withColumn("_end", following)
+    return out.join(last_page, key).withColumn("end_page", F.coalesce("_end", "last_page")).drop("_before", "_after", "_end", "last_page")
+
+
+def with_ancestors(sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sort_order and chain: (sort_order, title) from the root down to the section, at any depth. One fold over a document's sections."""
+    rows = F.array_sort(F.collect_list(F.struct("sort_order", "parent_order", "title")))
+    link = "array<struct<sort_order:int,title:string>>"
+
+    def step(known, x):
+        own = F.array(F.struct(x["sort_order"].alias("sort_order"), x["title"].alias("title"))).cast(link)
+        above = F.coalesce(F.element_at(known, F.coalesce(x["parent_order"], F.lit(0))), F.array().cast(link))
+        return F.map_concat(known, F.create_map(x["sort_order"], F.concat(above, own)))
+
+    chains = F.aggregate("rows", F.create_map().cast(f"map<int,{link}>"), step)
+    return sections.groupBy(key).agg(rows.alias("rows")).select(key, F.explode(chains).alias("sort_order", "chain"))
+
+
+def heading_paths(sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sort_order, and path: titles from the root to the section; its length is the section's level in a table of contents."""
+    return with_ancestors(sections, key).select(key, "sort_order", F.transform("chain", lambda x: x["title"]).alias("path"))
+
+
+def descendants(sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, top (any section's order) and member (itself or a section below it)."""
+    return with_ancestors(sections, key).select(key, F.explode(F.transform("chain", lambda x: x["sort_order"])).alias("top"), F.col("sort_order").alias("member"))
 
 
 def segments(rows: DataFrame, key: str = "doc_id") -> DataFrame:

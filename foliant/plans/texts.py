@@ -1,5 +1,6 @@
 """Queries over document texts: lines, tokens, structure, comparison, answers."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
@@ -103,31 +104,58 @@ def chunk_documents(spark, sf_dir):
     return structure.chunk(structure.segments(rows)).select("doc_id", "chunk_index", "token_count", F.sha2("content", 256).alias("content_hash"), "forced_split")
 
 
-def outline(spark):
-    """The headings of a small policy as rows: doc_id, page, line_no, line."""
-    heads = ["1 Purpose", "2 Scope", "3 Roles", "4 Leave", "4.1 Annual leave", "4.2 Sick leave", "4.2.1 Certificates", "5 Review"]
-    return spark.createDataFrame([(1, 1 + i // 3, i + 1, h) for i, h in enumerate(heads)], "doc_id long, page int, line_no int, line string")
+_OUTLINE = """heads AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS line_no, CAST((l_linenumber + 1) // 2 AS INT) AS page, 1 + l_suppkey % 4 AS level, 'Part ' || l_partkey AS title,
+ CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS sort_order FROM lineitem),
+ tree AS (SELECT *, (SELECT max(o.sort_order) FROM heads o WHERE o.doc_id = h.doc_id AND o.sort_order < h.sort_order AND o.level < h.level) AS parent_order FROM heads h)"""
+_CHAINS = f"""WITH RECURSIVE {_OUTLINE}, chain AS (SELECT doc_id, sort_order, sort_order AS top, parent_order AS up, [title] AS path FROM tree
+ UNION ALL SELECT c.doc_id, c.sort_order, t.sort_order, t.parent_order, list_prepend(t.title, c.path) FROM chain c JOIN tree t ON t.doc_id = c.doc_id AND t.sort_order = c.up)"""
 
 
-@query("SELECT * FROM (VALUES (1, NULL, 1), (2, NULL, 1), (3, NULL, 2), (4, NULL, 3), (5, 4, 2), (6, 4, 3), (7, 6, 3), (8, NULL, 3)) t(sort_order, parent_order, end_page)")
+def outline(spark, sf_dir):
+    """Heading lines (doc_id, page, line_no, line) made of line items: an order is a document, an item a numbered heading of one to four parts."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    number = F.array_join(F.array_repeat(F.lit("1"), (F.col("l_suppkey") % 4 + 1).cast("int")), ".")
+    line = F.concat(number, F.when(F.col("l_suppkey") % 4 == 0, ". ").otherwise(" "), F.lit("Part "), F.col("l_partkey").cast("string"))
+    page = F.floor((F.col("l_linenumber") + 1) / 2).cast("int")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), page.alias("page"), F.row_number().over(order).alias("line_no"), line.alias("line"))
+
+
+def outline_tree(spark, sf_dir):
+    heads = structure.headings(outline(spark, sf_dir))
+    return structure.section_tree(heads, heads.groupBy("doc_id").agg(F.max("page").alias("last_page")))
+
+
+@query(f"""WITH {_OUTLINE} SELECT doc_id, sort_order, parent_order, CAST(coalesce((SELECT arg_min(o.page, o.sort_order) FROM heads o WHERE o.doc_id = t.doc_id AND o.sort_order > t.sort_order AND o.level <= t.level),
+ (SELECT max(o.page) FROM heads o WHERE o.doc_id = t.doc_id)) AS INT) AS end_page FROM tree t""")
 def section_tree(spark, sf_dir):
-    heads = structure.headings(outline(spark))
-    last = heads.groupBy("doc_id").agg(F.max("page").alias("last_page"))
-    return structure.section_tree(heads, last).select("sort_order", "parent_order", "end_page")
+    return outline_tree(spark, sf_dir).select("doc_id", "sort_order", "parent_order", "end_page")
 
 
-@query("SELECT * FROM (VALUES (1, ['Purpose']), (2, ['Scope']), (3, ['Roles']), (4, ['Leave']), (5, ['Leave', 'Annual leave']), (6, ['Leave', 'Sick leave']), (7, ['Leave', 'Sick leave', 'Certificates']), (8, ['Review'])) t(sort_order, path)")
+@query(f"{_CHAINS} SELECT doc_id, sort_order, path FROM chain WHERE up IS NULL")
 def heading_paths(spark, sf_dir):
-    heads = structure.headings(outline(spark))
-    tree = structure.section_tree(heads, heads.groupBy("doc_id").agg(F.max("page").alias("last_page")))
-    return structure.heading_paths(tree, depth=4).select("sort_order", "path")
+    return structure.heading_paths(outline_tree(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 2), (3, 3), (4, 4), (4, 5), (4, 6), (4, 7), (8, 8)) t(top, member)")
+@query(f"{_CHAINS} SELECT doc_id, top, sort_order AS member FROM chain")
 def section_closure(spark, sf_dir):
-    heads = structure.headings(outline(spark))
-    tree = structure.section_tree(heads, heads.groupBy("doc_id").agg(F.max("page").alias("last_page")))
-    return structure.descendants(tree, depth=4).select("top", "member")
+    return structure.descendants(outline_tree(spark, sf_dir))
+
+
+@query(f"{_CHAINS} SELECT doc_id, sort_order, CAST(len(path) AS INT) AS level, path[-1] AS title FROM chain WHERE up IS NULL")
+def contents_table(spark, sf_dir):
+    return structure.heading_paths(outline_tree(spark, sf_dir)).select("doc_id", "sort_order", F.size("path").alias("level"), F.element_at("path", -1).alias("title"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 30 * 1.4::DOUBLE THEN 1 WHEN l_quantity >= 30 * 1.2::DOUBLE THEN 2 WHEN l_returnflag = 'R' AND l_quantity >= 30 * 1.15::DOUBLE THEN 3 END AS level FROM lineitem""")
+def font_headings(spark, sf_dir):
+    line = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
+    level = structure.font_heading(line, F.col("l_quantity").cast("double"), F.lit(30.0), F.col("l_returnflag") == "R")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", level.alias("level"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, min(line) AS line FROM lines GROUP BY 1 HAVING count(*) = 1")
+def solo_lines(spark, sf_dir):
+    return structure.solo_lines(structure.lines(table(spark, sf_dir, "documents")), "doc_id")
 
 
 @query("SELECT * FROM (VALUES (1, 1, 1, 'number'), (1, 2, 2, 'number'), (1, 3, 3, 'number'), (1, NULL, 4, 'added'), (2, 1, 2, 'title'), (2, 2, NULL, 'removed'), (2, NULL, 1, 'added')) t(pair, a_order, b_order, method)")
