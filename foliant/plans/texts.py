@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
-from foliant.operators import answers, compare, structure
+from foliant.operators import answers, compare, library, structure
 from foliant.plans.registry import query, table
 
 _LINES = "lines AS (SELECT doc_id, source, CAST(n AS INT) AS line_no, trim(line, ' ') AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) WHERE trim(line, ' ') <> '')"
@@ -100,8 +100,10 @@ def median_sample(spark, sf_dir):
 @query(None)
 def chunk_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    rows = structure.lines(docs).withColumn("page", F.lit(1)).withColumn("section", F.lit(None).cast("long"))
-    return structure.chunk(structure.segments(rows)).select("doc_id", "chunk_index", "token_count", F.sha2("content", 256).alias("content_hash"), "forced_split")
+    rows = structure.lines(docs).withColumn("page", F.lit(1))
+    heads = library.numbered(structure.headings(rows), ["doc_id"], ["line_no"]).withColumnRenamed("place", "sort_order")
+    placed = library.carried_sections(rows, heads).withColumn("section", F.col("section").cast("long"))
+    return structure.chunk(structure.segments(placed)).select("doc_id", "chunk_index", "token_count", F.sha2("content", 256).alias("content_hash"), "forced_split")
 
 
 _OUTLINE = """heads AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS line_no, CAST((l_linenumber + 1) // 2 AS INT) AS page, 1 + l_suppkey % 4 AS level, 'Part ' || l_partkey AS title,

@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
+from foliant.functions import rules
 from foliant.operators import answers, catalog, compare, search, structure
 from foliant.sources import files
 
@@ -91,3 +92,34 @@ def test_recognised_words_make_lines(spark):
     rows = [(1, 1, 1, 1, 2, "world", 80.0, 50, 10, 40, 10), (1, 1, 1, 1, 1, "hello", 90.0, 0, 12, 40, 10), (1, 1, 1, 1, 3, "x", -1.0, 0, 0, 1, 1)]
     got = files.ocr_lines(spark.createDataFrame(rows, "page int, block int, par int, line int, word_no int, text string, conf double, left int, top int, width int, height int")).first()
     assert (got["text"], got["x0"], got["y0"], got["x1"], got["y1"], got["conf"]) == ("hello world", 0, 10, 90, 22, 85.0)
+
+
+def test_outline_of_a_policy(spark):
+    heads = ["1. Purpose", "2. Scope", "3) Roles", "4. Leave", "4.1 Annual leave", "4.2 Sick leave", "4.2.1 Certificates", "Appendix A.2 Forms", "4 Leave days"]
+    rows = spark.createDataFrame([(1, 1 + i // 3, i + 1, h) for i, h in enumerate(heads)], "doc_id long, page int, line_no int, line string")
+    tree = structure.section_tree(structure.headings(rows), spark.createDataFrame([(1, 3)], "doc_id long, last_page int"))
+    got = {r["sort_order"]: (r["parent_order"], r["end_page"]) for r in tree.collect()}
+    assert got == {1: (None, 1), 2: (None, 1), 3: (None, 2), 4: (None, 3), 5: (4, 2), 6: (4, 3), 7: (6, 3), 8: (4, 3)}
+    paths = {r["sort_order"]: r["path"] for r in structure.heading_paths(tree).collect()}
+    assert paths[7] == ["Leave", "Sick leave", "Certificates"] and paths[8] == ["Leave", "Forms"]
+
+
+def test_paths_have_no_depth_limit(spark):
+    rows = spark.createDataFrame([(1, i, i - 1 or None, f"t{i}") for i in range(1, 31)], "doc_id long, sort_order int, parent_order int, title string")
+    assert max(len(r["path"]) for r in structure.heading_paths(rows).collect()) == 30
+    assert structure.descendants(rows).count() == 30 * 31 // 2
+
+
+def test_sentences_have_offsets(spark):
+    text = " One is here [1]. next stays. Two. [2] (Three)  "
+    spans = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(rules.sentence_spans(F.col("t")).alias("s")).collect()
+    assert [(s["sentence"], text[s["begin"] : s["end"]].strip()) for s in spans[0]["s"]] == [(x, x) for x in ["One is here [1]. next stays.", "Two. [2]", "(Three)"]]
+    assert spans[1]["s"] is None and spans[2]["s"] == []
+
+
+def test_text_rules(spark):
+    row = spark.createDataFrame([("a [1] b [9] c [01]", "2024-02-30", "Good. Bad §CANARY-1 x. Fine.")], "m string, d string, c string").select(
+        rules.strip_markers(F.col("m"), F.array(F.lit(1))).alias("m"), rules.coerced_date(F.col("d")).alias("d"), rules.strip_canary(F.col("c")).alias("c"),
+        rules.clip_to_tokens(F.lit("w " * 100), 3).alias("cut"), rules.version_step_allowed(F.lit("FAILED"), F.lit("READY")).alias("step"),
+    ).first()
+    assert tuple(row)[:3] == ("a [1] b c [01]", None, "Good. Fine.") and row["cut"].endswith(" [...]") and not row["step"]
