@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
 
 
-def drop_contained(sources: DataFrame, group: str) -> DataFrame:
-    """group and kept: the sources (source_id, score, text) best first, without blank ones and those equal to, inside or around a kept one."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "source_id", F.lower(X.collapse(F.col("text"))).alias("t"))))
-    grouped = sources.groupBy(group).agg(rows.alias("rows"))
+def best_of(sources: DataFrame, group: str, take: int, *order) -> DataFrame:
+    """The first `take` sources of each group; Spark cuts each partition to them before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    return sources.withColumn("_place", place).filter(F.col("_place") <= take)
+
+
+def drop_contained(sources: DataFrame, group: str, take: int = 30) -> DataFrame:
+    """group and kept: the sources (source_id, score, text) best first, without blank ones and those equal to, inside or around a kept one.
+
+    Only the best `take` sources of a group come in question, as a search returns so many candidates; ties by source_id.
+    """
+    best = best_of(sources, group, take, F.desc("score"), "source_id")
+    rows = F.array_sort(F.collect_list(F.struct("_place", "source_id", F.lower(X.collapse(F.coalesce("text", F.lit("")))).alias("t"))))
+    grouped = best.groupBy(group).agg(rows.alias("rows"))
     start = F.filter("rows", lambda x: F.lit(False))
 
     def step(kept, x):
@@ -21,9 +31,12 @@ def drop_contained(sources: DataFrame, group: str) -> DataFrame:
     return grouped.select(group, F.transform(F.aggregate("rows", start, step), lambda x: x["source_id"]).alias("kept"))
 
 
-def pack_budget(sources: DataFrame, group: str, budget: int) -> DataFrame:
-    """group, used, chosen: in rank order each source (rank, source_id, cost) that still fits is taken; those that do not are passed over."""
-    grouped = sources.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", F.col("cost").cast("long").alias("cost")))).alias("rows"))
+def pack_budget(sources: DataFrame, group: str, budget: int, take: int = 30) -> DataFrame:
+    """group, used, chosen: in rank order each source (rank, source_id, cost) that still fits is taken; those that do not are passed over.
+
+    Only the first `take` sources of a group come in question.
+    """
+    grouped = best_of(sources, group, take, "rank", "source_id").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", F.col("cost").cast("long").alias("cost")))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("chosen"))
 
     def step(s, x):
@@ -63,8 +76,6 @@ def quoted_span(pairs: DataFrame, key: str) -> DataFrame:
 
 def median_pick(chunks: DataFrame, section: str, order: str, take: int) -> DataFrame:
     """The middle `take` chunks of each section."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(section)
     n = F.count("*").over(w)
     start = F.floor((n - F.least(n, F.lit(take))) / 2)

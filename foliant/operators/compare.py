@@ -4,21 +4,41 @@ from __future__ import annotations
 
 import difflib
 import re
+import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import expressions as X
+
+#: Least similarity of the third pass; from so many new sections on, fewer matches than this share mean a restructured text.
+LEAST_SIMILARITY = 0.86
+LEAST_MATCHED, LEAST_SECTIONS = 0.30, 3
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the session's shared folder; where none is named, a local master gets one of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliant-"))
+    return df.checkpoint()
+
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("pair", key).orderBy(order))
     return rows.filter(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
-def align(a: DataFrame, b: DataFrame) -> DataFrame:
+def align(a: DataFrame, b: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """pair, a_order, b_order, method of sections (pair, sort_order, number, title) of both versions.
 
-    By number first, then the rest by title without marks; the first section of a key counts on both sides. What is left is REMOVED or ADDED.
+    By number first, then the rest by title without marks; the first section of a key counts on both sides. With scores (pair, a_order,
+    b_order, score), what is left is matched greedily by them. Then the rest is removed or added. A pair with LEAST_SECTIONS new
+    sections or more and less than LEAST_MATCHED of them matched is one row whole_document without sections.
     """
     bare = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
     a, b = (x.withColumn("bare", bare) for x in (a, b))
@@ -30,30 +50,86 @@ def align(a: DataFrame, b: DataFrame) -> DataFrame:
     def rest(x: DataFrame, done: DataFrame, side: str) -> DataFrame:
         return x.join(done.select("pair", F.col(side).alias("sort_order")), ["pair", "sort_order"], "left_anti")
 
-    by_number = matched(a, b, "number", "number")
-    a2, b2 = rest(a, by_number, "a_order"), rest(b, by_number, "b_order")
-    by_title = matched(a2, b2, "bare", "title")
-    gone, new = rest(a2, by_title, "a_order"), rest(b2, by_title, "b_order")
+    found = matched(a, b, "number", "number")
+    gone, new = rest(a, found, "a_order"), rest(b, found, "b_order")
+    by_title = matched(gone, new, "bare", "title")
+    found, gone, new = found.unionByName(by_title), rest(gone, by_title, "a_order"), rest(new, by_title, "b_order")
+    if scores is not None:
+        open_a, open_b = (x.select("pair", F.col("sort_order").alias(n)) for x, n in ((gone, "a_order"), (new, "b_order")))
+        near = greedy_match(scores.join(open_a, ["pair", "a_order"], "left_semi").join(open_b, ["pair", "b_order"], "left_semi"))
+        near = near.select("pair", "a_order", "b_order", F.lit("similarity").alias("method"))
+        found, gone, new = found.unionByName(near), rest(gone, near, "a_order"), rest(new, near, "b_order")
     none = F.lit(None).cast("int")
     gone = gone.select("pair", F.col("sort_order").alias("a_order"), none.alias("b_order"), F.lit("removed").alias("method"))
     new = new.select("pair", none.alias("a_order"), F.col("sort_order").alias("b_order"), F.lit("added").alias("method"))
-    return by_number.unionByName(by_title).unionByName(gone).unionByName(new)
+    every = found.unionByName(gone).unionByName(new)
+    both = F.count_if(F.col("a_order").isNotNull() & F.col("b_order").isNotNull())
+    sizes = every.groupBy("pair").agg(both.alias("matched"), F.count("a_order").alias("old"), F.count("b_order").alias("new"))
+    lost = sizes.filter((F.col("old") > 0) & (F.col("new") >= LEAST_SECTIONS) & (F.col("matched") / F.col("new") < LEAST_MATCHED)).select("pair")
+    whole = lost.select("pair", none.alias("a_order"), none.alias("b_order"), F.lit("whole_document").alias("method"))
+    return every.join(lost, "pair", "left_anti").unionByName(whole)
+
+
+def greedy_match(scores: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """pair, a_order, b_order, score: best first, each section once. scores: the candidates (pair, a_order, b_order, score).
 
+    In rounds: a candidate that both its sections rank first is taken, and all others of the two sections go. That gives the rows of
+    one pass over the candidates in order, without a pair of versions ever being one group. Of equal scores the later
+    section comes first, in the old version and then in the new. Repeated candidates count once, with their best score; null orders and scores are
+    no candidates.
+    """
+    open_ = scores.filter((F.col("score") >= least) & F.col("a_order").isNotNull() & F.col("b_order").isNotNull())
+    open_ = cut(open_.groupBy("pair", "a_order", "b_order").agg(F.max("score").alias("score")))
+    found: list[DataFrame] = []
+    while not open_.isEmpty():
+        of_a = open_.groupBy("pair", "a_order").agg(F.max(F.struct("score", "b_order")).alias("m")).select("pair", "a_order", "m.b_order", "m.score")
+        of_b = open_.groupBy("pair", "b_order").agg(F.max(F.struct("score", "a_order")).alias("m")).select("pair", "m.a_order", "b_order")
+        taken = cut(of_a.join(of_b, ["pair", "a_order", "b_order"]))
+        found.append(taken)
+        open_ = cut(open_.join(taken.select("pair", "a_order"), ["pair", "a_order"], "left_anti").join(taken.select("pair", "b_order"), ["pair", "b_order"], "left_anti"))
+    out = open_
+    for taken in found:
+        out = out.unionByName(taken)
+    return out.select("pair", "a_order", "b_order", "score")
+
+
+def word_change_share(old: str, new: str) -> float:
+    """Words of the longer text outside the matching blocks, over all of them; 1 where neither has a word."""
+    a, b = (re.findall(r"\w+", (t or "").lower()) for t in (old, new))
+    most = max(len(a), len(b))
+    same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    return (most - same) / most if most else 1.0
+
+
+def section_changes(aligned: DataFrame, a: DataFrame, b: DataFrame, critical: list[str]) -> DataFrame:
+    """pair, a_order, b_order, change, proportion and severity of the aligned sections that differ.
+
+    a, b: pair, sort_order, title, text. Sections of equal hash drop out undiffed; whole_document rows compare all texts of a pair in order. A
+    title that holds a critical pattern makes a change MAJOR; no materiality verdict is at hand.
+    """
+
+    def side(x: DataFrame, name: str) -> DataFrame:
+        return x.select("pair", F.col("sort_order").alias(f"{name}_order"), F.col("title").alias(f"{name}_title"), F.col("text").alias(f"{name}_text"))
 
-def greedy_match(scores: DataFrame, least: float = 0.86) -> DataFrame:
-    """pair, a_order, b_order, score: best first, each section once. scores: all candidates of a pair of versions."""
+    def all_text(x: DataFrame, name: str) -> DataFrame:
+        texts = F.array_sort(F.collect_list(F.struct("sort_order", "text")))
+        return x.groupBy("pair").agg(F.array_join(F.transform(texts, lambda r: r["text"]), "\n\n").alias(f"{name}_text"))
 
-    def pick(got: pd.DataFrame) -> pd.DataFrame:
-        got = got.sort_values(["score", "a_order", "b_order"], ascending=[False, True, True])
-        used_a, used_b, rows = set(), set(), []
-        for r in got.itertuples(index=False):
-            if r.a_order not in used_a and r.b_order not in used_b:
-                used_a.add(r.a_order)
-                used_b.add(r.b_order)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=got.columns)
+    parts = aligned.filter("method <> 'whole_document'").join(side(a, "a"), ["pair", "a_order"], "left").join(side(b, "b"), ["pair", "b_order"], "left")
+    lost = aligned.filter("method = 'whole_document'")
+    whole = lost.join(all_text(a.join(lost, "pair", "left_semi"), "a"), "pair", "left").join(all_text(b.join(lost, "pair", "left_semi"), "b"), "pair", "left")
+    rows = parts.unionByName(whole, allowMissingColumns=True)
+    change = F.when(F.col("method") == "added", "ADDED").when(F.col("method") == "removed", "REMOVED").otherwise("MODIFIED")
+    rows = rows.withColumn("change", change).filter((F.col("change") != "MODIFIED") | ~F.sha2("a_text", 256).eqNullSafe(F.sha2("b_text", 256)))
+
+    @F.pandas_udf("double")
+    def share(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([round(word_change_share(x, y), 6) for x, y in zip(old, new)])
 
-    return scores.filter(F.col("score") >= least).groupBy("pair").applyInPandas(pick, scores.schema)
+    rows = rows.withColumn("proportion", F.when(F.col("change") != "MODIFIED", 1.0).otherwise(share("a_text", "b_text")))
+    held = F.coalesce(X.critical_section(F.coalesce("b_title", "a_title"), critical), F.lit(False))
+    severity = X.comparison_severity(F.col("change"), held, F.lit(None).cast("string"), F.col("proportion"))
+    return rows.select("pair", "a_order", "b_order", "change", "proportion", severity.alias("severity"))
 
 
 def changed_share(old: str, new: str) -> float:

@@ -67,18 +67,25 @@ def rerank(docs: DataFrame, query: str, *, key: str, least: float | None = 0.35,
     return ranked(scored if least is None else scored.filter(F.col("score") >= least), limit, key)
 
 
-def nearest_of_others(vectors: DataFrame, k: int, *, block: int = 2000) -> DataFrame:
-    """vec_id, other_id, score: for each vector its k nearest among vectors of other labels, exact, ties by id.
+def nearest_of_others(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 2000) -> DataFrame:
+    """vec_id, other_id, score, rank: for each query its k nearest among vectors of other labels, exact, ties by id.
 
-    The vectors are dealt into blocks; each pair of blocks is one matrix product that keeps k rows a vector, and a window joins the
-    blocks' results. Memory and shuffle stay bounded by blocks and k, only the multiplications grow with the square.
+    queries are a stated set, such as the statements of one new version. They are dealt into blocks of about `block` rows, and so are the vectors;
+    each pair of blocks is one matrix product that keeps k rows a query, and a window joins the blocks' results. Up to `block`
+    queries, every vector is shuffled once; beyond, once for each block of queries. Zero vectors and null ids are near nothing.
     """
-    vectors = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    n = max(1, -(-vectors.count() // block))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-    every = F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")
-    left = dealt.withColumn("other", F.explode(every)).select(F.col("part").alias("i"), F.col("other").alias("j"), "vec_id", "label", "v")
-    right = dealt.withColumn("other", F.explode(every)).select(F.col("other").alias("i"), F.col("part").alias("j"), "vec_id", "label", "v")
+
+    def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+        rows = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & F.exists("v", lambda x: x != 0))
+        n = max(1, -(-rows.count() // block))
+        return rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n))), n
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+    (asked, many), (held, parts) = dealt(queries), dealt(vectors)
+    left = asked.select(F.col("part").alias("i"), every(parts).alias("j"), "vec_id", "label", "v")
+    right = held.select(every(many).alias("i"), F.col("part").alias("j"), "vec_id", "label", "v")
     schema = pa.schema([("vec_id", pa.int64()), ("other_id", pa.int64()), ("score", pa.float64())])
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -100,7 +107,7 @@ def nearest_of_others(vectors: DataFrame, k: int, *, block: int = 2000) -> DataF
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def candidate_pairs(vectors: DataFrame, *, k: int = 5, least: float = 0.83) -> DataFrame:
-    """Pairs a < b where b is among the k nearest of a: the cut at k comes first, so a pair may be lost when only a is near b."""
-    near = nearest_of_others(vectors, k).filter(F.col("score") >= least)
-    return near.filter("other_id > vec_id").select(F.col("vec_id").alias("a"), F.col("other_id").alias("b"), "score")
+def candidate_pairs(queries: DataFrame, vectors: DataFrame, *, k: int = 5, least: float = 0.83) -> DataFrame:
+    """Unordered pairs a < b and their score, where one is a query and the other among its k nearest."""
+    near = nearest_of_others(queries, vectors, k).filter(F.col("score") >= least)
+    return near.select(F.least("vec_id", "other_id").alias("a"), F.greatest("vec_id", "other_id").alias("b"), "score").distinct()

@@ -77,7 +77,7 @@ def quoted_spans(spark, sf_dir):
     return answers.quoted_span(docs, "doc_id")
 
 
-@query("""WITH RECURSIVE r AS (SELECT doc_id % 50 AS q, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS n, doc_id, n_chars AS cost FROM documents),
+@query("""WITH RECURSIVE r AS (SELECT doc_id % 50 AS q, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS n, doc_id, n_chars AS cost FROM documents QUALIFY n <= 30),
  p AS (SELECT q, n, CASE WHEN cost <= 6000 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 6000 THEN [doc_id] ELSE [] END AS chosen FROM r WHERE n = 1
  UNION ALL SELECT r.q, r.n, CASE WHEN used + cost <= 6000 THEN used + cost ELSE used END, CASE WHEN used + cost <= 6000 THEN list_append(chosen, doc_id) ELSE chosen END FROM p JOIN r ON r.q = p.q AND r.n = p.n + 1)
  SELECT q, used, chosen FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC) AS last FROM p) WHERE last = 1""")
@@ -86,7 +86,11 @@ def context_pack(spark, sf_dir):
     return answers.pack_budget(sources, "q", 6000)
 
 
-@query(None)
+@query("""WITH RECURSIVE r AS (SELECT doc_id % 50 AS q, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS n, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS t FROM documents QUALIFY n <= 30),
+ p AS (SELECT q, n, CASE WHEN t = '' THEN [] ELSE [doc_id] END AS kept, CASE WHEN t = '' THEN [] ELSE [t] END AS texts FROM r WHERE n = 1
+ UNION ALL SELECT q, n, CASE WHEN twin THEN kept ELSE list_append(kept, doc_id) END, CASE WHEN twin THEN texts ELSE list_append(texts, t) END FROM
+ (SELECT r.q, r.n, r.doc_id, r.t, kept, texts, r.t = '' OR len(list_filter(texts, lambda x: contains(x, r.t) OR contains(r.t, x))) > 0 AS twin FROM p JOIN r ON r.q = p.q AND r.n = p.n + 1))
+ SELECT q, kept FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC) AS last FROM p) WHERE last = 1""")
 def dedup_sources(spark, sf_dir):
     sources = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("q"), F.col("doc_id").alias("source_id"), F.col("n_chars").alias("score"), "text")
     return answers.drop_contained(sources, "q")
@@ -160,12 +164,40 @@ def solo_lines(spark, sf_dir):
     return structure.solo_lines(structure.lines(table(spark, sf_dir, "documents")), "doc_id")
 
 
-@query("SELECT * FROM (VALUES (1, 1, 1, 'number'), (1, 2, 2, 'number'), (1, 3, 3, 'number'), (1, NULL, 4, 'added'), (2, 1, 2, 'title'), (2, 2, NULL, 'removed'), (2, NULL, 1, 'added')) t(pair, a_order, b_order, method)")
+_VERSIONS = """rows AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS sort_order FROM lineitem),
+ a AS (SELECT l_orderkey AS pair, sort_order, CASE WHEN l_quantity >= 20 THEN CAST(l_suppkey AS VARCHAR) END AS number, 'Part ' || l_partkey % 20 AS title FROM rows WHERE l_returnflag <> 'A'),
+ b AS (SELECT l_orderkey AS pair, sort_order, CASE WHEN l_quantity < 40 THEN CAST(l_suppkey AS VARCHAR) END AS number, 'PART-' || l_partkey % 20 AS title FROM rows WHERE l_returnflag <> 'R')"""
+
+
+def versions(spark, sf_dir):
+    """Sections (pair, sort_order, number, title, text) of an old and a new version, made of the line items of each order."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("sort_order", F.row_number().over(order))
+
+    def side(kept, numbered, prefix):
+        number = F.when(numbered, F.col("l_suppkey").cast("string"))
+        text = F.concat_ws(" ", F.lit(prefix), F.col("l_partkey").cast("string"), "l_linestatus", F.col("l_linenumber").cast("string"))
+        return rows.filter(kept).select(F.col("l_orderkey").alias("pair"), "sort_order", number.alias("number"), F.concat(F.lit(prefix), (F.col("l_partkey") % 20).cast("string")).alias("title"), text.alias("text"))
+
+    return side("l_returnflag <> 'A'", F.col("l_quantity") >= 20, "Part "), side("l_returnflag <> 'R'", F.col("l_quantity") < 40, "PART-")
+
+
+@query(f"""WITH {_VERSIONS}, n AS (SELECT pair, a_order, b_order, 'number' AS method FROM (SELECT pair, number, min(sort_order) AS a_order FROM a WHERE number IS NOT NULL GROUP BY ALL) JOIN (SELECT pair, number, min(sort_order) AS b_order FROM b WHERE number IS NOT NULL GROUP BY ALL) USING (pair, number)),
+ a2 AS (SELECT pair, sort_order, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS bare FROM a ANTI JOIN n ON a.pair = n.pair AND sort_order = a_order), b2 AS (SELECT pair, sort_order, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS bare FROM b ANTI JOIN n ON b.pair = n.pair AND sort_order = b_order),
+ t AS (SELECT pair, a_order, b_order, 'title' AS method FROM (SELECT pair, bare, min(sort_order) AS a_order FROM a2 GROUP BY ALL) JOIN (SELECT pair, bare, min(sort_order) AS b_order FROM b2 GROUP BY ALL) USING (pair, bare)),
+ every AS (FROM n UNION ALL FROM t UNION ALL SELECT a2.pair, sort_order, NULL, 'removed' FROM a2 ANTI JOIN t ON a2.pair = t.pair AND sort_order = a_order UNION ALL SELECT b2.pair, NULL, sort_order, 'added' FROM b2 ANTI JOIN t ON b2.pair = t.pair AND sort_order = b_order),
+ lost AS (SELECT pair FROM every GROUP BY 1 HAVING count(a_order) > 0 AND count(b_order) >= 3 AND count(*) FILTER (a_order IS NOT NULL AND b_order IS NOT NULL) / count(b_order)::DOUBLE < 0.3)
+ SELECT every.* FROM every ANTI JOIN lost USING (pair) UNION ALL SELECT pair, NULL, NULL, 'whole_document' FROM lost""")
 def section_alignment(spark, sf_dir):
-    ddl = "pair long, sort_order int, number string, title string"
-    a = spark.createDataFrame([(1, 1, "1", "Purpose"), (1, 2, "3.1", "Leave"), (1, 3, "4.2", "Review"), (2, 1, None, "Data Use!"), (2, 2, "7", "Old")], ddl)
-    b = spark.createDataFrame([(1, 1, "1", "Purpose"), (1, 2, "3.1", "Leave"), (1, 3, "4.2", "Review"), (1, 4, "5.1", "Remote"), (2, 1, "9", "New"), (2, 2, None, "data use")], ddl)
-    return compare.align(a, b)
+    return compare.align(*versions(spark, sf_dir))
+
+
+@query(None)
+def version_comparison(spark, sf_dir):
+    a, b = versions(spark, sf_dir)
+    near = a.select("pair", F.col("sort_order").alias("a_order"), "title").join(b.select("pair", F.col("sort_order").alias("b_order"), F.replace("title", F.lit("PART-"), F.lit("Part ")).alias("other")), "pair")
+    scores = near.select("pair", "a_order", "b_order", F.round(1 - F.levenshtein("title", "other") / F.greatest(F.length("title"), F.length("other")), 6).alias("score"))
+    return compare.section_changes(compare.align(a, b, scores), a, b, ["part 7"])
 
 
 @query(None)
@@ -177,10 +209,11 @@ def text_difference(spark, sf_dir):
 
 @query(None)
 def greedy_alignment(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    a, b = v.filter("vec_id % 2 = 0"), v.filter("vec_id % 2 = 1")
-    scores = a.alias("a").join(b.alias("b"), "label").select(F.col("label").cast("long").alias("pair"), F.col("a.vec_id").alias("a_order"), F.col("b.vec_id").alias("b_order"), F.round(X.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("score"))
-    return compare.greedy_match(scores, 0.2)
+    """Line items of an order stand for the sections of its two versions; likeness is that of their quantities."""
+    sized = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), "l_linenumber", "l_quantity")
+    a, b = (sized.filter(sized.l_linenumber % 2 == n).groupBy("pair", F.col("l_linenumber").alias(o)).agg(F.max("l_quantity").alias(q)) for n, o, q in ((1, "a_order", "x"), (0, "b_order", "y")))
+    scores = a.join(b, "pair").select("pair", "a_order", "b_order", F.round(1 - F.abs(F.col("x") - F.col("y")) / 50, 6).alias("score"))
+    return compare.greedy_match(scores)
 
 
 @query("SELECT conv_id, turn, turn > 0 AND (len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 12 OR regexp_matches(lower(text), '\\b(it|this|that|those|these|they|them|above|previous)\\b')) AS rewrite FROM conversations WHERE role = 'user'")

@@ -1,8 +1,10 @@
 """Small cases worked out by hand."""
 
 import io
+import random
 import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
@@ -28,6 +30,60 @@ def test_contained_sources_go(spark):
     assert answers.drop_contained(spark.createDataFrame(rows, "q int, source_id int, score double, text string"), "q").first()["kept"] == [1, 3]
 
 
+def test_only_the_best_sources_come_in_question(spark):
+    rows = [(1, i, float(-i), f"text number {i} " * 3) for i in range(50)] + [(2, 0, 1.0, None)]
+    got = {r["q"]: r["kept"] for r in answers.drop_contained(spark.createDataFrame(rows, "q int, source_id int, score double, text string"), "q", 4).collect()}
+    assert got == {1: [0, 1, 2, 3], 2: []}
+    costs = spark.createDataFrame([(1, i, i, 1) for i in range(50)], "q int, rank int, source_id int, cost int")
+    assert answers.pack_budget(costs, "q", 100, 4).first()["chosen"] == [0, 1, 2, 3]
+
+
+def test_greedy_match_agrees_with_one_ordered_pass(spark):
+    random.seed(4)
+    rows = [(p, i, j, random.randint(80, 99) / 100) for p in range(6) for i in range(9) for j in range(8) if random.random() < 0.7]
+    rows += rows[:20] + [(7, i, i + d, 0.9 + (2 * i + d) / 1000) for i in range(12) for d in (0, 1)] + [(8, None, 1, 0.9), (8, 1, 1, None), (9, 1, 1, 0.5)]
+    want = set()
+    for p in range(10):
+        used_a, used_b = set(), set()
+        for s, i, j in sorted({(s, i, j) for q, i, j, s in rows if q == p and None not in (i, s) and s >= 0.86}, reverse=True):
+            if i not in used_a and j not in used_b:
+                want.add((p, i, j, s))
+                used_a.add(i)
+                used_b.add(j)
+    got = [tuple(r) for r in compare.greedy_match(spark.createDataFrame(rows, "pair long, a_order int, b_order int, score double")).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert compare.greedy_match(spark.createDataFrame([], "pair long, a_order int, b_order int, score double")).count() == 0
+
+
+def test_sections_align_in_passes_and_fall_back_to_whole_documents(spark):
+    ddl = "pair long, sort_order int, number string, title string, text string"
+    a = [(1, 1, "1", "Purpose", "same"), (1, 2, "3.1", "Leave", "five days of leave"), (1, 3, None, "Data Use!", "x"), (1, 4, "9", "Old", "gone"), (1, 5, "7", "Near", "near one"), (2, 1, "1", "A", "all of it"), (3, 1, "1", "Same", None)]
+    b = [(1, 1, "1", "Aim", "same"), (1, 2, "3.1", "Leave", "Six days of leave"), (1, 3, None, "data use", "y"), (1, 4, "5", "Security", "new"), (1, 5, "8", "Close", "near two")]
+    b += [(2, i, str(i + 1), f"B{i}", f"part {i}") for i in (2, 1, 3)] + [(3, 1, "1", "Same", None)]
+    a, b = spark.createDataFrame(a, ddl), spark.createDataFrame(b, ddl)
+    scores = spark.createDataFrame([(1, 5, 5, 0.9), (1, 4, 5, 0.88), (1, 1, 4, 0.99), (1, 4, 4, 0.5)], "pair long, a_order int, b_order int, score double")
+    aligned = compare.align(a, b, scores)
+    methods = {(r["pair"], r["a_order"], r["b_order"]): r["method"] for r in aligned.collect()}
+    assert methods == {(1, 1, 1): "number", (1, 2, 2): "number", (1, 3, 3): "title", (1, 5, 5): "similarity", (1, 4, None): "removed", (1, None, 4): "added", (2, None, None): "whole_document", (3, 1, 1): "number"}
+    got = {(r["pair"], r["a_order"], r["b_order"]): (r["change"], r["proportion"], r["severity"]) for r in compare.section_changes(aligned, a, b, ["security"]).collect()}
+    assert got == {
+        (1, 2, 2): ("MODIFIED", 0.25, "MINOR"), (1, 3, 3): ("MODIFIED", 1.0, "MODERATE"), (1, 5, 5): ("MODIFIED", 0.5, "MODERATE"), (1, 4, None): ("REMOVED", 1.0, "MODERATE"),
+        (1, None, 4): ("ADDED", 1.0, "MAJOR"), (2, None, None): ("MODIFIED", 1.0, "MODERATE"),
+    }
+    assert compare.word_change_share("", None) == 1.0 and compare.word_change_share("A b", "a B") == 0
+
+
+def test_nearest_of_a_query_set(spark):
+    random.seed(5)
+    rows = [(i, [random.gauss(0, 1) for _ in range(6)], i % 4) for i in range(120)] + [(200, [0.0] * 6, 1), (None, [1.0] * 6, 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    unit = {i: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for i, v, _ in rows[:120]}
+    want = {(i, j) for i in range(0, 120, 10) for j in sorted((j for j in unit if j % 4 != i % 4), key=lambda j: (-round(float(unit[i] @ unit[j]), 6), j))[:3]}
+    for block in (7, 500):
+        got = search.nearest_of_others(vectors.filter("vec_id % 10 = 0"), vectors, 3, block=block).collect()
+        assert {(r["vec_id"], r["other_id"]) for r in got if r["vec_id"] != 200} == want and not any(r["vec_id"] == 200 for r in got)
+
+
 def test_markers_titles_and_controls(spark):
     df = spark.createDataFrame([("x [1] y [SOURCE 12] z [123]\nSOURCE 3: no",)], "t string")
     row = df.select(X.citation_markers(F.col("t")).alias("m"), X.redact_controls(F.col("t")).alias("r"), X.first_line_title(F.col("t")).alias("f")).first()
