@@ -28,46 +28,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("pair", key).orderBy(order))
-    return rows.filter(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("_n", n).filter("_n = 1").drop("_n")
-
-
 def align(a: DataFrame, b: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """pair, a_order, b_order, method of sections (pair, sort_order, number, title) of both versions.
 
     By number first, then the rest by title without marks; the first section of a key counts on both sides. With scores (pair, a_order,
     b_order, score), what is left is matched greedily by them. Then the rest is removed or added. A pair with LEAST_SECTIONS new
-    sections or more and less than LEAST_MATCHED of them matched is one row whole_document without sections.
+    sections or more and less than LEAST_MATCHED of them matched is one row whole_document without sections. Both versions are dealt by pair
+    once; every step is a window within it. Rows without a pair are left out.
     """
-    bare = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
-    a, b = (x.withColumn("bare", bare) for x in (a, b))
-
-    def matched(x: DataFrame, y: DataFrame, key: str, method: str) -> DataFrame:
-        x, y = (first_per_key(t, key, "sort_order").select("pair", key, F.col("sort_order").alias(n)) for t, n in ((x, "a_order"), (y, "b_order")))
-        return x.join(y, ["pair", key]).select("pair", "a_order", "b_order", F.lit(method).alias("method"))
-
-    def rest(x: DataFrame, done: DataFrame, side: str) -> DataFrame:
-        return x.join(done.select("pair", F.col(side).alias("sort_order")), ["pair", "sort_order"], "left_anti")
 
-    found = matched(a, b, "number", "number")
-    gone, new = rest(a, found, "a_order"), rest(b, found, "b_order")
-    by_title = matched(gone, new, "bare", "title")
-    found, gone, new = found.unionByName(by_title), rest(gone, by_title, "a_order"), rest(new, by_title, "b_order")
+    def side(x: DataFrame, old: bool) -> DataFrame:
+        bare = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
+        return x.filter("pair IS NOT NULL").select("pair", F.lit(old).alias("old"), "sort_order", "number", bare.alias("bare"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("int").alias("other"))
+
+    rows = side(a, True).unionByName(side(b, False)).repartition("pair")
+    for key, name in (("number", "number"), ("bare", "title")):
+        w = Window.partitionBy("pair", key, F.col("method").isNull())
+        first_old, first_new = (F.min(F.when(x, F.col("sort_order"))).over(w) for x in (F.col("old"), ~F.col("old")))
+        rows = rows.withColumns({"_old": first_old, "_new": first_new})
+        own, its = F.when(F.col("old"), F.col("_old")).otherwise(F.col("_new")), F.when(F.col("old"), F.col("_new")).otherwise(F.col("_old"))
+        hit = F.col("method").isNull() & (F.col(key) != "") & (F.col("sort_order") == own) & its.isNotNull()
+        rows = rows.withColumns({"method": F.when(hit, name).otherwise(F.col("method")), "other": F.when(hit, its).otherwise(F.col("other"))}).drop("_old", "_new")
     if scores is not None:
-        open_a, open_b = (x.select("pair", F.col("sort_order").alias(n)) for x, n in ((gone, "a_order"), (new, "b_order")))
+        rows = cut(rows)
+        open_a, open_b = (rows.filter(x & F.col("method").isNull()).select("pair", F.col("sort_order").alias(n)) for x, n in ((F.col("old"), "a_order"), (~F.col("old"), "b_order")))
         near = greedy_match(scores.join(open_a, ["pair", "a_order"], "left_semi").join(open_b, ["pair", "b_order"], "left_semi"))
-        near = near.select("pair", "a_order", "b_order", F.lit("similarity").alias("method"))
-        found, gone, new = found.unionByName(near), rest(gone, near, "a_order"), rest(new, near, "b_order")
-    none = F.lit(None).cast("int")
-    gone = gone.select("pair", F.col("sort_order").alias("a_order"), none.alias("b_order"), F.lit("removed").alias("method"))
-    new = new.select("pair", none.alias("a_order"), F.col("sort_order").alias("b_order"), F.lit("added").alias("method"))
-    every = found.unionByName(gone).unionByName(new)
-    both = F.count_if(F.col("a_order").isNotNull() & F.col("b_order").isNotNull())
-    sizes = every.groupBy("pair").agg(both.alias("matched"), F.count("a_order").alias("old"), F.count("b_order").alias("new"))
-    lost = sizes.filter((F.col("old") > 0) & (F.col("new") >= LEAST_SECTIONS) & (F.col("matched") / F.col("new") < LEAST_MATCHED)).select("pair")
-    whole = lost.select("pair", none.alias("a_order"), none.alias("b_order"), F.lit("whole_document").alias("method"))
-    return every.join(lost, "pair", "left_anti").unionByName(whole)
+        ends = near.select("pair", F.lit(True).alias("old"), F.col("a_order").alias("sort_order"), F.col("b_order").alias("near"))
+        ends = ends.unionByName(near.select("pair", F.lit(False).alias("old"), F.col("b_order").alias("sort_order"), F.col("a_order").alias("near")))
+        rows = rows.join(ends, ["pair", "old", "sort_order"], "left")
+        rows = rows.withColumns({"method": F.when(F.col("near").isNotNull(), "similarity").otherwise(F.col("method")), "other": F.coalesce("other", "near")})
+    w = Window.partitionBy("pair")
+    sizes = {"_a": F.count_if("old").over(w), "_b": F.count_if(~F.col("old")).over(w), "_both": F.count_if(F.col("old") & F.col("method").isNotNull()).over(w)}
+    rows = rows.withColumns(sizes | {"_place": F.row_number().over(w.orderBy("old", "sort_order"))})
+    lost = (F.col("_a") > 0) & (F.col("_b") >= LEAST_SECTIONS) & (F.col("_both") / F.col("_b") < LEAST_MATCHED)
+    kept = rows.withColumn("lost", lost).filter(F.when(F.col("lost"), F.col("_place") == 1).otherwise(F.col("old") | F.col("method").isNull()))
+    a_order = F.when(F.col("old") & ~F.col("lost"), F.col("sort_order"))
+    b_order = F.when(~F.col("lost"), F.when(F.col("old"), F.col("other")).otherwise(F.col("sort_order")))
+    method = F.when(F.col("lost"), "whole_document").otherwise(F.coalesce("method", F.when(F.col("old"), "removed").otherwise("added")))
+    return kept.select("pair", a_order.alias("a_order"), b_order.alias("b_order"), method.alias("method"))
 
 
 def greedy_match(scores: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
