@@ -68,7 +68,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def owners(data: np.ndarray, ends: np.ndarray, width: int, gram: int, block: int = 1 << 18) -> tuple[np.ndarray, ...]:
+def owners(data: np.ndarray, ends: np.ndarray, width: int, gram: int, block: int = 1 << 17) -> tuple[np.ndarray, ...]:
     """Position, first and last owned window start, gram hash and hash of all owned bytes of each owner; ends: where each text ends."""
     found, begin, last = [], 0, len(data) - width
     text_end = np.asarray(ends)
@@ -229,8 +229,8 @@ def sorted_windows(data: np.ndarray, starts: np.ndarray, begin: np.ndarray, end:
         order = merge_sort(data, hashes, starts, begin, end, width)
         equal, right = np.zeros(len(starts), bool), bool((np.bincount(order, minlength=len(order)) == 1).all())
         inner = np.flatnonzero(np.arange(len(starts)) > begin)
-        for at in range(0, len(inner), 1 << 16):
-            y = inner[at : at + (1 << 16)]
+        for at in range(0, len(inner), 1 << 13):
+            y = inner[at : at + (1 << 13)]
             a, b = (data[starts[order[z]][:, None] + np.arange(width)] for z in (y - 1, y))
             differ = a != b
             first = differ.argmax(axis=1)
@@ -343,7 +343,7 @@ def split_large(contexts: DataFrame, width: int, gram: int, most: int, place: Co
         contexts = stash(calm.unionByName(parts.filter("x < y")))
 
 
-def suffix_dedup(docs: DataFrame, *, width: int = 100, gram: int = 32, most: int = 4096, bucket: int = 16384) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, width: int = 100, gram: int = 32, most: int = 2048, bucket: int = 4096) -> DataFrame:
     """doc_id, n_bytes, spans (start, end; removed bytes, maximal) and kept (the other bytes) of every row of docs (doc_id, text).
 
     Removed is each byte covered by a string of `width` bytes that also starts earlier: in a row of smaller doc_id, or in the same text. `gram`: bytes
@@ -353,11 +353,12 @@ def suffix_dedup(docs: DataFrame, *, width: int = 100, gram: int = 32, most: int
     place = F.col("doc") if alone else F.struct("doc", "copy")
     found = stash(rows.select("doc", "copy", "text").mapInArrow(emit_owners(width, gram), ddl(OWNERS)))
     held = found.filter("k IS NOT NULL").drop("end")
-    spans = [found.filter("k IS NULL").select("doc", "copy", F.col("pos").alias("start"), "end")]
+    spans = [stash(found.filter("k IS NULL").select("doc", "copy", F.col("pos").alias("start"), "end"))]
     recurring = held.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c_min"), F.max("c").alias("c_max"), F.min(place).alias("first"))
     recurring = stash(recurring.filter("n > 1").select("k", (F.col("c_min") != F.col("c_max")).alias("differ"), "first"))
     release(docs.sparkSession)
     again = stash(held.join(recurring, "k"))
+    discard(found, recurring)
     release(docs.sparkSession)
     spans.append(spans_of(again.filter(~F.col("differ") & (place != F.col("first"))), width))
     mixed = again.filter("differ").drop("first")
@@ -375,7 +376,7 @@ def suffix_dedup(docs: DataFrame, *, width: int = 100, gram: int = 32, most: int
     for part in parts[1:]:
         every = every.unionByName(part)
     every = stash(every.groupBy("doc", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    discard(found, recurring, again, told)
+    discard(spans[0], again, told, contexts)
     release(docs.sparkSession)
     return rows.join(every, ["doc", "copy"], "left").select("doc_id", "text", "spans").mapInArrow(cut_texts, OUT)
 
