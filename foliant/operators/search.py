@@ -108,6 +108,6 @@ def nearest_of_others(queries: DataFrame, vectors: DataFrame, k: int, *, block:
 
 
 def candidate_pairs(queries: DataFrame, vectors: DataFrame, *, k: int = 5, least: float = 0.83) -> DataFrame:
-    """Unordered pairs a < b and their score, where one is a query and the other among its k nearest."""
-    near = nearest_of_others(queries, vectors, k).filter(F.col("score") >= least)
-    return near.select(F.least("vec_id", "other_id").alias("a"), F.greatest("vec_id", "other_id").alias("b"), "score").distinct()
+    """a < b, score and rank: a is a query and b among its k nearest; of an unordered pair only the direction from the smaller id counts, after the cut."""
+    near = nearest_of_others(queries, vectors, k).filter((F.col("score") >= least) & (F.col("other_id") > F.col("vec_id")))
+    return near.select(F.col("vec_id").alias("a"), F.col("other_id").alias("b"), "score", "rank")
