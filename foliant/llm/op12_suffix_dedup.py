@@ -324,13 +324,15 @@ def spans_of(rows: DataFrame, width: int) -> DataFrame:
 
 def split_large(contexts: DataFrame, width: int, gram: int, most: int, place: Column) -> tuple[DataFrame, list[DataFrame]]:
     """Contexts in groups (key) of at most `most`, and spans of the later windows of larger groups whose windows are all equal."""
-    contexts = contexts.withColumns({"x": F.lit(0), "y": F.lit(width - gram)})
+    open_ = contexts.withColumns({"x": F.lit(0), "y": F.lit(width - gram)})
+    small: list[DataFrame] = []
     settled: list[DataFrame] = []
     while True:
-        large = stash(contexts.groupBy("key").count().filter(F.col("count") > most).select("key"))
+        large = stash(open_.groupBy("key").count().filter(F.col("count") > most).select("key"))
         if not large.stashed_rows:
-            return contexts, settled
-        hot, calm = (join_counted(contexts, large, "key", how) for how in ("left_semi", "left_anti"))
+            break
+        hot, calm = (join_counted(open_, large, "key", how) for how in ("left_semi", "left_anti"))
+        small.append(calm)  # what is small enough is not looked at again
         middle = F.floor((F.col("x") + F.col("y")) / 2).cast("int")
         halves = F.array(F.struct(F.col("x").alias("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("y").alias("y")))
         parts = hot.withColumn("half", F.explode(halves)).filter("lo <= half.y AND hi >= half.x")
@@ -340,7 +342,11 @@ def split_large(contexts: DataFrame, width: int, gram: int, most: int, place: Co
         one = parts.filter("x = y")
         first = one.groupBy("key").agg(F.min(place).alias("first"))
         settled.append(spans_of(one.join(first, "key").filter(place != F.col("first")), width))
-        contexts = stash(calm.unionByName(parts.filter("x < y")))
+        open_ = parts.filter("x < y")
+    out = open_
+    for part in small:
+        out = out.unionByName(part)
+    return out, settled
 
 
 def suffix_dedup(docs: DataFrame, *, width: int = 100, gram: int = 32, most: int = 2048, bucket: int = 4096) -> DataFrame:
@@ -367,9 +373,9 @@ def suffix_dedup(docs: DataFrame, *, width: int = 100, gram: int = 32, most: int
     wanted = told.filter(place == F.col("first")).groupBy("doc", "copy").agg(F.collect_list(F.struct("k", "pos", "lo", "hi")).alias("wanted"))
     contexts = stash(rows.select("doc", "copy", "text").join(wanted, ["doc", "copy"]).mapInArrow(emit_contexts(width), ddl(CONTEXTS)))
     release(docs.sparkSession)
-    contexts, settled = split_large(contexts, width, gram, most, place)
-    buckets = max(1, -(-contexts.select("key").count() // bucket))
-    dealt = contexts.select(*CONTEXTS.names, F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+    buckets = max(1, -(-contexts.stashed_rows // bucket))
+    groups, settled = split_large(contexts, width, gram, most, place)
+    dealt = groups.select(*CONTEXTS.names, F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
     later = dealt.groupBy("bucket").applyInArrow(lambda t: later_windows(width)(t.drop_columns("bucket")), ddl(SPANS))
     parts = [*spans, *settled, later]
     every = parts[0]
