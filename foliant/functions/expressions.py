@@ -56,7 +56,7 @@ def collapse(text: Column) -> Column:
 def diff_normal(text: Column) -> Column:
     """Unix line ends, one space for runs inside a line, at most one blank line, no space around."""
     t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.regexp_replace(t, "[ \t]+", " ")
+    t = F.regexp_replace(t, r"(?U)[\s\x1c-\x1f&&[^\n]]+", " ")
     t = F.regexp_replace(t, " ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 

@@ -7,24 +7,30 @@ import re
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
+from foliant.functions.difference import difference, share
 
 #: Least similarity of the third pass; from so many new sections on, fewer matches than this share mean a restructured text.
 LEAST_SIMILARITY = 0.86
 LEAST_MATCHED, LEAST_SECTIONS = 0.30, 3
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the session's shared folder; where none is named, a local master gets one of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where none is named, a local master gets one of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foliant-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -99,60 +105,65 @@ def word_change_share(old: str, new: str) -> float:
     return (most - same) / most if most else 1.0
 
 
-def section_changes(aligned: DataFrame, a: DataFrame, b: DataFrame, critical: list[str]) -> DataFrame:
-    """pair, a_order, b_order, change, proportion and severity of the aligned sections that differ.
+def section_changes(aligned: DataFrame, a: DataFrame, b: DataFrame, critical: list[str], materiality: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """pair, section, a_order, b_order, change, proportion, severity, old_text and new_text of the aligned sections that differ.
 
-    a, b: pair, sort_order, title, text. Sections of equal hash drop out undiffed; whole_document rows compare all texts of a pair in order. A
-    title that holds a critical pattern makes a change MAJOR; no materiality verdict is at hand.
+    a, b: pair, sort_order, number, title, text. Sections of equal hash drop out undiffed, and so do those that differ in form alone;
+    whole_document rows compare all texts of a pair in order. section: title, number or place among the aligned sections of the pair. A title or number that holds a critical
+    pattern raises a change's severity, as does a verdict in materiality (pair, section, materiality), if there is one. Sections in done (pair, section) were written by an
+    earlier attempt and drop out.
     """
 
     def side(x: DataFrame, name: str) -> DataFrame:
-        return x.select("pair", F.col("sort_order").alias(f"{name}_order"), F.col("title").alias(f"{name}_title"), F.col("text").alias(f"{name}_text"))
+        return x.select("pair", *[F.col(c).alias(f"{name}_{n}") for c, n in (("sort_order", "order"), ("title", "title"), ("number", "number"), ("text", "text"))])
 
     def all_text(x: DataFrame, name: str) -> DataFrame:
         texts = F.array_sort(F.collect_list(F.struct("sort_order", "text")))
         return x.groupBy("pair").agg(F.array_join(F.transform(texts, lambda r: r["text"]), "\n\n").alias(f"{name}_text"))
 
-    parts = aligned.filter("method <> 'whole_document'").join(side(a, "a"), ["pair", "a_order"], "left").join(side(b, "b"), ["pair", "b_order"], "left")
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(F.col("a_order").isNull(), "a_order", "b_order"))
+    parts = aligned.filter("method <> 'whole_document'").withColumn("place", place).join(side(a, "a"), ["pair", "a_order"], "left").join(side(b, "b"), ["pair", "b_order"], "left")
     lost = aligned.filter("method = 'whole_document'")
     whole = lost.join(all_text(a.join(lost, "pair", "left_semi"), "a"), "pair", "left").join(all_text(b.join(lost, "pair", "left_semi"), "b"), "pair", "left")
     rows = parts.unionByName(whole, allowMissingColumns=True)
+    title, number = (F.when(F.col("a_order").isNotNull(), F.col(f"a_{n}")).otherwise(F.col(f"b_{n}")) for n in ("title", "number"))
+    label = F.when(F.col("method") == "whole_document", "(whole document)").otherwise(F.coalesce(F.nullif(title, F.lit("")), F.nullif(number, F.lit("")), F.concat(F.lit("section_"), F.col("place"))))
     change = F.when(F.col("method") == "added", "ADDED").when(F.col("method") == "removed", "REMOVED").otherwise("MODIFIED")
-    rows = rows.withColumn("change", change).filter((F.col("change") != "MODIFIED") | ~F.sha2("a_text", 256).eqNullSafe(F.sha2("b_text", 256)))
-
-    @F.pandas_udf("double")
-    def share(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([round(word_change_share(x, y), 6) for x, y in zip(old, new)])
-
-    rows = rows.withColumn("proportion", F.when(F.col("change") != "MODIFIED", 1.0).otherwise(share("a_text", "b_text")))
-    held = F.coalesce(X.critical_section(F.coalesce("b_title", "a_title"), critical), F.lit(False))
-    severity = X.comparison_severity(F.col("change"), held, F.lit(None).cast("string"), F.col("proportion"))
-    return rows.select("pair", "a_order", "b_order", "change", "proportion", severity.alias("severity"))
-
-
-def changed_share(old: str, new: str) -> float:
-    """Changed words over the words of the longer text, at most 1: sentences are compared first, words inside replaced ones."""
-    cut = re.compile(r"(?<=[.!?])\s+")
-    a, b = ([s for s in cut.split(t.strip()) if s] for t in (old or "", new or ""))
-    changed = 0
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        x, y = " ".join(a[i:j]).split(), " ".join(b[k:m]).split()
-        if op == "replace":
-            for inner, p, q, r, s in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                changed += 0 if inner == "equal" else max(q - p, s - r)
-        elif op != "equal":
-            changed += len(x) + len(y)
-    most = max(len((old or "").split()), len((new or "").split()))
-    return min(1.0, changed / most) if most else 0.0
+    held = F.coalesce(X.critical_section(F.concat_ws(" ", title, number), critical), F.lit(False))
+    rows = rows.withColumns({"change": change, "section": label, "held": held})
+    if done is not None:
+        rows = rows.join(done.select("pair", "section").distinct(), ["pair", "section"], "left_anti")
+    rows = rows.filter((F.col("change") != "MODIFIED") | ~F.sha2("a_text", 256).eqNullSafe(F.sha2("b_text", 256)))
+    rows = text_changes(rows.withColumns({"old_text": F.when(F.col("change") == "MODIFIED", F.col("a_text")), "new_text": F.when(F.col("change") == "MODIFIED", F.col("b_text"))}))
+    rows = rows.filter("change <> 'MODIFIED' OR NOT unchanged").withColumn("proportion", F.when(F.col("change") != "MODIFIED", 1.0).otherwise(F.col("proportion")))
+    rows = rows.withColumn("materiality", F.lit(None).cast("string")) if materiality is None else rows.join(materiality.select("pair", "section", "materiality"), ["pair", "section"], "left")
+    severity = X.comparison_severity(F.col("change"), F.col("held"), F.when(F.col("change") == "MODIFIED", F.col("materiality")), F.col("proportion"))
+    return rows.select("pair", "section", "a_order", "b_order", "change", "proportion", severity.alias("severity"), F.col("a_text").alias("old_text"), F.col("b_text").alias("new_text"))
+
+
+def comparison_summary(aligned: DataFrame, changes: DataFrame) -> DataFrame:
+    """pair, total, major, moderate, minor (numbers of changes) and alignment_degraded (compared as whole documents) of every aligned pair."""
+    degraded = aligned.groupBy("pair").agg(F.bool_or(F.col("method") == "whole_document").alias("alignment_degraded"))
+    counts = changes.groupBy("pair").agg(F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("MAJOR", "MODERATE", "MINOR")])
+    return degraded.join(counts, "pair", "left").na.fill(0, ["total", "major", "moderate", "minor"])
 
 
 def text_changes(pairs: DataFrame) -> DataFrame:
-    """Adds unchanged (equal hashes, no diff needed) and proportion to rows with old_text and new_text."""
+    """Adds unchanged (alike but for form), proportion, changed_words and spans (tag, old, new; none if unchanged) to rows with old_text and new_text.
+
+    Texts of equal hash and those equal in normal form are not compared; a missing text counts as empty. One Arrow function a batch, in memory and time about linear in the
+    texts and their pairs of equal words.
+    """
+    kind = "struct<spans:array<struct<tag:string,old:string,new:string>>,changed:long,proportion:double>"
 
-    @F.pandas_udf("double")
-    def share(old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([round(changed_share(x, y), 6) for x, y in zip(old, new)])
+    @F.pandas_udf(kind)
+    def compared(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+        rows = [difference(x, y) if x is not None else ([], 0, 0) for x, y in zip(old, new)]
+        return pd.DataFrame({"spans": [[{"tag": t, "old": x, "new": y} for t, x, y in spans] for spans, _, _ in rows], "changed": [c for _, c, _ in rows], "proportion": [round(share(c, n, not s), 6) for s, c, n in rows]})
 
+    old, new = (F.coalesce(X.diff_normal(F.col(c)), F.lit("")) for c in ("old_text", "new_text"))
     same = F.sha2("old_text", 256).eqNullSafe(F.sha2("new_text", 256))
-    out = pairs.withColumn("unchanged", same)
-    return out.withColumn("proportion", F.when(F.col("unchanged"), 0.0).otherwise(share("old_text", "new_text")))
+    name = "_difference"
+    out = pairs.withColumn("unchanged", same | (old == new))
+    out = out.withColumn(name, compared(F.when(~F.col("unchanged"), old), F.when(~F.col("unchanged"), new)))
+    return out.withColumns({"proportion": F.col(f"{name}.proportion"), "changed_words": F.col(f"{name}.changed"), "spans": F.col(f"{name}.spans")}).drop(name)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.packing import Limits, pack_section, token_estimate
+from foliant.operators.compare import cut
+
 #: Numbering kinds in the order they are tried, with the heading level they give (0: the number of parts).
 NUMBERING = [
     ("decimal", r"^(\d+(?:\.\d+)+)[.)]?\s+(\S.*)$", 0),
@@ -18,6 +21,10 @@ NUMBERING = [
 ]
 
 
+#: Most words of a heading, and of one with a single number, which may be a list item.
+MOST_WORDS, MOST_SINGLE_WORDS = 24, 8
+
+
 def lines(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, line_no (from 1 among all lines of the page) and the trimmed line; blank lines are left out."""
     out = pages.select(key, F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line_no", "line"))
@@ -29,7 +36,7 @@ def is_table(line):
 
 
 def is_list(line):
-    return line.rlike(r"^(?:[-*•]|\d+[.)]|[a-z][.)])\s+")
+    return line.rlike(r"^(?:[-•*‣◦▪]|\(?\d{1,2}[.)]|\(?[a-z][.)])\s+")
 
 
 def is_caps_heading(line):
@@ -46,26 +53,48 @@ def furniture(page_lines: DataFrame, group: str, page: str) -> DataFrame:
     return edges.groupBy(group, "line").agg(F.count_distinct(page).alias("pages")).filter("pages >= 2")
 
 
+def marked_lines(page_lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds running (equal to a first or last line of two or more pages of the document) and solo (equal to a line that is all a page holds).
+
+    page_lines: key, page, line_no, line. Lines are compared with runs of white space as one space. One shuffle by key.
+    """
+    on_page, alike = Window.partitionBy(key, "page"), Window.partitionBy(key, "_norm")
+    norm = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
+    rows = page_lines.withColumn("_norm", norm).repartition(key)
+    rows = rows.withColumns({"_first": F.min("line_no").over(on_page), "_last": F.max("line_no").over(on_page), "_n": F.count("*").over(on_page)})
+    edge = F.when((F.col("line_no") == F.col("_first")) | (F.col("line_no") == F.col("_last")), F.col("page"))
+    rows = rows.withColumns({"running": F.coalesce(F.min(edge).over(alike) < F.max(edge).over(alike), F.lit(False)), "solo": F.max(F.col("_n") == 1).over(alike)})
+    return rows.drop("_norm", "_first", "_last", "_n")
+
+
 def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds number, title and level to heading lines (key, page, line_no, line); other lines go.
 
-    Numbered lines are headings if short enough; capitals are headings of level 2 until the first numbered one.
+    Numbered lines are headings if short enough, or whatever their length if in bold. Until the first numbered one of the document, lines set larger than the body text
+    are headings, and where there are no fonts, capitals, of level 2. Optional columns: size, body and bold of the line's font (null: none at hand);
+    running, whose lines are no headings; solo, whose capitals are none (see marked_lines).
     """
+    have = {c: F.col(c) if c in rows.columns else F.lit(None).cast(kind) for c, kind in (("size", "double"), ("body", "double"), ("bold", "boolean"), ("running", "boolean"), ("solo", "boolean"))}
+    bold, running, solo = (F.coalesce(have[c], F.lit(False)) for c in ("bold", "running", "solo"))
+    words = F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))
     number = title = level = F.lit(None)
-    for _, pattern, depth in reversed(NUMBERING):
+    for kind, pattern, depth in reversed(NUMBERING):
         hit = F.col("line").rlike(pattern)
-        found = F.regexp_extract("line", pattern, 1)
-        number = F.when(hit, found).otherwise(number)
-        title = F.when(hit, F.regexp_extract("line", pattern, 2)).otherwise(title)
-        level = F.when(hit, F.size(F.split(found, r"\.")) if depth == 0 else F.lit(depth)).otherwise(level)
-    words = F.size(F.split("line", r"\s+"))
-    numbered = number.isNotNull() & (words <= F.when(F.col("line").rlike(NUMBERING[-1][1]) & ~F.col("line").rlike(NUMBERING[0][1]), 8).otherwise(24)) & ~F.col("line").rlike(r"[.!?;]$")
-    out = rows.withColumn("number", F.when(numbered, number)).withColumn("level", F.when(numbered, level)).withColumn("title", F.when(numbered, title))
+        found, rest = F.regexp_extract("line", pattern, 1), F.trim(F.regexp_extract("line", pattern, 2))
+        short = words <= (MOST_SINGLE_WORDS if kind == "single" else MOST_WORDS)
+        fits = (rest != "") & (short | bold if kind in ("decimal", "single") else short)
+        named = F.concat(F.lit("Appendix "), found) if kind == "appendix" else found
+        number = F.when(hit, F.when(fits, named)).otherwise(number)
+        title = F.when(hit, F.when(fits, rest)).otherwise(title)
+        level = F.when(hit, F.when(fits, F.size(F.split(found, r"\.")) if depth == 0 else F.lit(depth))).otherwise(level)
+    out = rows.filter(~running).withColumns({"number": number, "title": title, "level": level.cast("int")})
     before = Window.partitionBy(key).orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.max(F.col("number").isNotNull()).over(before), F.lit(False))
-    caps = F.col("number").isNull() & is_caps_heading(F.col("line")) & ~fresh
-    out = out.withColumn("_caps", caps).withColumn("title", F.when(F.col("_caps"), F.col("line")).otherwise(F.col("title"))).withColumn("level", F.when(F.col("_caps"), 2).otherwise(F.col("level")))
-    return out.filter("title IS NOT NULL").drop("_caps")
+    fresh = ~F.coalesce(F.max(F.col("number").isNotNull()).over(before), F.lit(False))
+    shape = F.when(have["size"].isNotNull() & have["body"].isNotNull(), font_heading(F.col("line"), have["size"], have["body"], bold))
+    shape = F.coalesce(shape, F.when(have["size"].isNull() & ~solo & is_caps_heading(F.col("line")), 2))
+    out = out.withColumn("_shape", F.when(F.col("number").isNull() & fresh, shape))
+    out = out.withColumns({"title": F.coalesce("title", F.when(F.col("_shape").isNotNull(), F.col("line"))), "level": F.coalesce("level", "_shape")})
+    return out.filter("title IS NOT NULL").drop("_shape")
 
 
 def font_heading(line, size, body, bold):
@@ -84,31 +113,38 @@ def section_tree(heads: DataFrame, last_page: DataFrame, key: str = "doc_id") ->
     """sort_order, parent_order and end_page of headings (key, page, line_no, level, ...).
 
     The parent is the last earlier section of smaller level; a section ends on the page where the next of the same or a smaller level begins.
-    last_page: key and the number of the document's last page. Windows over one document's headings, no join of headings with headings.
+    last_page: key and the number of the document's last page. One running maximum and, from the end, one running minimum for each level there is, so a document
+    takes time and memory linear in its headings.
     """
     order = Window.partitionBy(key).orderBy("page", "line_no")
     rows = heads.withColumn("sort_order", F.row_number().over(order))
-    before = F.collect_list(F.struct("level", "sort_order")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.collect_list(F.struct("level", "page")).over(order.rowsBetween(1, Window.unboundedFollowing))
-    parent = F.element_at(F.filter("_before", lambda x: x["level"] < F.col("level")), -1)["sort_order"]
-    following = F.get(F.filter("_after", lambda x: x["level"] <= F.col("level")), F.lit(0))["page"]
-    out = rows.withColumn("_before", before).withColumn("_after", after)
-    out = out.withColumn("parent_order", F.when(F.exists("_before", lambda x: x["level"] < F.col("level")), parent)).withColumn("_end", following)
-    return out.join(last_page, key).withColumn("end_page", F.coalesce("_end", "last_page")).drop("_before", "_after", "_end", "last_page")
+    levels = sorted(r[0] for r in rows.select("level").distinct().collect())  # as many as there are kinds of headings
+    before = Window.partitionBy(key).orderBy("sort_order").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(key).orderBy(F.desc("sort_order")).rowsBetween(Window.unboundedPreceding, -1)
+    last, following = F.lit(None).cast("int"), F.lit(None).cast("struct<sort_order:int,page:int>")
+    for n in levels:
+        own = F.col("level") == n
+        last = F.when(own, F.max(F.when(F.col("level") < n, F.col("sort_order"))).over(before)).otherwise(last)
+        following = F.when(own, F.min(F.when(F.col("level") <= n, F.struct("sort_order", F.col("page").cast("int").alias("page")))).over(after)).otherwise(following)
+    out = rows.withColumn("parent_order", last).withColumn("_next", following)
+    return out.join(last_page, key).withColumn("end_page", F.coalesce("_next.page", "last_page")).drop("_next", "last_page")
 
 
 def with_ancestors(sections: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, sort_order and chain: (sort_order, title) from the root down to the section, at any depth. One fold over a document's sections."""
-    rows = F.array_sort(F.collect_list(F.struct("sort_order", "parent_order", "title")))
-    link = "array<struct<sort_order:int,title:string>>"
+    """key, sort_order and chain: (sort_order, title) from the root down to the section, at any depth.
 
-    def step(known, x):
-        own = F.array(F.struct(x["sort_order"].alias("sort_order"), x["title"].alias("title"))).cast(link)
-        above = F.coalesce(F.element_at(known, F.coalesce(x["parent_order"], F.lit(0))), F.array().cast(link))
-        return F.map_concat(known, F.create_map(x["sort_order"], F.concat(above, own)))
-
-    chains = F.aggregate("rows", F.create_map().cast(f"map<int,{link}>"), step)
-    return sections.groupBy(key).agg(rows.alias("rows")).select(key, F.explode(chains).alias("sort_order", "chain"))
+    Pointers are doubled: each round puts the chain of the section pointed at before one's own and points where that one points, so there are as many rounds as
+    the deepest chain has binary digits. A parent that is missing ends a chain.
+    """
+    state = sections.select(key, "sort_order", F.col("parent_order").alias("up"), F.array(F.struct("sort_order", "title")).alias("chain"))
+    while True:
+        state = cut(state)
+        if state.filter("up IS NOT NULL").isEmpty():
+            return state.drop("up")
+        above = state.select(key, F.col("sort_order").alias("up"), F.col("up").alias("_up"), F.col("chain").alias("_chain"))
+        moved = state.filter("up IS NOT NULL").join(above, [key, "up"], "left")
+        longer = F.when(F.col("_chain").isNull(), F.col("chain")).otherwise(F.concat("_chain", "chain"))
+        state = state.filter("up IS NULL").unionByName(moved.select(key, "sort_order", F.col("_up").alias("up"), longer.alias("chain")))
 
 
 def heading_paths(sections: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -122,11 +158,16 @@ def descendants(sections: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def segments(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Runs of lines of one kind and section (key, page, line_no, line, section): kind, text, pages. Runs go over page ends."""
+    """Runs of lines of one kind and section (key, page, line_no, line, section): kind, text, pages. Runs go over page ends.
+
+    An optional column heading marks lines that stand alone, of kind heading.
+    """
     kind = F.when(is_table(F.col("line")), "table").when(is_list(F.col("line")), "list").otherwise("paragraph")
+    if "heading" in rows.columns:
+        kind = F.when(F.col("heading"), "heading").otherwise(kind)
     w = Window.partitionBy(key).orderBy("page", "line_no")
     marked = rows.withColumn("kind", kind)
-    changed = (F.lag("kind").over(w) != F.col("kind")) | ~F.col("section").eqNullSafe(F.lag("section").over(w)) | F.lag("kind").over(w).isNull()
+    changed = (F.lag("kind").over(w) != F.col("kind")) | ~F.col("section").eqNullSafe(F.lag("section").over(w)) | F.lag("kind").over(w).isNull() | (F.col("kind") == "heading")
     numbered = marked.withColumn("segment", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.array_sort(F.collect_list(F.struct("page", "line_no", "line")))
     grouped = numbered.groupBy(key, "segment").agg(F.first("kind").alias("kind"), F.first("section").alias("section"), F.min("page").alias("page"), F.max("page").alias("end_page"), parts.alias("_lines"))
@@ -134,83 +175,30 @@ def segments(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return grouped.withColumn("text", F.when(F.col("kind") == "table", F.array_join(texts, "\n")).otherwise(F.array_join(texts, " "))).drop("_lines")
 
 
-CHUNKS = "doc_id long, chunk_index int, section long, page int, end_page int, content string, token_count long, forced_split boolean"
-
+CHUNK = "struct<content:string,token_count:long,page:int,end_page:int,contains_table:boolean,contains_list:boolean,forced_split:boolean>"
 
-def word_count(text: str) -> int:
-    return len(text.split())
 
+def chunk(segment_rows: DataFrame, *, target: int = 800, least: int = 500, most: int = 1000, overlap: int = 78, count: Callable[[str], int] = token_estimate, table_pages: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Chunks (key, chunk_index, section, content, token_count, page, end_page, contains_table, contains_list, forced_split) of segments (key, segment, kind, section, page, end_page, text).
 
-def pieces(text: str, kind: str, most: int, count: Callable[[str], int]) -> list[tuple[str, bool]]:
-    """A segment that fits, or its rows, sentences or at last words in parts that fit."""
-    import re
-
-    if count(text) <= most:
-        return [(text, False)]
-    units, glue = (text.split("\n"), "\n") if kind == "table" else (re.split(r"(?<=[.!?])\s+", text), " ")
-    out: list[tuple[str, bool]] = []
-    for unit in units:
-        if count(unit) > most:
-            words, part = unit.split(), []
-            for w in words:
-                if part and count(" ".join([*part, w])) > most:
-                    out.append((" ".join(part), True))
-                    part = []
-                part.append(w)
-            out.append((" ".join(part), True))
-        elif out and not out[-1][1] and count(out[-1][0] + glue + unit) <= most:
-            out[-1] = (out[-1][0] + glue + unit, False)
-        else:
-            out.append((unit, False))
-    return out
-
-
-def chunk(segment_rows: DataFrame, *, target: int = 800, least: int = 500, most: int = 1000, overlap: int = 78, count: Callable[[str], int] = word_count) -> DataFrame:
-    """Chunks of segments (doc_id, segment, kind, section, page, end_page, text) of a document, packed in order.
-
-    A section always ends a chunk; a chunk is closed before it would exceed `target`; its last `overlap` tokens open the next chunk of the
-    section. A last chunk under `least` joins the one before if both fit the target. One document's segments are one group.
+    Segments over `most` tokens are cut at rows, sentences or at last words. Within a section, segments gather until the next one would pass `target`; then the last paragraphs
+    of the chunk, or whole sentences of one, of at most `overlap` tokens open the next chunk. A chunk under `least` takes the next one in if both fit the target. A section
+    always ends a chunk, so each section of a document is a group of its own. table_pages: key and page of pages known to
+    hold a table, which mark the chunks that touch them.
     """
-    names = [c.split()[0] for c in CHUNKS.split(", ")]
-
-    def pack(got: pa.Table) -> pa.Table:
-        rows = sorted(got.to_pylist(), key=lambda r: r["segment"])
-        chunks: list[dict] = []
-        current: dict | None = None
-
-        def close() -> None:
-            nonlocal current
-            if current and current["real"]:
-                before = chunks[-1] if chunks else None
-                small = before and before["section"] == current["section"] and before["tokens"] < least and before["tokens"] + current["real_tokens"] <= target
-                if small:
-                    before["parts"] += current["real"]
-                    before["tokens"] += current["real_tokens"]
-                    before["end_page"] = current["end_page"]
-                else:
-                    chunks.append({"section": current["section"], "parts": current["carry"] + current["real"], "tokens": count(" ".join(current["carry"] + current["real"])), "page": current["page"], "end_page": current["end_page"], "forced": current["forced"]})
-            current = None
-
-        for r in rows:
-            for text, forced in pieces(r["text"], r["kind"], most, count):
-                n = count(text)
-                if current and current["section"] != r["section"]:
-                    close()
-                carry: list[str] = []
-                if current and current["real"] and current["real_tokens"] + n + count(" ".join(current["carry"])) > target:
-                    tail = " ".join(current["real"]).split()[-overlap:] if overlap else []
-                    close()
-                    carry = [" ".join(tail)] if tail and len(tail) + n <= most else []
-                if current is None:
-                    current = {"section": r["section"], "carry": carry, "real": [], "real_tokens": 0, "page": r["page"], "end_page": r["end_page"], "forced": False}
-                current["real"].append(text)
-                current["real_tokens"] += n
-                current["end_page"] = r["end_page"]
-                current["forced"] |= forced
-        close()
-        doc = rows[0]["doc_id"] if rows else None
-        data = [(doc, i, c["section"], c["page"], c["end_page"], "\n".join(c["parts"]), count("\n".join(c["parts"])), c["forced"]) for i, c in enumerate(chunks)]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.bool_()]
-        return pa.Table.from_arrays([pa.array([d[i] for d in data], k) for i, k in enumerate(kinds)], names=names)
-
-    return segment_rows.groupBy("doc_id").applyInArrow(pack, CHUNKS)
+    parts = F.array_sort(F.collect_list(F.struct("segment", "kind", "text", "page", "end_page")))
+    grouped = segment_rows.groupBy(key, "section").agg(F.min("segment").alias("_first"), parts.alias("_parts"))
+    limits = Limits(target, least, max(most, target), overlap)
+
+    @F.pandas_udf(f"array<{CHUNK}>")
+    def pack(sections: pd.Series) -> pd.Series:
+        return pd.Series([pack_section([(p["kind"], p["text"], p["page"], p["end_page"]) for p in parts], limits, count) for parts in sections])
+
+    packed = grouped.select(key, "section", "_first", F.posexplode(pack("_parts")).alias("_place", "_chunk"))
+    order = Window.partitionBy(key).orderBy("_first", "_place")
+    out = packed.select(key, (F.row_number().over(order) - 1).alias("chunk_index"), "section", "_chunk.*")
+    if table_pages is not None:
+        touched = out.select(key, "chunk_index", F.explode(F.sequence("page", "end_page")).alias("page")).join(table_pages.select(key, "page").distinct(), [key, "page"], "left_semi")
+        out = out.join(touched.select(key, "chunk_index").distinct().withColumn("_table", F.lit(True)), [key, "chunk_index"], "left")
+        out = out.withColumn("contains_table", F.col("contains_table") | F.coalesce("_table", F.lit(False))).drop("_table")
+    return out

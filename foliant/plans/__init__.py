@@ -1,3 +1,3 @@
 """Queries that bind the operators to tables."""
 
-from foliant.plans import assembly, conflicts, library, records, search, texts  # noqa: F401
+from foliant.plans import assembly, conflicts, keyword, library, records, search, texts  # noqa: F401

@@ -1,9 +1,13 @@
 """Search queries over embeddings and documents."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import search as S
+from foliant.operators import vectors as V
+from foliant.operators.compare import shared_folder
 from foliant.plans.registry import query, table
 
 TERMS, QUESTION = ["the", "that", "with"], "the that with which tion"
@@ -90,3 +94,12 @@ def near_pairs(spark, sf_dir):
 @query(f"{NEAR_PAIRS} SELECT * FROM near")
 def similar_pairs_topk(spark, sf_dir):
     return near_pairs(spark, sf_dir)
+
+
+@query(f"{NEAR_PAIRS} SELECT * FROM near")
+def indexed_pairs(spark, sf_dir):
+    """similar_pairs_topk by the stored index: a third of its cells are probed."""
+    vectors = twins(spark, sf_dir)
+    index = V.build(vectors, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", cells=24)
+    near = V.nearest_by_index(index, vectors.filter("vec_id % 100 = 0"), 5, probes=8)
+    return near.filter("score >= 0.83 AND other_id > vec_id").select(F.col("vec_id").alias("a"), F.col("other_id").alias("b"), "score", "rank")

@@ -23,9 +23,80 @@ def furniture(spark, sf_dir):
     return structure.furniture(rows, "source", "doc_id")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines WHERE len(regexp_split_to_array(line, '\\s+')) BETWEEN 2 AND 8 AND len(line) <= 60 AND line = upper(line) AND regexp_matches(line, '\\pL') AND NOT regexp_matches(line, '[.!?,;:]$')")
+def _first_words(n: int) -> str:
+    return f"array_to_string(regexp_split_to_array(line, '\\s+')[1:{n}], ' ')"
+
+
+#: Lines of documents on pages of five, some of them made headings of every kind, in capitals, or a running head.
+_POLICY = f"""{_LINES}, kinds AS (SELECT *, (doc_id + line_no) % 13 AS kind, doc_id % 4 <> 0 AS numbered FROM lines),
+ policy AS (SELECT doc_id, CAST((line_no - 1) // 5 + 1 AS INT) AS page, line_no, CASE WHEN numbered AND kind = 0 THEN line_no || '.' || (line_no % 3 + 1) || ' ' || {_first_words(5)} WHEN numbered AND kind = 3 THEN 'Section ' || line_no || ': ' || {_first_words(3)}
+   WHEN numbered AND kind = 5 THEN 'Appendix ' || chr(CAST(65 + line_no % 26 AS INT)) || '.' || line_no % 4 || ' ' || {_first_words(3)} WHEN numbered AND kind = 7 THEN 'IV. ' || {_first_words(3)} WHEN numbered AND kind = 9 THEN line_no || ') ' || {_first_words(4)}
+   WHEN kind = 11 THEN regexp_replace(upper(replace({_first_words(4)}, 'ß', 'ss')), '[.!?,;:]', '', 'g') WHEN line_no % 5 = 1 AND doc_id % 3 = 0 THEN '7. Running head' ELSE line END AS line FROM kinds)"""
+_CAPS = "len(regexp_split_to_array(line, '\\s+')) BETWEEN 2 AND 8 AND len(line) <= 60 AND line = upper(line) AND regexp_matches(line, '\\pL') AND NOT regexp_matches(line, '[.!?,;:]$')"
+
+
+def policy_lines(spark, sf_dir):
+    """doc_id, page, line_no and line of documents, with planted headings (see _POLICY)."""
+    rows = structure.lines(table(spark, sf_dir, "documents"))
+    kind, numbered, n = (F.col("doc_id") + F.col("line_no")) % 13, F.col("doc_id") % 4 != 0, F.col("line_no")
+
+    def first_words(many):
+        return F.array_join(F.slice(F.split("line", r"\s+"), 1, many), " ")
+
+    line = (
+        F.when(numbered & (kind == 0), F.concat(n, F.lit("."), n % 3 + 1, F.lit(" "), first_words(5))).when(numbered & (kind == 3), F.concat(F.lit("Section "), n, F.lit(": "), first_words(3)))
+        .when(numbered & (kind == 5), F.concat(F.lit("Appendix "), F.char(65 + n % 26), F.lit("."), n % 4, F.lit(" "), first_words(3))).when(numbered & (kind == 7), F.concat(F.lit("IV. "), first_words(3)))
+        .when(numbered & (kind == 9), F.concat(n, F.lit(") "), first_words(4))).when(kind == 11, F.regexp_replace(F.upper(F.replace(first_words(4), F.lit("ß"), F.lit("ss"))), "[.!?,;:]", ""))
+        .when((n % 5 == 1) & (F.col("doc_id") % 3 == 0), "7. Running head").otherwise(F.col("line"))
+    )
+    return rows.select("doc_id", (F.floor((n - 1) / 5) + 1).cast("int").alias("page"), "line_no", line.alias("line"))
+
+
+@query(f"WITH {_POLICY} SELECT doc_id, line_no, line FROM policy WHERE {_CAPS}")
 def caps_headings(spark, sf_dir):
-    return structure.lines(table(spark, sf_dir, "documents")).filter(structure.is_caps_heading(F.col("line")))
+    return policy_lines(spark, sf_dir).filter(structure.is_caps_heading(F.col("line"))).select("doc_id", "line_no", "line")
+
+
+def _numbered_case(column: str) -> str:
+    """SQL of the number, title or level of a numbered heading, or null; the kinds in their order."""
+    words = "len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''))"
+    out = []
+    for kind, pattern, depth in structure.NUMBERING:
+        pattern = pattern.replace("'", "''")
+        number, rest = f"regexp_extract(line, '{pattern}', 1)", f"trim(regexp_extract(line, '{pattern}', 2), ' ')"
+        value = {"number": ("'Appendix ' || " if kind == "appendix" else "") + number, "title": rest, "level": f"CAST(len(string_split({number}, '.')) AS INT)" if depth == 0 else f"CAST({depth} AS INT)"}[column]
+        out.append(f"WHEN regexp_matches(line, '{pattern}') THEN CASE WHEN {rest} <> '' AND {words} <= {8 if kind == 'single' else 24} THEN {value} END")
+    return "CASE " + " ".join(out) + " END"
+
+
+_TEXT_HEADS = f"""{_POLICY}, norms AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g'), ' ') AS norm, min(line_no) OVER p AS a, max(line_no) OVER p AS b, count(*) OVER p AS n FROM policy WINDOW p AS (PARTITION BY doc_id, page)),
+ running AS (SELECT doc_id, norm FROM norms WHERE line_no IN (a, b) GROUP BY ALL HAVING count(DISTINCT page) >= 2), solo AS (SELECT DISTINCT doc_id, norm FROM norms WHERE n = 1),
+ numbers AS (SELECT doc_id, page, line_no, line, norm, {_numbered_case("number")} AS number, {_numbered_case("title")} AS title, {_numbered_case("level")} AS level FROM norms ANTI JOIN running USING (doc_id, norm)),
+ latched AS (SELECT *, coalesce(max(number IS NOT NULL) OVER (PARTITION BY doc_id ORDER BY page, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS seen, (doc_id, norm) IN (SELECT (doc_id, norm) FROM solo) AS alone FROM numbers),
+ shaped AS (SELECT *, number IS NULL AND NOT seen AND NOT alone AND {_CAPS} AS caps FROM latched),
+ found AS (SELECT doc_id, page, line_no, number, coalesce(title, line) AS title, coalesce(level, 2) AS level, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line_no) AS INT) AS sort_order FROM shaped WHERE number IS NOT NULL OR caps),
+ ends AS (SELECT doc_id, max(page) AS last_page FROM policy GROUP BY 1),
+ tree AS (SELECT f.*, (SELECT max(o.sort_order) FROM found o WHERE o.doc_id = f.doc_id AND o.sort_order < f.sort_order AND o.level < f.level) AS parent_order,
+   coalesce((SELECT arg_min(o.page, o.sort_order) FROM found o WHERE o.doc_id = f.doc_id AND o.sort_order > f.sort_order AND o.level <= f.level), last_page) AS end_page FROM found f JOIN ends USING (doc_id))"""
+
+
+def text_sections_of(spark, sf_dir):
+    """The lines of planted documents and the tree of their headings."""
+    rows = structure.marked_lines(policy_lines(spark, sf_dir))
+    tree = structure.section_tree(structure.headings(rows), rows.groupBy("doc_id").agg(F.max("page").alias("last_page")))
+    return rows, tree
+
+
+@query(f"WITH {_TEXT_HEADS} SELECT doc_id, page, line_no, number, title, level FROM found")
+def text_headings(spark, sf_dir):
+    return structure.headings(structure.marked_lines(policy_lines(spark, sf_dir))).select("doc_id", "page", "line_no", "number", "title", "level")
+
+
+@query(f"""WITH RECURSIVE {_TEXT_HEADS}, chain AS (SELECT doc_id, sort_order, parent_order AS up, [title] AS path FROM tree UNION ALL SELECT c.doc_id, c.sort_order, t.parent_order, list_prepend(t.title, c.path) FROM chain c JOIN tree t ON t.doc_id = c.doc_id AND t.sort_order = c.up)
+ SELECT doc_id, sort_order, t.parent_order, t.end_page, path FROM chain JOIN tree t USING (doc_id, sort_order) WHERE up IS NULL""")
+def text_sections(spark, sf_dir):
+    _, tree = text_sections_of(spark, sf_dir)
+    return tree.select("doc_id", "sort_order", "parent_order", "end_page").join(structure.heading_paths(tree), ["doc_id", "sort_order"])
 
 
 @query("SELECT doc_id, len(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) < 25 AS needs_ocr, sha256(text) AS digest, CASE WHEN len(text) = 0 THEN 0 ELSE CAST(greatest(1, ceil(greatest(len(list_filter(regexp_split_to_array(text, '[\\s\\x{00a0}\\x{0085}\\x{2000}-\\x{200a}]+'), lambda w: w <> '')) / 0.75::DOUBLE, len(text) / 4.0::DOUBLE))) AS BIGINT) END AS tokens FROM documents")
@@ -101,13 +172,32 @@ def median_sample(spark, sf_dir):
     return answers.median_pick(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 3)
 
 
+def segment_rows(spark, sf_dir):
+    """Segments of planted documents, each with its section."""
+    rows, tree = text_sections_of(spark, sf_dir)
+    placed = library.carried_sections(rows, tree.select("doc_id", "line_no", "sort_order")).withColumn("section", F.col("section").cast("long"))
+    heads = tree.select("doc_id", "line_no", F.lit(True).alias("_head"))
+    placed = placed.join(heads, ["doc_id", "line_no"], "left").withColumn("heading", F.coalesce("_head", F.lit(False))).drop("_head")
+    return structure.segments(placed), tree
+
+
+@query(f"""WITH {_TEXT_HEADS}, placed AS (SELECT p.doc_id, p.page, p.line_no, p.line, f.sort_order IS NOT NULL AS head, last_value(f.sort_order IGNORE NULLS) OVER (PARTITION BY p.doc_id ORDER BY p.line_no) AS section FROM policy p LEFT JOIN found f USING (doc_id, line_no)),
+ kinded AS (SELECT *, CASE WHEN head THEN 'heading' WHEN len(string_split(line, ' | ')) >= 3 THEN 'table' WHEN regexp_matches(line, '^(?:[-•*‣◦▪]|\\(?\\d{{1,2}}[.)]|\\(?[a-z][.)])\\s+') THEN 'list' ELSE 'paragraph' END AS kind FROM placed),
+ cut AS (SELECT *, CASE WHEN head OR kind IS DISTINCT FROM lag(kind) OVER w OR section IS DISTINCT FROM lag(section) OVER w THEN 1 ELSE 0 END AS new FROM kinded WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+ runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS segment FROM cut)
+ SELECT doc_id, segment::BIGINT AS segment, any_value(kind) AS kind, any_value(section)::BIGINT AS section, min(page) AS page, max(page) AS end_page, sha256(CASE WHEN kind = 'table' THEN array_to_string(list(line ORDER BY line_no), chr(10)) ELSE array_to_string(list(line ORDER BY line_no), ' ') END) AS digest FROM runs GROUP BY doc_id, segment, kind""")
+def text_segments(spark, sf_dir):
+    rows, _ = segment_rows(spark, sf_dir)
+    return rows.select("doc_id", "segment", "kind", "section", "page", "end_page", F.sha2("text", 256).alias("digest"))
+
+
 @query(None)
 def chunk_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    rows = structure.lines(docs).withColumn("page", F.lit(1))
-    heads = library.numbered(structure.headings(rows), ["doc_id"], ["line_no"]).withColumnRenamed("place", "sort_order")
-    placed = library.carried_sections(rows, heads).withColumn("section", F.col("section").cast("long"))
-    return structure.chunk(structure.segments(placed)).select("doc_id", "chunk_index", "token_count", F.sha2("content", 256).alias("content_hash"), "forced_split")
+    rows, tree = segment_rows(spark, sf_dir)
+    named = tree.select("doc_id", F.col("sort_order").cast("long").alias("section"), "number").join(structure.heading_paths(tree).withColumnRenamed("sort_order", "section"), ["doc_id", "section"])
+    chunks = structure.chunk(rows).join(named, ["doc_id", "section"], "left")
+    flags = ["contains_table", "contains_list", "forced_split"]
+    return chunks.select("doc_id", "chunk_index", "section", "number", "path", "page", "end_page", "token_count", F.sha2("content", 256).alias("content_hash"), *flags)
 
 
 _OUTLINE = """heads AS (SELECT l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS line_no, CAST((l_linenumber + 1) // 2 AS INT) AS page, 1 + l_suppkey % 4 AS level, 'Part ' || l_partkey AS title,
@@ -197,14 +287,32 @@ def version_comparison(spark, sf_dir):
     a, b = versions(spark, sf_dir)
     near = a.select("pair", F.col("sort_order").alias("a_order"), "title").join(b.select("pair", F.col("sort_order").alias("b_order"), F.replace("title", F.lit("PART-"), F.lit("Part ")).alias("other")), "pair")
     scores = near.select("pair", "a_order", "b_order", F.round(1 - F.levenshtein("title", "other") / F.greatest(F.length("title"), F.length("other")), 6).alias("score"))
-    return compare.section_changes(compare.align(a, b, scores), a, b, ["part 7"])
+    return compare.section_changes(compare.align(a, b, scores), a, b, ["part 7"]).drop("old_text", "new_text")
+
+
+def text_pairs(spark, sf_dir):
+    """Each text as the old version of the one numbered 5 higher; the last ones have none."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.col("text").alias("old_text")).join(docs.select((F.col("doc_id") - 5).alias("doc_id"), F.col("text").alias("new_text")), "doc_id", "left")
 
 
 @query(None)
 def text_difference(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    a, b = docs.select("doc_id", F.col("text").alias("old_text")), docs.select((F.col("doc_id") - 5).alias("doc_id"), F.col("text").alias("new_text"))
-    return compare.text_changes(a.join(b, "doc_id")).select("doc_id", "unchanged", "proportion")
+    return compare.text_changes(text_pairs(spark, sf_dir)).select("doc_id", "unchanged", "changed_words", "proportion")
+
+
+@query(None)
+def text_spans(spark, sf_dir):
+    """The sentences each text shares with, loses to and gains from its next version, in order."""
+    rows = compare.text_changes(text_pairs(spark, sf_dir)).select("doc_id", F.posexplode("spans").alias("place", "span"))
+    return rows.select("doc_id", "place", "span.tag", "span.old", "span.new")
+
+
+@query(None)
+def comparison_summaries(spark, sf_dir):
+    a, b = versions(spark, sf_dir)
+    aligned = compare.align(a, b)
+    return compare.comparison_summary(aligned, compare.section_changes(aligned, a, b, ["part 7"]))
 
 
 @query(None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
 from foliant.functions import rules
+from foliant.functions.packing import word_count
 from foliant.operators import answers, catalog, compare, search, structure
 from foliant.sources import files
 
@@ -67,7 +68,7 @@ def test_sections_align_in_passes_and_fall_back_to_whole_documents(spark):
     assert methods == {(1, 1, 1): "number", (1, 2, 2): "number", (1, 3, 3): "title", (1, 5, 5): "similarity", (1, 4, None): "removed", (1, None, 4): "added", (2, None, None): "whole_document", (3, 1, 1): "number"}
     got = {(r["pair"], r["a_order"], r["b_order"]): (r["change"], r["proportion"], r["severity"]) for r in compare.section_changes(aligned, a, b, ["security"]).collect()}
     assert got == {
-        (1, 2, 2): ("MODIFIED", 0.25, "MINOR"), (1, 3, 3): ("MODIFIED", 1.0, "MODERATE"), (1, 5, 5): ("MODIFIED", 0.5, "MODERATE"), (1, 4, None): ("REMOVED", 1.0, "MODERATE"),
+        (1, 2, 2): ("MODIFIED", 0.5, "MODERATE"), (1, 3, 3): ("MODIFIED", 1.0, "MODERATE"), (1, 5, 5): ("MODIFIED", 1.0, "MODERATE"), (1, 4, None): ("REMOVED", 1.0, "MODERATE"),
         (1, None, 4): ("ADDED", 1.0, "MAJOR"), (2, None, None): ("MODIFIED", 1.0, "MODERATE"),
     }
     assert compare.word_change_share("", None) == 1.0 and compare.word_change_share("A b", "a B") == 0
@@ -90,28 +91,199 @@ def test_markers_titles_and_controls(spark):
     assert row["m"] == [1, 12] and "\n[redacted] SOURCE 3" in row["r"] and row["f"] == "x [1] y [SOURCE 12] z [123]"
 
 
-def test_changed_share():
-    assert compare.changed_share("One two. Three four.", "One two. Three four.") == 0
-    assert compare.changed_share("Five days of leave.", "Seven days of leave.") == 0.25
-    assert compare.changed_share("", "a b") == 1 and compare.changed_share("", "") == 0
-
-
-def test_long_and_missing_texts_are_compared(spark, tmp_path):
+def reference_difference(old, new):
+    """Spans, changed words and share by the standard library's matcher."""
+    import difflib
+    import re
+
+    def normal(t):
+        lines = [" ".join(x.split()) for x in (t or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+        return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+    old, new = normal(old), normal(new)
+    if old == new:
+        return [], 0, 0.0
+    a, b = ([s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()] for t in (old, new))
+    spans, changed = [], 0
+    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        x, y = " ".join(a[i:j]), " ".join(b[k:m])
+        spans.append((tag, x, y))
+        if tag == "replace":
+            changed += sum(q - p + s - r for t, p, q, r, s in difflib.SequenceMatcher(None, x.split(), y.split(), autojunk=False).get_opcodes() if t != "equal")
+        elif tag != "equal":
+            changed += len(x.split()) + len(y.split())
+    most = max(len(old.split()), len(new.split()))
+    return spans, changed, round(min(1.0, changed / most), 6) if most else 1.0
+
+
+def test_matching_blocks_are_the_standard_librarys():
+    import difflib
+
+    from foliant.functions import difference as D
+
+    random.seed(8)
+    for most in (1 << 20, 30, 0):
+        for _ in range(150):
+            k = random.choice([1, 2, 3, 12, 200])
+            a, b = ([random.randrange(k) for _ in range(random.randint(0, 60))] for _ in range(2))
+            if random.random() < 0.4:
+                b = a[: random.randint(0, 60)] + b[:5] + a[random.randint(0, 60) :]
+            want = [tuple(x) for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()][:-1]
+            assert D.matching_blocks(np.array(a, np.int64), np.array(b, np.int64), most) == want
+
+
+def test_differences_are_the_standard_librarys(spark):
+    random.seed(9)
+    pool = [" ".join(random.choice("one two three four five six".split()) for _ in range(random.randint(1, 9))) + random.choice(".!?") for _ in range(40)]
+    rows = []
+    for i in range(120):
+        a = [random.choice(pool) for _ in range(random.randint(0, 12))]
+        b = [s if random.random() < 0.7 else random.choice(pool) for s in a]
+        rows.append((i, random.choice([" ", "\n", " \t\r\n\r\n\n"]).join(a), " ".join(b[: random.randint(0, 14)])))
+    rows += [(900, None, None), (901, None, "x y"), (902, "A b.  C", "A b. C "), (903, "", " \n"), (904, "same", "same"), (905, "Five days of leave.", "Seven days of leave."), (906, "\u00a0a\u2003b", "a b")]
+    got = compare.text_changes(spark.createDataFrame(rows, "doc_id long, old_text string, new_text string")).collect()
+    for r in got:
+        spans, changed, proportion = reference_difference(r["old_text"], r["new_text"])
+        assert ([tuple(s) for s in r["spans"]], r["changed_words"], r["proportion"], r["unchanged"]) == (spans, changed, proportion, not spans), r
+    shares = {r["doc_id"]: r["proportion"] for r in got}
+    assert shares[905] == 0.5 and shares[901] == 1 and shares[902] == shares[903] == shares[906] == 0
+
+
+def test_long_texts_that_share_little_take_seconds():
+    import time
+
+    from foliant.functions.difference import difference
+
+    random.seed(2)
+    words = [f"w{k}" for k in range(3000)] + ["the", "of"] * 200
+    a, b = (" ".join(random.choice(words) for _ in range(20000)) for _ in range(2))
+    began = time.time()
+    spans, changed, most = difference(a, b)
+    assert time.time() - began < 20 and len(spans) == 1 and most == 20000
+    began = time.time()
+    assert difference("a " * 6000 + "b", "a " * 6500)[1] == 501 and time.time() - began < 20
+
+
+def test_all_documents_are_compared(spark, tmp_path):
     from foliant.plans import texts
 
     long = [" ".join(f"Sentence {k} of {n}." for k in range(400)) for n in "ab"]
     rows = [(0, long[0]), (5, long[0] + " One more."), (10, long[1]), (15, None), (20, None), (25, "short")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: (r["unchanged"], r["proportion"]) for r in texts.text_difference(spark, str(tmp_path)).collect()}
-    assert got == {i: (x == y, round(compare.changed_share(x, y), 6)) for (i, x), (_, y) in zip(rows, rows[1:])}
+    want = {i: reference_difference(x, y) for (i, x), (_, y) in zip(rows, [*rows[1:], (30, None)])}
+    assert got == {i: (not spans, proportion) for i, (spans, _, proportion) in want.items()}
 
 
-def test_chunks_stop_at_sections_and_split_long_text(spark):
-    rows = [(1, 1, "paragraph", 1, 1, 1, "a " * 30), (1, 2, "paragraph", 1, 1, 1, "b " * 30), (1, 3, "paragraph", 2, 1, 2, " ".join(f"w{i}." for i in range(130)))]
-    df = spark.createDataFrame(rows, "doc_id long, segment int, kind string, section long, page int, end_page int, text string")
-    got = structure.chunk(df, target=50, least=10, most=60, overlap=5).orderBy("chunk_index").collect()
-    assert [r["section"] for r in got][:2] == [1, 1] and all(r["token_count"] <= 65 for r in got)
-    assert {w for r in got for w in r["content"].split()} == {"a", "b", *(f"w{i}." for i in range(130))}
+def test_comparison_rows_and_summary(spark):
+    ddl = "pair long, sort_order int, number string, title string, text string"
+    a = spark.createDataFrame([(1, 1, "1", "Scope", "a  b."), (1, 2, None, "Pay", "ten days"), (1, 3, "9", None, "gone"), (2, 1, "1", "One", "x")], ddl)
+    b = spark.createDataFrame([(1, 1, "1", "Scope", "a b."), (1, 2, None, "Pay", "two days"), (1, 4, None, "", "new"), (2, 1, "1", "One", "x")], ddl)
+    aligned = compare.align(a, b)
+    verdicts = spark.createDataFrame([(1, "Pay", "MATERIAL")], "pair long, section string, materiality string")
+    changes = compare.section_changes(aligned, a, b, ["scope", "9"], verdicts)
+    got = {(r["pair"], r["section"]): (r["change"], r["proportion"], r["severity"]) for r in changes.collect()}
+    assert got.keys() == {(1, "Pay"), (1, "9"), (1, "section_4")} and got[1, "Pay"][1] == 1.0 and got[1, "9"][2] == "MAJOR" and got[1, "section_4"] == ("ADDED", 1.0, "MODERATE")
+    again = compare.section_changes(aligned, a, b, ["scope"], done=spark.createDataFrame([(1, "Pay"), (1, "9")], "pair long, section string"))
+    assert {r["section"] for r in again.collect()} == {"section_4"}
+    totals = {r["pair"]: r.asDict() for r in compare.comparison_summary(aligned, changes).collect()}
+    assert totals[2] == {"pair": 2, "alignment_degraded": False, "total": 0, "major": 0, "moderate": 0, "minor": 0} and totals[1]["total"] == 3
+
+
+SEGMENTS = "doc_id long, segment int, kind string, section long, page int, end_page int, text string"
+
+
+def chunked(spark, rows, **limits):
+    rows = [(1, i, kind, section, page, page, text) for i, (kind, section, page, text) in enumerate(rows)]
+    limits = {"target": 14, "least": 4, "most": 20, "overlap": 2, "count": word_count} | limits
+    return structure.chunk(spark.createDataFrame(rows, SEGMENTS), **limits).orderBy("chunk_index").collect()
+
+
+def test_chunks_stop_at_sections_and_stay_under_the_limit(spark):
+    rows = [("heading", 1, 1, "One"), ("paragraph", 1, 1, "alpha beta. " * 5), ("heading", 2, 1, "Two"), ("paragraph", 2, 2, "gamma. " * 30), ("paragraph", None, 3, "delta " * 50)]
+    got = chunked(spark, rows)
+    assert [r["chunk_index"] for r in got] == list(range(len(got))) and all(r["token_count"] <= 20 for r in got)
+    assert got[0]["content"] == "One\n\n" + ("alpha beta. " * 5) and got[1]["section"] == 2 and got[-1]["section"] is None
+    assert all(not ("alpha" in r["content"] and "gamma" in r["content"]) for r in got)
+    assert {r["forced_split"] for r in got if r["section"] is None} == {True} and sum(r["content"].count("delta") for r in got) >= 50
+
+
+def test_overlap_is_last_paragraphs_or_whole_sentences(spark):
+    rows = [("paragraph", 1, 1, "a b c d e f g. h i."), ("paragraph", 1, 2, "j k."), ("paragraph", 1, 2, "l m n o p q.")]
+    got = chunked(spark, rows, target=16, least=0)
+    assert [r["content"] for r in got] == ["a b c d e f g. h i.\n\nj k.", "j k.\n\nl m n o p q."] and (got[1]["page"], got[1]["token_count"]) == (2, 8)
+    got = chunked(spark, [rows[0], rows[2]], target=12, least=0, overlap=3)
+    assert [r["content"] for r in got] == ["a b c d e f g. h i.", "h i.\n\nl m n o p q."]
+    assert [r["content"] for r in chunked(spark, [rows[0], ("paragraph", 1, 1, "x " * 19)], least=0)][1] == "x " * 19  # no room for what is carried
+    assert [r["content"] for r in chunked(spark, [("table", 1, 1, "a | b | c"), ("paragraph", 1, 1, "x " * 10)], target=10, least=0, overlap=9)][1] == "x " * 10
+
+
+def test_tables_and_lists_are_cut_between_rows(spark):
+    table = "\n".join(f"item {i} | weekly | team {i % 3}" for i in range(12))
+    got = chunked(spark, [("heading", 1, 1, "Matrix"), ("table", 1, 1, table), ("list", 1, 2, "- one - two")])
+    rows = [line for r in got for line in r["content"].split("\n") if "|" in line]
+    assert rows == table.split("\n") and all(r["contains_table"] == ("|" in r["content"]) for r in got)
+    assert any(r["forced_split"] for r in got) and [r["contains_list"] for r in got][-1]
+
+
+def test_small_chunks_take_in_the_next_of_their_section(spark):
+    rows = [("paragraph", 1, 1, "a b"), ("paragraph", 1, 1, "c " * 13), ("paragraph", 2, 2, "d"), ("paragraph", 3, 3, "e")]
+    got = chunked(spark, rows, target=14, least=4, overlap=0)
+    assert [(r["section"], word_count(r["content"])) for r in got] == [(1, 2), (1, 13), (2, 1), (3, 1)]
+    assert [word_count(r["content"]) for r in chunked(spark, rows, target=15, least=4, overlap=0)] == [15, 1, 1]
+
+
+def test_known_tables_mark_chunks_of_their_pages(spark):
+    rows = spark.createDataFrame([(1, 0, "paragraph", 1, 1, 3, "a"), (1, 1, "paragraph", 2, 4, 4, "b"), (2, 0, "paragraph", None, 1, 1, None)], SEGMENTS)
+    pages = spark.createDataFrame([(1, 2), (2, 9)], "doc_id long, page int")
+    got = structure.chunk(rows, table_pages=pages).orderBy("chunk_index").collect()
+    assert [(r["section"], r["contains_table"], r["token_count"]) for r in got] == [(1, True, 2), (2, False, 2)]
+    assert structure.chunk(rows.limit(0)).count() == 0
+
+
+def test_one_long_word_list_is_cut_in_linear_time(spark):
+    import time
+
+    began = time.time()
+    got = chunked(spark, [("paragraph", 1, 1, "word " * 200_000)], target=800, least=500, most=1000, overlap=78)
+    assert time.time() - began < 20 and sum(r["content"].count("word") for r in got) == 200_000
+
+
+def test_headings_by_numbers_fonts_and_capitals(spark):
+    rows = [
+        (1, 1, 1, "Running text", None, None, None), (1, 1, 2, "OVERVIEW OF RULES", None, None, None), (1, 1, 3, "RECEIVED", None, None, None), (1, 1, 4, "Big Title", 20.0, 10.0, False),
+        (1, 1, 5, "Bold Title", 11.6, 10.0, True), (1, 1, 6, "Not so big.", 20.0, 10.0, True), (1, 2, 1, "STAMPED TWICE"), (1, 3, 1, "Running text"), (1, 3, 2, "STAMPED TWICE"), (1, 3, 3, "1. Install the appliance before anything else is done here"),
+        (1, 3, 4, "2. Install the appliance before anything else is done here", None, None, True), (1, 3, 5, "NOW IN CAPITALS"), (1, 3, 6, "Appendix b.2: Forms"), (1, 3, 7, "Section 4"), (1, 3, 8, "Section 4 - Pay?"), (1, 3, 9, "Running text"),
+    ]
+    df = spark.createDataFrame([(*r, None, None, None)[:7] for r in rows], "doc_id long, page int, line_no int, line string, size double, body double, bold boolean")
+    marked = structure.marked_lines(df)
+    assert {r["line"] for r in marked.filter("running").collect()} == {"Running text"} and {r["line"] for r in marked.filter("solo").collect()} == {"STAMPED TWICE"}
+    got = {r["line"]: (r["number"], r["title"], r["level"]) for r in structure.headings(marked).collect()}
+    assert got == {
+        "OVERVIEW OF RULES": (None, "OVERVIEW OF RULES", 2), "Big Title": (None, "Big Title", 1), "Bold Title": (None, "Bold Title", 3),
+        "2. Install the appliance before anything else is done here": ("2", "Install the appliance before anything else is done here", 1),
+        "Appendix b.2: Forms": ("Appendix b.2", "Forms", 2), "Section 4 - Pay?": ("4", "Pay?", 1),
+    }
+
+
+def test_many_headings_of_one_document_take_seconds(spark):
+    import time
+
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page"), F.col("id").alias("line_no"), (F.col("id") * 7919 % 6 + 1).cast("int").alias("level"), F.concat(F.lit("t"), "id").alias("title"))
+    began = time.time()
+    tree = structure.section_tree(rows, spark.createDataFrame([(1, n)], "doc_id long, last_page int")).cache()
+    got = tree.orderBy("sort_order").collect()
+    paths = {r["sort_order"]: r["path"] for r in structure.heading_paths(tree).collect()}
+    assert time.time() - began < 90
+    stack, open_, parents, ends = [], [], {}, {}
+    for i, r in enumerate(got):
+        while stack and got[stack[-1]]["level"] >= r["level"]:
+            ends[stack.pop()] = r["page"]
+        parents[i] = stack[-1] + 1 if stack else None
+        stack.append(i)
+    assert [r["parent_order"] for r in got] == [parents[i] for i in range(n)] and [r["end_page"] for r in got] == [ends.get(i, n) for i in range(n)]
+    assert all(len(paths[i + 1]) == (len(paths[p]) if (p := parents[i]) else 0) + 1 for i in range(n))
 
 
 def test_segments_are_runs_of_a_kind(spark):
