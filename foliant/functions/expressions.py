@@ -103,9 +103,13 @@ def citation_markers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[(?:SOURCE\s*)?(\d{1,2})\]"), 1), lambda x: x.cast("int"))
 
 
+#: What a control line of the prompt begins with, and the warning put before such a line of a source.
+CONTROL_LINE, CONTROL_WARNING = r'(?im)^([^\S\n]*)(SOURCE[^\S\n]+\d|Document:|Page:|Section:|""")', "WARNING[REDACTED CONTROL TOKEN] "
+
+
 def redact_controls(text: Column) -> Column:
-    """Marks lines that look like the prompt's own control lines."""
-    return F.regexp_replace(text, r'(?im)^(\s*)(SOURCE \d+|Document:|Page:|Section:|""")', r"$1[redacted] $2")
+    """Puts a warning before lines that look like the prompt's own control lines."""
+    return F.regexp_replace(text, CONTROL_LINE, CONTROL_WARNING + "$1$2")
 
 
 def first_line_title(text: Column, most: int = 60) -> Column:

@@ -11,7 +11,7 @@ from foliant.functions import expressions as X
 VERSION_STATES = ["UPLOADED", "PROCESSING", "EXTRACTING", "OCR", "CHUNKING", "EMBEDDING", "INDEXING", "READY"]
 PIPELINE_JOBS = ["EXTRACTION", "CHUNKING", "EMBEDDING", "INDEXING"]
 SEARCH_MODES = ["hybrid", "semantic", "keyword"]
-CATEGORIES = ["requirement", "risk", "date"]
+CATEGORIES = ["requirement", "risk", "date", "party"]
 
 CANARY = r"§CANARY-\w+"
 

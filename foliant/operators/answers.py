@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from foliant.functions import expressions as X
 
 
-def best_of(sources: DataFrame, group: str, take: int, *order) -> DataFrame:
-    """The first `take` sources of each group; Spark cuts each partition to them before it shuffles."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return sources.withColumn("_place", place).filter(F.col("_place") <= take)
+def drop_contained(sources: DataFrame, group: str) -> DataFrame:
+    """group and kept: the sources (source_id, score, text) best first, without blank ones and those equal to, inside or around a kept one; ties by source_id.
 
-
-def drop_contained(sources: DataFrame, group: str, take: int = 30) -> DataFrame:
-    """group and kept: the sources (source_id, score, text) best first, without blank ones and those equal to, inside or around a kept one.
-
-    Only the best `take` sources of a group come in question, as a search returns so many candidates; ties by source_id.
+    Each source is compared with those kept so far, so groups are to be what a search returns; a cut to the best is the search's.
     """
-    best = best_of(sources, group, take, F.desc("score"), "source_id")
-    rows = F.array_sort(F.collect_list(F.struct("_place", "source_id", F.lower(X.collapse(F.coalesce("text", F.lit("")))).alias("t"))))
-    grouped = best.groupBy(group).agg(rows.alias("rows"))
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "source_id", F.lower(X.collapse(F.coalesce("text", F.lit("")))).alias("t"))))
+    grouped = sources.groupBy(group).agg(rows.alias("rows"))
     start = F.filter("rows", lambda x: F.lit(False))
 
     def step(kept, x):
@@ -31,12 +24,9 @@ def drop_contained(sources: DataFrame, group: str, take: int = 30) -> DataFrame:
     return grouped.select(group, F.transform(F.aggregate("rows", start, step), lambda x: x["source_id"]).alias("kept"))
 
 
-def pack_budget(sources: DataFrame, group: str, budget: int, take: int = 30) -> DataFrame:
-    """group, used, chosen: in rank order each source (rank, source_id, cost) that still fits is taken; those that do not are passed over.
-
-    Only the first `take` sources of a group come in question.
-    """
-    grouped = best_of(sources, group, take, "rank", "source_id").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", F.col("cost").cast("long").alias("cost")))).alias("rows"))
+def pack_budget(sources: DataFrame, group: str, budget: int) -> DataFrame:
+    """group, used, chosen: in rank order each source (rank, source_id, cost) that still fits is taken; those that do not are passed over."""
+    grouped = sources.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "source_id", F.col("cost").cast("long").alias("cost")))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("chosen"))
 
     def step(s, x):
@@ -53,27 +43,6 @@ def resolve_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return marks.join(sources, ["message_id", "citation_index"])
 
 
-def groundedness(answers: DataFrame) -> DataFrame:
-    """Sentences, cited sentences and a verdict of each answer: grounded, partial, or unsupported. Lead-in sentences need no source."""
-    parts = F.filter(X.sentences(F.col("text")), lambda s: ~s.rlike(r"(?i)^(?:in summary|overall|however|additionally|in conclusion|here is|the following)\b"))
-    counted = answers.select("message_id", F.size(parts).alias("claims"), F.size(F.filter(parts, lambda s: F.size(X.citation_markers(s)) > 0)).alias("cited"))
-    verdict = F.when(F.col("claims") == 0, "unsupported").when(F.col("cited") == F.col("claims"), "grounded").when(F.col("cited") > 0, "partial").otherwise("unsupported")
-    return counted.withColumn("verdict", verdict)
-
-
-def quoted_span(pairs: DataFrame, key: str) -> DataFrame:
-    """key, sentence_no and score of the source sentence that shares most of the claim's words (longer than two letters); the earliest wins."""
-
-    def words(c):
-        return F.array_distinct(F.filter(X.terms(c), lambda w: F.length(w) > 2))
-
-    rows = pairs.select(key, words(F.col("claim")).alias("claim_words"), F.posexplode(X.sentences(F.col("source"))).alias("sentence_no", "sentence"))
-    shared = F.size(F.array_intersect("claim_words", words(F.col("sentence"))))
-    scored = rows.withColumn("score", F.when(F.size("claim_words") > 0, F.round(shared / F.size("claim_words"), 6)).otherwise(0.0))
-    best = F.max_by(F.struct("sentence_no", "score"), F.struct("score", (-F.col("sentence_no")).alias("o")))
-    return scored.groupBy(key).agg(best.alias("b")).select(key, "b.sentence_no", "b.score")
-
-
 def median_pick(chunks: DataFrame, section: str, order: str, take: int) -> DataFrame:
     """The middle `take` chunks of each section."""
     w = Window.partitionBy(section)

@@ -40,14 +40,21 @@ def latest_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with incoming's rows in place of those with the same keys."""
-    return existing.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming)
+def one_per_key(rows: DataFrame, keys: list[str], order: list[Column | str] | None, last: bool) -> DataFrame:
+    """The first or last row of each key by order, then by all columns, so that reruns agree."""
+    place = F.struct(*[F.expr(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order or [])], F.to_json(F.struct(*rows.columns)).alias("row"))
+    pick = (F.max_by if last else F.min_by)(F.struct(*rows.columns), place)
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(pick.alias("_row")).select("_row.*")
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """existing and those rows of incoming whose keys it lacks; of several incoming rows with one key any one stays."""
-    return existing.unionByName(incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:
+    """existing with incoming's rows in place of those with the same keys; of several incoming rows with one key the last by order."""
+    return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(one_per_key(incoming, keys, order, last=True))
+
+
+def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:
+    """existing and those rows of incoming whose keys it lacks; of several incoming rows with one key the first by order."""
+    return existing.unionByName(one_per_key(incoming, keys, order, last=False).join(existing.select(*keys).distinct(), keys, "left_anti"))
 
 
 def set_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -124,15 +124,6 @@ def effective_scope(scopes: DataFrame) -> DataFrame:
     return named.filter("n <= 2").select("chat_id", "first", F.when(F.col("n") == 2, F.col("_last")).alias("second"))
 
 
-def alignment_degraded(alignments: DataFrame, least_share: float = 0.3, least_sections: int = 3) -> DataFrame:
-    """pair and degraded: under 30 % of the new side's sections found a partner though both sides have three; the pair is then compared whole.
-
-    alignments: pair, a_order (null: added), b_order (null: removed).
-    """
-    a, b, both = F.count("a_order"), F.count("b_order"), F.count(F.when(F.col("a_order").isNotNull() & F.col("b_order").isNotNull(), 1))
-    return alignments.groupBy("pair").agg(((a >= least_sections) & (b >= least_sections) & (both < least_share * b)).alias("degraded"))
-
-
 def fill_budget(chunks: DataFrame, budget: int) -> DataFrame:
     """document_id, used and added: chunks not claimed by a section (document_id, order, chunk_id, cost, claimed) join in reading order while they fit.
 
@@ -150,24 +141,6 @@ def fill_budget(chunks: DataFrame, budget: int) -> DataFrame:
     return grouped.select("document_id", packed["used"].alias("used"), packed["added"].alias("added"))
 
 
-def surviving_items(items: DataFrame, claims: DataFrame) -> DataFrame:
-    """item_id of items (message_id, item_id, text) whose claim stands and is cited.
-
-    claims: message_id, text, status. Texts are compared without case and white space; an item without an equal claim needs claims around it, all standing.
-    Equal items are one.
-    """
-
-    def norm(c):
-        return F.lower(X.collapse(c))
-
-    c = claims.select("message_id", norm(F.col("text")).alias("claim"), (~F.col("status").isin("uncited", "unsupported")).alias("stands"))
-    c = c.groupBy("message_id", "claim").agg(F.bool_and("stands").alias("stands"))
-    i = items.select("message_id", "item_id", norm(F.col("text")).alias("item")).filter("item <> ''").distinct()
-    equal = i.join(c, (i["message_id"] == c["message_id"]) & (i["item"] == c["claim"]), "left").select(i["message_id"], "item_id", "item", "stands")
-    inside = equal.filter("stands IS NULL").drop("stands").join(c, "message_id").filter(F.contains("claim", F.col("item"))).groupBy("message_id", "item_id", "item").agg(F.bool_and("stands").alias("stands"))
-    return equal.filter("stands").select("item_id").unionByName(inside.filter("stands").select("item_id"))
-
-
 def carried_sections(lines: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFrame:
     """lines (key, line_no) with section: the order of the last heading (key, line_no, sort_order) at or before the line, null before the first."""
     marked = lines.join(heads.select(key, "line_no", "sort_order"), [key, "line_no"], "left")

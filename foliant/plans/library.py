@@ -103,13 +103,14 @@ def reply_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.json_object(reply, "k long")["k"].alias("k"))
 
 
-_ITEMS = "CASE l_returnflag WHEN 'A' THEN 'requirement' WHEN 'N' THEN 'risk' ELSE 'other' END"
+_ITEMS = "CASE WHEN l_linenumber = 5 THEN 'party' WHEN l_linenumber = 6 THEN 'date' WHEN l_returnflag = 'A' THEN 'requirement' WHEN l_returnflag = 'N' THEN 'risk' ELSE 'other' END"
 
 
-@query(f"SELECT l_orderkey, l_partkey, l_linenumber, category, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE category WHEN 'requirement' THEN 0 WHEN 'risk' THEN 1 WHEN 'date' THEN 2 ELSE 3 END, l_linenumber, l_partkey) AS INT) AS place, count(*) OVER (PARTITION BY l_orderkey) AS total FROM (SELECT *, {_ITEMS} AS category FROM lineitem)")
+@query(f"SELECT l_orderkey, l_partkey, l_linenumber, category, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE category WHEN 'requirement' THEN 0 WHEN 'risk' THEN 1 WHEN 'date' THEN 2 WHEN 'party' THEN 3 ELSE 4 END, l_linenumber, l_partkey) AS INT) AS place, count(*) OVER (PARTITION BY l_orderkey) AS total FROM (SELECT *, {_ITEMS} AS category FROM lineitem)")
 def extraction_items(spark, sf_dir):
     flag = F.col("l_returnflag")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.when(flag == "A", "requirement").when(flag == "N", "risk").otherwise("other").alias("category"))
+    line = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.when(line == 5, "party").when(line == 6, "date").when(flag == "A", "requirement").when(flag == "N", "risk").otherwise("other").alias("category"))
     return L.numbered(rows, ["l_orderkey"], [R.category_rank(F.col("category")), "l_linenumber", "l_partkey"])
 
 
@@ -216,12 +217,6 @@ def effective_scopes(spark, sf_dir):
     return L.effective_scope(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chat_id"), F.col("l_suppkey").alias("document_id")))
 
 
-@query("SELECT pair, count(a) >= 3 AND count(b) >= 3 AND count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) < 0.3::DOUBLE * count(b) AS degraded FROM (SELECT l_orderkey AS pair, CASE WHEN l_suppkey % 5 <> 0 AND l_suppkey % 5 <> 1 THEN 1 END AS a, CASE WHEN l_suppkey % 5 IN (0, 1, 2) THEN 1 END AS b FROM lineitem) GROUP BY 1")
-def alignment_degraded(spark, sf_dir):
-    kind = F.col("l_suppkey") % 5
-    return L.alignment_degraded(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pair"), F.when(kind > 1, 1).alias("a_order"), F.when(kind < 3, 1).alias("b_order")))
-
-
 @query("""WITH RECURSIVE k AS (SELECT l_orderkey AS q, l_quantity::BIGINT AS cost, l_returnflag = 'A' AS claimed, l_linenumber * 1000000 + l_partkey AS o, l_partkey AS chunk FROM lineitem),
  f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY o, chunk, cost) AS n FROM k WHERE NOT claimed), t AS (SELECT q, coalesce(sum(cost) FILTER (claimed), 0)::BIGINT AS taken FROM k GROUP BY 1),
  p AS (SELECT q, 0::BIGINT AS n, taken AS used, []::BIGINT[] AS added FROM t UNION ALL SELECT p.q, f.n, CASE WHEN used + cost <= 90 THEN used + cost ELSE used END, CASE WHEN used + cost <= 90 THEN list_append(added, chunk) ELSE added END FROM p JOIN f ON f.q = p.q AND f.n = p.n + 1)
@@ -231,18 +226,6 @@ def budget_fill(spark, sf_dir):
     return L.fill_budget(chunks, 90)
 
 
-@query("""WITH c AS (SELECT message_id, lower(text) AS claim, bool_and(stands) AS stands FROM (SELECT l_orderkey AS message_id, 'Part ' || l_partkey || CASE WHEN l_linenumber % 2 = 0 THEN ' is late.' ELSE '' END AS text, l_returnflag = 'N' AS stands FROM lineitem) GROUP BY ALL),
- i AS (SELECT DISTINCT l_orderkey AS message_id, l_orderkey * 10 + l_linenumber AS item_id, 'part ' || l_partkey AS item FROM lineitem)
- SELECT item_id FROM i WHERE coalesce((SELECT stands FROM c WHERE c.message_id = i.message_id AND claim = item), (SELECT bool_and(stands) FROM c WHERE c.message_id = i.message_id AND contains(claim, item)), false)""")
-def surviving_items(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").withColumn("message_id", F.col("l_orderkey"))
-    part = F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))
-    flag = F.col("l_returnflag")
-    claims = l.select("message_id", F.concat(part, F.when(F.col("l_linenumber") % 2 == 0, " is late.").otherwise("")).alias("text"), F.when(flag == "N", "supported").when(flag == "A", "uncited").otherwise("unsupported").alias("status"))
-    items = l.select("message_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.concat(F.lit("  "), part).alias("text"))
-    return L.surviving_items(items, claims)
-
-
 @query(f"WITH {_LINES}, h AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS sort_order FROM lines WHERE line_no % 5 = 3) SELECT doc_id, line_no, CAST((SELECT max(sort_order) FROM h WHERE h.doc_id = l.doc_id AND h.line_no <= l.line_no) AS INT) AS section FROM lines l")
 def carried_sections(spark, sf_dir):
     rows = structure.lines(table(spark, sf_dir, "documents"))

@@ -135,35 +135,22 @@ def citation_resolution(spark, sf_dir):
     return answers.resolve_citations(marked(spark, sf_dir), sources)
 
 
-@query(f"""WITH m AS ({_MARKED}), s AS (SELECT message_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ') <> '') AS parts FROM m),
- n AS (SELECT message_id, CAST(len(parts) AS INT) AS claims, CAST(len(list_filter(parts, lambda p: regexp_matches(p, '\\[(?:SOURCE\\s*)?\\d{{1,2}}\\]'))) AS INT) AS cited FROM s)
- SELECT *, CASE WHEN claims = 0 THEN 'unsupported' WHEN cited = claims THEN 'grounded' WHEN cited > 0 THEN 'partial' ELSE 'unsupported' END AS verdict FROM n""")
-def groundedness(spark, sf_dir):
-    return answers.groundedness(marked(spark, sf_dir))
-
-
-@query(None)
-def quoted_spans(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"), F.element_at(X.sentences(F.col("text")), -1).alias("claim"))
-    return answers.quoted_span(docs, "doc_id")
-
-
-@query("""WITH RECURSIVE r AS (SELECT doc_id % 50 AS q, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS n, doc_id, n_chars AS cost FROM documents QUALIFY n <= 30),
+@query("""WITH RECURSIVE r AS (SELECT doc_id // 20 AS q, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS n, doc_id, n_chars AS cost FROM documents),
  p AS (SELECT q, n, CASE WHEN cost <= 6000 THEN cost ELSE 0 END AS used, CASE WHEN cost <= 6000 THEN [doc_id] ELSE [] END AS chosen FROM r WHERE n = 1
  UNION ALL SELECT r.q, r.n, CASE WHEN used + cost <= 6000 THEN used + cost ELSE used END, CASE WHEN used + cost <= 6000 THEN list_append(chosen, doc_id) ELSE chosen END FROM p JOIN r ON r.q = p.q AND r.n = p.n + 1)
  SELECT q, used, chosen FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC) AS last FROM p) WHERE last = 1""")
 def context_pack(spark, sf_dir):
-    sources = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("q"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("source_id"), F.col("n_chars").alias("cost"))
+    sources = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("q"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("source_id"), F.col("n_chars").alias("cost"))
     return answers.pack_budget(sources, "q", 6000)
 
 
-@query("""WITH RECURSIVE r AS (SELECT doc_id % 50 AS q, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS n, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS t FROM documents QUALIFY n <= 30),
+@query("""WITH RECURSIVE r AS (SELECT doc_id // 20 AS q, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars DESC, doc_id) AS n, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')) AS t FROM documents),
  p AS (SELECT q, n, CASE WHEN t = '' THEN [] ELSE [doc_id] END AS kept, CASE WHEN t = '' THEN [] ELSE [t] END AS texts FROM r WHERE n = 1
  UNION ALL SELECT q, n, CASE WHEN twin THEN kept ELSE list_append(kept, doc_id) END, CASE WHEN twin THEN texts ELSE list_append(texts, t) END FROM
  (SELECT r.q, r.n, r.doc_id, r.t, kept, texts, r.t = '' OR len(list_filter(texts, lambda x: contains(x, r.t) OR contains(r.t, x))) > 0 AS twin FROM p JOIN r ON r.q = p.q AND r.n = p.n + 1))
  SELECT q, kept FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY n DESC) AS last FROM p) WHERE last = 1""")
 def dedup_sources(spark, sf_dir):
-    sources = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("q"), F.col("doc_id").alias("source_id"), F.col("n_chars").alias("score"), "text")
+    sources = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 20).alias("q"), F.col("doc_id").alias("source_id"), F.col("n_chars").alias("score"), "text")
     return answers.drop_contained(sources, "q")
 
 
@@ -272,12 +259,15 @@ def versions(spark, sf_dir):
     return side("l_returnflag <> 'A'", F.col("l_quantity") >= 20, "Part "), side("l_returnflag <> 'R'", F.col("l_quantity") < 40, "PART-")
 
 
-@query(f"""WITH {_VERSIONS}, n AS (SELECT pair, a_order, b_order, 'number' AS method FROM (SELECT pair, number, min(sort_order) AS a_order FROM a WHERE number IS NOT NULL GROUP BY ALL) JOIN (SELECT pair, number, min(sort_order) AS b_order FROM b WHERE number IS NOT NULL GROUP BY ALL) USING (pair, number)),
+_ALIGNED = f"""{_VERSIONS}, n AS (SELECT pair, a_order, b_order, 'number' AS method FROM (SELECT pair, number, min(sort_order) AS a_order FROM a WHERE number IS NOT NULL GROUP BY ALL) JOIN (SELECT pair, number, min(sort_order) AS b_order FROM b WHERE number IS NOT NULL GROUP BY ALL) USING (pair, number)),
  a2 AS (SELECT pair, sort_order, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS bare FROM a ANTI JOIN n ON a.pair = n.pair AND sort_order = a_order), b2 AS (SELECT pair, sort_order, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS bare FROM b ANTI JOIN n ON b.pair = n.pair AND sort_order = b_order),
  t AS (SELECT pair, a_order, b_order, 'title' AS method FROM (SELECT pair, bare, min(sort_order) AS a_order FROM a2 GROUP BY ALL) JOIN (SELECT pair, bare, min(sort_order) AS b_order FROM b2 GROUP BY ALL) USING (pair, bare)),
  every AS (FROM n UNION ALL FROM t UNION ALL SELECT a2.pair, sort_order, NULL, 'removed' FROM a2 ANTI JOIN t ON a2.pair = t.pair AND sort_order = a_order UNION ALL SELECT b2.pair, NULL, sort_order, 'added' FROM b2 ANTI JOIN t ON b2.pair = t.pair AND sort_order = b_order),
  lost AS (SELECT pair FROM every GROUP BY 1 HAVING count(a_order) > 0 AND count(b_order) >= 3 AND count(*) FILTER (a_order IS NOT NULL AND b_order IS NOT NULL) / count(b_order)::DOUBLE < 0.3)
- SELECT every.* FROM every ANTI JOIN lost USING (pair) UNION ALL SELECT pair, NULL, NULL, 'whole_document' FROM lost""")
+"""
+
+
+@query(f"""WITH {_ALIGNED} SELECT every.* FROM every ANTI JOIN lost USING (pair) UNION ALL SELECT pair, NULL, NULL, 'whole_document' FROM lost""")
 def section_alignment(spark, sf_dir):
     return compare.align(*versions(spark, sf_dir))
 
@@ -308,6 +298,12 @@ def text_spans(spark, sf_dir):
     return rows.select("doc_id", "place", "span.tag", "span.old", "span.new")
 
 
+@query(f"WITH {_ALIGNED} SELECT DISTINCT pair, pair IN (SELECT pair FROM lost) AS degraded FROM every")
+def alignment_degraded(spark, sf_dir):
+    """Whether the two versions of an order are so unlike that they are compared whole."""
+    return compare.align(*versions(spark, sf_dir)).groupBy("pair").agg(F.bool_or(F.col("method") == "whole_document").alias("degraded"))
+
+
 @query(None)
 def comparison_summaries(spark, sf_dir):
     a, b = versions(spark, sf_dir)

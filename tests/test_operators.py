@@ -31,12 +31,19 @@ def test_contained_sources_go(spark):
     assert answers.drop_contained(spark.createDataFrame(rows, "q int, source_id int, score double, text string"), "q").first()["kept"] == [1, 3]
 
 
-def test_only_the_best_sources_come_in_question(spark):
-    rows = [(1, i, float(-i), f"text number {i} " * 3) for i in range(50)] + [(2, 0, 1.0, None)]
-    got = {r["q"]: r["kept"] for r in answers.drop_contained(spark.createDataFrame(rows, "q int, source_id int, score double, text string"), "q", 4).collect()}
-    assert got == {1: [0, 1, 2, 3], 2: []}
+def test_every_source_of_a_group_comes_in_question(spark):
+    rows = [(1, i, float(-i), f"text number {i:03d} " * 3) for i in range(50)] + [(1, 50, -50.0, "TEXT  number 049"), (2, 0, 1.0, None)]
+    got = {r["q"]: r["kept"] for r in answers.drop_contained(spark.createDataFrame(rows, "q int, source_id int, score double, text string"), "q").collect()}
+    assert got == {1: list(range(50)), 2: []}
     costs = spark.createDataFrame([(1, i, i, 1) for i in range(50)], "q int, rank int, source_id int, cost int")
-    assert answers.pack_budget(costs, "q", 100, 4).first()["chosen"] == [0, 1, 2, 3]
+    assert answers.pack_budget(costs, "q", 100).first()["chosen"] == list(range(50))
+
+
+def test_upserts_take_one_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, at int")
+    new = spark.createDataFrame([(2, "x", 3), (2, "y", 5), (2, "z", 4), (3, "p", 1), (3, "q", 1)], "k int, v string, at int")
+    assert {tuple(r) for r in catalog.upsert(old, new, ["k"], ["at"]).collect()} == {(1, "a", 0), (2, "y", 5), (3, "q", 1)}
+    assert {tuple(r) for r in catalog.insert_ignore(old, new, ["k"], ["at"]).collect()} == {(1, "a", 0), (2, "b", 0), (3, "p", 1)}
 
 
 def test_greedy_match_agrees_with_one_ordered_pass(spark):
@@ -88,7 +95,7 @@ def test_nearest_of_a_query_set(spark):
 def test_markers_titles_and_controls(spark):
     df = spark.createDataFrame([("x [1] y [SOURCE 12] z [123]\nSOURCE 3: no",)], "t string")
     row = df.select(X.citation_markers(F.col("t")).alias("m"), X.redact_controls(F.col("t")).alias("r"), X.first_line_title(F.col("t")).alias("f")).first()
-    assert row["m"] == [1, 12] and "\n[redacted] SOURCE 3" in row["r"] and row["f"] == "x [1] y [SOURCE 12] z [123]"
+    assert row["m"] == [1, 12] and row["r"].endswith("\nWARNING[REDACTED CONTROL TOKEN] SOURCE 3: no") and row["f"] == "x [1] y [SOURCE 12] z [123]"
 
 
 def reference_difference(old, new):
