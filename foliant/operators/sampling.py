@@ -69,18 +69,20 @@ def represented(sections: DataFrame, chunks: DataFrame, *, budget: int, per_sect
         return let(picked, lambda p: F.struct(F.concat(s["taken"], p).alias("taken"), F.when(F.size(p) > 0, F.concat(s["included"], F.array(t["section_id"]))).otherwise(s["included"]).alias("included")))
 
     docs = docs.withColumn("_s", F.aggregate(F.coalesce("_tops", F.filter("_tops", lambda t: F.lit(False))), start, section))
-    docs = docs.withColumn("_taken", F.coalesce("_s.taken", none))
-    spent = F.aggregate(F.filter("_rows", lambda r: F.array_contains("_taken", r["at"].cast("int"))), F.lit(0).cast("long"), lambda s, r: s + r["cost"])
-    filling = F.struct((F.lit(budget).cast("long") - spent).alias("left"), F.col("_taken").alias("taken"))
+    def filled(taken: Column) -> Column:
+        """What sections took, and in reading order what still fits. Bound once: a column that only a lambda names is computed for each of its elements."""
+        spent = F.aggregate(F.filter("_rows", lambda r: F.array_contains(taken, r["at"].cast("int"))), F.lit(0).cast("long"), lambda s, r: s + r["cost"])
+        state = F.struct((F.lit(budget).cast("long") - spent).alias("left"), none.alias("more"))
 
-    def fill(s: Column, r: Column) -> Column:
-        fits = ~F.array_contains("_taken", r["at"].cast("int")) & (s["left"] > 0) & (r["cost"] <= s["left"])
-        return F.struct(F.when(fits, s["left"] - r["cost"]).otherwise(s["left"]).alias("left"), F.when(fits, F.concat(s["taken"], F.array(r["at"].cast("int")))).otherwise(s["taken"]).alias("taken"))
+        def fill(s: Column, r: Column) -> Column:
+            fits = (s["left"] > 0) & (r["cost"] <= s["left"]) & ~F.array_contains(taken, r["at"].cast("int"))
+            return F.when(fits, F.struct((s["left"] - r["cost"]).alias("left"), F.concat(s["more"], F.array(r["at"].cast("int"))).alias("more"))).otherwise(s)
 
-    docs = docs.withColumn("_filled", F.aggregate("_rows", filling, fill)["taken"])
+        return F.concat(taken, F.aggregate("_rows", state, fill)["more"])
+
+    kept = let(let(F.coalesce("_s.taken", none), filled), lambda taken: F.filter("_rows", lambda r: F.array_contains(taken, r["at"].cast("int"))))
     whole, bare = F.col("_total") <= budget, F.col("_any").isNull()
-    by_section = F.filter("_rows", lambda r: F.array_contains("_filled", r["at"].cast("int")))
-    chosen = F.when(whole, F.col("_rows")).when(bare, evenly(F.col("_rows"), F.col("_total"), budget)).otherwise(by_section)
+    chosen = F.when(whole, F.col("_rows")).when(bare, evenly(F.col("_rows"), F.col("_total"), budget)).otherwise(kept)
     sectioned = ~whole & ~bare
     return docs.select(
         "document_id", F.transform(chosen, lambda r: r["chunk_id"]).alias("chosen"), (~whole).alias("sampled"), F.when(whole, "full").otherwise("section_diverse").alias("strategy"),
