@@ -34,12 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage is cut and lost executors cost nothing."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage is cut and lost executors cost nothing.
+
+    The driver's garbage is collected then, which keeps its heap small and lets Spark delete shuffle files that no frame needs any more.
+    """
     path, counted = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}", Observation()
     schema = df.schema
     df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.stashed_rows = counted.get["n"]  # the rows written, which saves counting them again
+    release(df.sparkSession)
     return out
 
 
