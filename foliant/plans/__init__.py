@@ -1,3 +1,3 @@
 """Queries that bind the operators to tables."""
 
-from foliant.plans import assembly, claims, conflicts, keyword, library, records, sampling, search, texts  # noqa: F401
+from foliant.plans import assembly, claims, conflicts, keyword, library, records, replies, sampling, search, texts  # noqa: F401
