@@ -12,8 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 CHANGES = "key long, id long, status string, previous string"
 
 
-def status_changes(states: DataFrame) -> DataFrame:
-    """First status of each key and then only those that differ (key, id, status). State is the last status; a batch is taken in order of id."""
+#: Statuses after which nothing more comes of a key.
+FINAL = ("COMPLETED", "FAILED", "READY")
+
+
+def status_changes(states: DataFrame, final: tuple[str, ...] = FINAL) -> DataFrame:
+    """First status of each key and then only those that differ (key, id, status). State is the last status, until it is final; a batch is taken in order of id."""
 
     def differ(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -21,7 +25,10 @@ def status_changes(states: DataFrame) -> DataFrame:
         before = rows["status"].shift(1)
         before.iloc[0] = last
         out = rows.assign(previous=before)
-        if len(rows):
+        if len(rows) and rows["status"].iloc[-1] in final:
+            if state.exists:
+                state.remove()
+        elif len(rows):
             state.update((rows["status"].iloc[-1],))
         changed = out["previous"].isna() | (out["previous"] != out["status"])
         yield out.loc[changed, ["key", "id", "status", "previous"]]
