@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import expressions as X
+
 #: The usual English stop words of full-text search.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
@@ -41,51 +45,100 @@ def is_stop_word(word: Column) -> Column:
     return word.isin(*STOP_WORDS)
 
 
-def with_stems(words: DataFrame, word: str, stem: str = "stem") -> DataFrame:
-    """Adds the stem of each lower-case word; null stays null. One row a distinct word is best: the steps are some twenty patterns."""
-    w, first, second = f"_{stem}", f"_{stem}_1", f"_{stem}_2"
-
-    def col() -> Column:
-        return F.col(w)
-
-    def ending(pattern: str) -> Column:
-        return F.regexp_extract(w, f"(?:{pattern})$", 0)
-
-    def inside(region: str, size) -> Column:
-        return F.length(w) - size >= F.col(region)
-
-    def without(size) -> Column:
-        return F.substring(F.col(w), F.lit(1), F.length(w) - size)
-
-    def region(text: Column, pattern: str) -> Column:
-        return F.when(text.rlike(pattern), F.length(F.regexp_extract(text, pattern, 0))).otherwise(F.length(text))
-
-    df = words.withColumn(w, F.regexp_replace(F.regexp_replace(word, "^y", "Y"), "([aeiouy])y", "$1Y"))
-    df = df.withColumn(first, region(col(), FIRST_REGION))
-    df = df.withColumn(second, F.col(first) + region(F.substring(F.col(w), F.col(first) + 1, F.length(w)), REGION))
-    # plurals
-    df = df.withColumn(w, F.when(col().rlike("sses$"), without(2)).when(col().rlike("ie[ds]$"), without(F.when(F.length(w) > 4, 2).otherwise(1))).when(col().rlike("[us]s$"), col()).when(col().rlike("[aeiouy].+s$"), without(1)).otherwise(col()))
-    settled = col().isin(*KEPT_LATER)
-    # past and progressive
-    end = ending("eedly|eed|ingly|edly|ing|ed")
-    cut = without(F.length(end))
-    mended = F.when(cut.rlike("(?:at|bl|iz)$"), F.concat(cut, F.lit("e"))).when(cut.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(cut, F.lit(1), F.length(cut) - 1))
-    mended = mended.when((F.col(first) >= F.length(cut)) & cut.rlike(SHORT), F.concat(cut, F.lit("e"))).otherwise(cut)
-    verb = F.when(end.startswith("eed"), F.when(inside(first, F.length(end)), F.concat(cut, F.lit("ee"))).otherwise(col())).when((end != "") & cut.rlike("[aeiouy]"), mended).otherwise(col())
-    df = df.withColumn(w, F.when(settled, col()).otherwise(verb))
-    df = df.withColumn(w, F.when(settled, col()).otherwise(F.regexp_replace(w, "^(.+[^aeiouy])[yY]$", "$1i")))
-    # endings
-    for step, table in enumerate((STEP_2, STEP_3)):
-        end = ending(longest_first(table))
-        before = without(F.length(end))
-        new = F.concat(before, F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), end))
-        fits = inside(first, F.length(end)) & ((end != "ogi") | before.endswith("l")) & ((end != "li") | before.rlike("[cdeghkmnrt]$")) & ((end != "ative") | inside(second, 5))
-        df = df.withColumn(w, F.when(~settled & (end != "") & fits, new).otherwise(col()))
-    end = ending(longest_first(STEP_4))
-    df = df.withColumn(w, F.when(~settled & (end != "") & inside(second, F.length(end)) & ((end != "ion") | without(3).rlike("[st]$")), without(F.length(end))).otherwise(col()))
-    e = col().endswith("e") & (inside(second, 1) | (inside(first, 1) & ~without(1).rlike(SHORT)))
-    ll = col().endswith("ll") & inside(second, 1)
-    df = df.withColumn(w, F.when(~settled & (e | ll), without(1)).otherwise(col()))
-    own = F.element_at(F.create_map(*[F.lit(x) for pair in (OWN_STEMS | {k: k for k in KEPT}).items() for x in pair]), F.col(word))
-    found = F.when(F.length(word) <= 2, F.col(word)).otherwise(F.coalesce(own, F.translate(w, "Y", "y")))
-    return df.withColumn(stem, found).drop(w, first, second)
+def without(w: Column, size: Column | int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - size)
+
+
+def region(text: Column, pattern: str) -> Column:
+    """How far into the text a region begins: behind the pattern's match, or at the end."""
+    return F.when(text.rlike(pattern), F.length(F.regexp_extract(text, pattern, 0))).otherwise(F.length(text))
+
+
+def ending(w: Column, pattern: str) -> Column:
+    return F.regexp_extract(w, f"(?:{pattern})$", 0)
+
+
+def regions(w: Column) -> Column:
+    """The word with the beginnings of its first and second region."""
+    first = X.let(region(w, FIRST_REGION), lambda r: F.struct(r.alias("first"), (r + region(F.substring(w, r + 1, F.length(w)), REGION)).alias("second")))
+    return X.let(first, lambda r: F.struct(w.alias("w"), r["first"].alias("first"), r["second"].alias("second")))
+
+
+def changed(s: Column, rule: Callable[[Column, Column, Column], Column]) -> Column:
+    """The state with its word replaced by rule(word, first, second)."""
+    return X.let(s, lambda v: F.struct(rule(v["w"], v["first"], v["second"]).alias("w"), v["first"].alias("first"), v["second"].alias("second")))
+
+
+def plural(w: Column, first: Column, second: Column) -> Column:
+    short = without(w, F.when(F.length(w) > 4, 2).otherwise(1))
+    return F.when(w.rlike("sses$"), without(w, 2)).when(w.rlike("ie[ds]$"), short).when(w.rlike("[us]s$"), w).when(w.rlike("[aeiouy].+s$"), without(w, 1)).otherwise(w)
+
+
+def verb(w: Column, first: Column, second: Column) -> Column:
+    def mended(cut: Column) -> Column:
+        whole = F.concat(cut, F.lit("e"))
+        once = F.when(cut.rlike("(?:at|bl|iz)$"), whole).when(cut.rlike("(?:bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), without(cut, 1))
+        return once.when((first >= F.length(cut)) & cut.rlike(SHORT), whole).otherwise(cut)
+
+    def rule(end: Column) -> Column:
+        cut = without(w, F.length(end))
+        doubled = F.when(F.length(cut) >= first, F.concat(cut, F.lit("ee"))).otherwise(w)
+        return F.when(end.startswith("eed"), doubled).when((end != "") & cut.rlike("[aeiouy]"), X.let(cut, mended)).otherwise(w)
+
+    return X.let(ending(w, "eedly|eed|ingly|edly|ing|ed"), rule)
+
+
+def final_y(w: Column, first: Column, second: Column) -> Column:
+    return F.regexp_replace(w, "^(.+[^aeiouy])[yY]$", "$1i")
+
+
+def replaced(table: dict[str, str]) -> Callable[[Column, Column, Column], Column]:
+    new = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+    def rule(w: Column, first: Column, second: Column) -> Column:
+        def fits(end: Column) -> Column:
+            cut = without(w, F.length(end))
+            held = ((end != "ogi") | cut.endswith("l")) & ((end != "li") | cut.rlike("[cdeghkmnrt]$")) & ((end != "ative") | (F.length(cut) >= second))
+            return F.when((end != "") & (F.length(cut) >= first) & held, F.concat(cut, F.element_at(new, end))).otherwise(w)
+
+        return X.let(ending(w, longest_first(table)), fits)
+
+    return rule
+
+
+def removed(w: Column, first: Column, second: Column) -> Column:
+    def rule(end: Column) -> Column:
+        cut = without(w, F.length(end))
+        return F.when((end != "") & (F.length(cut) >= second) & ((end != "ion") | cut.rlike("[st]$")), cut).otherwise(w)
+
+    return X.let(ending(w, longest_first(STEP_4)), rule)
+
+
+def last_letter(w: Column, first: Column, second: Column) -> Column:
+    cut = without(w, 1)
+    e = w.endswith("e") & ((F.length(cut) >= second) | ((F.length(cut) >= first) & ~cut.rlike(SHORT)))
+    return F.when(e | (w.endswith("ll") & (F.length(cut) >= second)), cut).otherwise(w)
+
+
+def stem(word: Column) -> Column:
+    """The stem of a lower-case word; null stays null. Some twenty patterns, best applied once a distinct word; one expression, each step a value of its own."""
+    own = F.create_map(*[F.lit(x) for pair in (OWN_STEMS | {k: k for k in KEPT}).items() for x in pair])
+
+    def found(w: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(w, "^y", "Y"), "([aeiouy])y", "$1Y")
+        singular = changed(X.let(marked, regions), plural)
+        rules = [verb, final_y, replaced(STEP_2), replaced(STEP_3), removed, last_letter]
+
+        def rest(s: Column) -> Column:
+            out = s
+            for rule in rules:
+                out = changed(out, rule)
+            return F.when(s["w"].isin(*KEPT_LATER), s["w"]).otherwise(F.translate(out["w"], "Y", "y"))
+
+        return F.when(F.length(w) <= 2, w).otherwise(F.coalesce(F.element_at(own, w), X.let(singular, rest)))
+
+    return X.let(word, found)
+
+
+def with_stems(words: DataFrame, word: str, name: str = "stem") -> DataFrame:
+    return words.withColumn(name, stem(F.col(word)))

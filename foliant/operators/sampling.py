@@ -5,14 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import expressions as X
 from foliant.operators.structure import with_ancestors
 
 
-def let(value: Column, use) -> Column:
-    """use(value), where value is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def middle(rows: Column, take: int) -> Column:
     """The middle `take` elements of an array in order."""
     n = F.size(rows)
@@ -65,8 +61,8 @@ def represented(sections: DataFrame, chunks: DataFrame, *, budget: int, per_sect
 
     def section(s: Column, t: Column) -> Column:
         near = F.transform(F.filter("_rows", lambda r: r["page"].between(t["page"], t["end_page"]) & ~F.array_contains(s["taken"], r["at"].cast("int"))), lambda r: r["at"].cast("int"))
-        picked = F.when(t["own"].isNotNull(), t["own"]).otherwise(let(near, lambda rows: middle(rows, per_section)))
-        return let(picked, lambda p: F.struct(F.concat(s["taken"], p).alias("taken"), F.when(F.size(p) > 0, F.concat(s["included"], F.array(t["section_id"]))).otherwise(s["included"]).alias("included")))
+        picked = F.when(t["own"].isNotNull(), t["own"]).otherwise(X.let(near, lambda rows: middle(rows, per_section)))
+        return X.let(picked, lambda p: F.struct(F.concat(s["taken"], p).alias("taken"), F.when(F.size(p) > 0, F.concat(s["included"], F.array(t["section_id"]))).otherwise(s["included"]).alias("included")))
 
     docs = docs.withColumn("_s", F.aggregate(F.coalesce("_tops", F.filter("_tops", lambda t: F.lit(False))), start, section))
     def filled(taken: Column) -> Column:
@@ -80,7 +76,7 @@ def represented(sections: DataFrame, chunks: DataFrame, *, budget: int, per_sect
 
         return F.concat(taken, F.aggregate("_rows", state, fill)["more"])
 
-    kept = let(let(F.coalesce("_s.taken", none), filled), lambda taken: F.filter("_rows", lambda r: F.array_contains(taken, r["at"].cast("int"))))
+    kept = X.let(X.let(F.coalesce("_s.taken", none), filled), lambda taken: F.filter("_rows", lambda r: F.array_contains(taken, r["at"].cast("int"))))
     whole, bare = F.col("_total") <= budget, F.col("_any").isNull()
     chosen = F.when(whole, F.col("_rows")).when(bare, evenly(F.col("_rows"), F.col("_total"), budget)).otherwise(kept)
     sectioned = ~whole & ~bare

@@ -18,14 +18,9 @@ def semantic_topk(chunks: DataFrame, query: list[float], k: int, *, key: str = "
 
 
 def bm25(docs: DataFrame, query: list[str], *, key: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key and score of the documents that hold a query term. One pass counts terms, one row of totals is joined back."""
-
-    def times(term: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == term))
-
-    counted = docs.select(key, X.terms(F.col("text")).alias("t")).select(
-        key, F.size("t").alias("length"), *[times(q).alias(f"tf{i}") for i, q in enumerate(query)]
-    )
+    """key and score of the documents that hold a query term (ASCII letters and digits). One pass counts terms, one row of totals is joined back."""
+    low = F.lower("text")
+    counted = docs.select(key, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("length"), *[F.regexp_count(low, F.lit(f"(?<![a-z0-9]){q}(?![a-z0-9])")).alias(f"tf{i}") for i, q in enumerate(query)])
     sums = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     joined = counted.join(F.broadcast(sums))  # one row
 
@@ -111,3 +106,31 @@ def candidate_pairs(queries: DataFrame, vectors: DataFrame, *, k: int = 5, least
     """a < b, score and rank: a is a query and b among its k nearest; of an unordered pair only the direction from the smaller id counts, after the cut."""
     near = nearest_of_others(queries, vectors, k).filter((F.col("score") >= least) & (F.col("other_id") > F.col("vec_id")))
     return near.select(F.col("vec_id").alias("a"), F.col("other_id").alias("b"), "score", "rank")
+
+
+def search(chunks: DataFrame, query: str, vector: list[float], matched: DataFrame, *, mode: str = "hybrid", top_k: int = 10, key: str = "doc_id", branch: int = 50, candidates: int = 30, least: float = 0.35, most: int = 50) -> DataFrame:
+    """key, relevance and place: the search in one of three modes over chunks (key, text, embedding) that the caller's scope left.
+
+    matched: key and rank of the keyword branch over the same chunks. hybrid: the best `branch` of both branches, fused, the first `candidates` reranked by lexical overlap; those under
+    `least` go. semantic: the vector branch, reranked likewise. keyword: that branch alone, its ranks between 0 and 1. An unknown mode is hybrid, a blank query finds
+    nothing, and no more than `most` rows are returned. Reranked ties keep the order they came in.
+    """
+    if not query.strip():
+        return chunks.select(key, F.lit(0.0).alias("relevance"), F.lit(0).alias("place")).filter(F.lit(False))
+    limit = min(top_k, most)
+    words = matched.orderBy(F.desc("rank"), key).limit(branch)
+    order = Window.orderBy(F.desc("relevance"), "_at")
+    if mode.lower() == "keyword":
+        spread = X.min_max(F.col("rank"), F.min("rank").over(Window.partitionBy()), F.max("rank").over(Window.partitionBy()))
+        found = words.select(key, F.round(spread, 6).alias("relevance"), F.row_number().over(Window.orderBy(F.desc("rank"), key)).alias("_at"))
+    else:
+        near = semantic_topk(chunks, vector, branch, key=key, vector="embedding")
+        if mode.lower() == "semantic":
+            pool = near.select(key, F.col("rank").alias("_at"))
+        else:
+            fused = fuse(near, words.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rank"), key))), key=key, limit=candidates)
+            by = [F.desc("fused"), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"), F.col(key)]
+            pool = fused.select(key, F.row_number().over(Window.orderBy(*by)).alias("_at"))
+        text = chunks.join(F.broadcast(pool), key)  # at most `branch` rows
+        found = text.select(key, "_at", F.round(X.lexical_overlap(F.lit(query), F.col("text")), 6).alias("relevance")).filter(F.col("relevance") >= least)
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select(key, "relevance", "place")

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators import finding, keyword
 from foliant.operators import search as S
 from foliant.operators import vectors as V
 from foliant.operators.compare import shared_folder
@@ -103,3 +104,65 @@ def indexed_pairs(spark, sf_dir):
     index = V.build(vectors, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", cells=24)
     near = V.nearest_by_index(index, vectors.filter("vec_id % 100 = 0"), 5, probes=8)
     return near.filter("score >= 0.83 AND other_id > vec_id").select(F.col("vec_id").alias("a"), F.col("other_id").alias("b"), "score", "rank")
+
+
+SENTENCE = "ing tions of er"
+
+
+def scoped_chunks(spark, sf_dir):
+    """Documents of five sources with the vector of their number."""
+    docs = table(spark, sf_dir, "documents").filter(F.col("source").isin("src0", "src1", "src2", "src3", "src5"))
+    return docs.select("doc_id", "text").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+
+
+def search_in(spark, sf_dir, mode):
+    chunks = scoped_chunks(spark, sf_dir)
+    parsed = keyword.parse(spark, SENTENCE)
+    return S.search(chunks, SENTENCE, first_vector(spark, sf_dir), keyword.matches(keyword.postings(chunks), parsed), mode=mode, top_k=20)
+
+
+def _search_sql(mode: str) -> str:
+    from foliant.plans.keyword import _WORDS, _all
+
+    terms = ["er", "ing", "tion"]
+    lists = ", ".join(f"max(positions) FILTER (term = '{t}') AS t{i}" for i, t in enumerate(terms))
+    overlap = f"round(len(list_intersect(['ing', 'tions', 'of', 'er'], {_WORDS_OF_TEXT})) / 4.0::DOUBLE, 6)"
+    chunks = "chunks AS (SELECT doc_id, text, embedding::DOUBLE[] AS embedding FROM documents JOIN embeddings ON vec_id = doc_id WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src5'))"
+    base = f"""WITH {chunks}, {_WORDS.replace("FROM documents", "FROM chunks")}, held AS (SELECT doc_id, {lists} FROM postings WHERE term IN ('er', 'ing', 'tion') GROUP BY doc_id),
+ hits AS (SELECT doc_id, {_all(terms)} AS rank FROM held WHERE t0 IS NOT NULL AND t1 IS NOT NULL AND t2 IS NOT NULL ORDER BY rank DESC, doc_id LIMIT 50),
+ near AS (SELECT doc_id, row_number() OVER (ORDER BY round(list_cosine_similarity(c.embedding, q.embedding::DOUBLE[]), 6) DESC, doc_id) AS r FROM chunks c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY r <= 50),"""
+    if mode == "keyword":
+        return base + """ n AS (SELECT doc_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS at_no, round(CASE WHEN max(rank) OVER () = min(rank) OVER () THEN 1 ELSE (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()) END, 6) AS relevance FROM hits)
+ SELECT doc_id, relevance, CAST(row_number() OVER (ORDER BY relevance DESC, at_no) AS INT) AS place FROM n ORDER BY place LIMIT 20"""
+    pool = "pool AS (SELECT doc_id, r AS at_no FROM near)" if mode == "semantic" else """k AS (SELECT doc_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS r FROM hits),
+ pool AS (SELECT doc_id, row_number() OVER (ORDER BY round(coalesce(1.0::DOUBLE / (60 + near.r), 0) + coalesce(1.0::DOUBLE / (60 + k.r), 0), 8) DESC, near.r NULLS LAST, k.r NULLS LAST, doc_id) AS at_no FROM near FULL JOIN k USING (doc_id) QUALIFY at_no <= 30)"""
+    return base + f""" {pool}, scored AS (SELECT doc_id, at_no, {overlap} AS relevance FROM pool JOIN chunks USING (doc_id))
+ SELECT doc_id, relevance, CAST(row_number() OVER (ORDER BY relevance DESC, at_no) AS INT) AS place FROM scored WHERE relevance >= 0.35 ORDER BY place LIMIT 20"""
+
+
+_WORDS_OF_TEXT = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+
+
+@query(_search_sql("hybrid"))
+def search_hybrid(spark, sf_dir):
+    return search_in(spark, sf_dir, "unknown")
+
+
+@query(_search_sql("semantic"))
+def search_semantic(spark, sf_dir):
+    return search_in(spark, sf_dir, "semantic")
+
+
+@query(_search_sql("keyword"))
+def search_keyword(spark, sf_dir):
+    return search_in(spark, sf_dir, "KEYWORD")
+
+
+_TERMS = ["Tion ", "the of", "ing", "É", "ein", "erer", "thnt", "x", "la ou", " nd", "er. T"]
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents), p AS (SELECT DISTINCT lower(trim(x)) AS term FROM unnest([{", ".join(f"'{t}'" for t in _TERMS)}]) u(x))
+ SELECT doc_id, term, (len(t) - len(replace(t, term, ''))) // len(term) AS hits, CAST(strpos(t, term) - 1 AS BIGINT) AS first FROM t JOIN p ON contains(t, term)""")
+def text_finds(spark, sf_dir):
+    hits = finding.find_terms(table(spark, sf_dir, "documents"), _TERMS)
+    return hits.groupBy("doc_id", "term").agg(F.count("*").alias("hits"), F.min("begin").alias("first"))
