@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keyset_page(rows: DataFrame, *, time: str, key: str, limit: int, after: tuple | None = None) -> DataFrame:
-    """The next page, newest first, after the row (time, key); one more row than asked tells that there is more."""
+def keyset_page(rows: DataFrame, *, time: str, key: str, limit: int, after: tuple | None = None, newest: bool = True) -> DataFrame:
+    """The next page, newest or oldest first, after the row (time, key); one more row than asked tells that there is more."""
     if after is not None:
-        rows = rows.filter(F.struct(time, key) < F.struct(F.lit(after[0]).cast(rows.schema[time].dataType), F.lit(after[1]).cast(rows.schema[key].dataType)))
-    return rows.orderBy(F.desc(time), F.desc(key)).limit(limit + 1)
-
-
-def audit_page(events: DataFrame, users: DataFrame, *, actions: list[str], since: str, until: str, offset: int, limit: int) -> DataFrame:
-    """Events of the actions in the closed time range with the user's name, newest first."""
+        at, last = F.struct(time, key), F.struct(F.lit(after[0]).cast(rows.schema[time].dataType), F.lit(after[1]).cast(rows.schema[key].dataType))
+        rows = rows.filter(at < last if newest else at > last)
+    order = [F.desc(time), F.desc(key)] if newest else [F.asc(time), F.asc(key)]
+    return rows.orderBy(*order).limit(limit + 1)
+
+
+def audit_page(events: DataFrame, users: DataFrame, *, actions: list[str], since: str, until: str, offset: int, limit: int, user: int | None = None, resource: str | None = None) -> DataFrame:
+    """Events of the actions in the closed time range with the user's name, newest first; of one user or one resource (column resource) if asked."""
+    if user is not None:
+        events = events.filter(F.col("user_id") == user)
+    if resource is not None:
+        events = events.filter(F.col("resource") == resource)
     chosen = events.filter(F.upper("event_type").isin(*[a.upper() for a in actions]) & F.col("ts").between(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")))
     page = chosen.orderBy(F.desc("ts"), F.desc("event_id")).offset(offset).limit(limit)
     return page.join(F.broadcast(users) if users.limit(100_001).count() <= 100_000 else users, "user_id", "left")

@@ -44,10 +44,13 @@ def rate_limited(calls: DataFrame, *, key: str, time: str, seconds: int = 60, mo
 
 
 def purge_candidates(documents: DataFrame, versions: DataFrame, now: str, *, days: int = 90, limit: int = 50) -> DataFrame:
-    """The documents deleted longest ago, out of the retention window, with their number of versions; none counts 0."""
+    """The documents deleted longest ago, out of the retention window, with their number of versions (0 if none) and, if versions have a column key, their keys in order."""
     old = documents.filter(F.col("deleted_at") <= F.lit(now).cast("timestamp_ntz") - F.expr(f"make_dt_interval({days})")).orderBy("deleted_at", "id").limit(limit)
-    counts = versions.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("versions"))
-    return old.join(counts, "id", "left").withColumn("versions", F.coalesce("versions", F.lit(0)))
+    keyed = [F.array_sort(F.collect_list("key")).alias("keys")] if "key" in versions.columns else []
+    own = versions.withColumnRenamed("document_id", "id").join(F.broadcast(old.select("id")), "id", "left_semi")  # at most `limit` rows
+    counts = own.groupBy("id").agg(F.count("*").alias("versions"), *keyed)
+    out = old.join(counts, "id", "left").withColumn("versions", F.coalesce("versions", F.lit(0)))
+    return out.withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))) if keyed else out
 
 
 def failure_runs(calls: DataFrame, *, key: str, order: str, failed: str, least: int = 5) -> DataFrame:

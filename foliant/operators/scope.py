@@ -40,15 +40,19 @@ def visible_conflicts(statements: DataFrame, documents: DataFrame, user: int) ->
     return statements.select("conflict_id").distinct().join(statements.join(hidden, "document_id", "left_semi").select("conflict_id").distinct(), "conflict_id", "left_anti")
 
 
-def metadata_filter(documents: DataFrame, *, types: list[str] | None = None, owner: int | None = None, members: DataFrame | None = None) -> DataFrame:
-    """All given filters; members (document_id) tests membership without multiplying rows."""
+def metadata_filter(documents: DataFrame, *, types: list[str] | None = None, owner: int | None = None, members: DataFrame | None = None, status: str | None = None, access: str | None = None, name: str | None = None) -> DataFrame:
+    """All given filters; members (document_id) tests membership without multiplying rows, name is looked for anywhere in the name, whatever the case."""
     if types:
         documents = documents.filter(F.col("type").isin(*types))
-    if owner is not None:
-        documents = documents.filter(F.col("owner") == owner)
+    for column, value in (("owner", owner), ("status", status), ("access", access)):
+        if value is not None:
+            documents = documents.filter(F.col(column) == value)
+    if name:
+        documents = documents.filter(F.contains(F.lower("name"), F.lit(name.lower())))
     return documents if members is None else documents.join(members, documents["id"] == members["document_id"], "left_semi")
 
 
+
 def permission_keys(user_roles: DataFrame, role_permissions: DataFrame) -> DataFrame:
     """user_id and the sorted union of the permission keys of its roles."""
     return user_roles.join(role_permissions, "role").groupBy("user_id").agg(F.array_sort(F.collect_set("permission")).alias("permissions"))
