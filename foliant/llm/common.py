@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +205,26 @@ def join_counted(df: DataFrame, other: DataFrame, on: str, how: str = "inner") -
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer referenced."""
+    """Lets Spark delete the shuffle files of frames that are no longer referenced, and gives unused memory of the driver back."""
     gc.collect()
     spark._jvm.System.gc()
+    trim_native_heap(spark)
+
+
+def trim_native_heap(spark: SparkSession) -> None:
+    """Runs the JVM's own command for it, if it has one.
+
+    The driver's pools of short-lived threads leave freed native memory behind in many heaps, some hundred MB of a long session.
+    """
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    kinds, values = new_array(jvm.java.lang.Class, 4), new_array(jvm.java.lang.Object, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(name)
+    values[0], values[1] = commands, "systemTrimNativeHeap"
+    values[2], values[3] = new_array(jvm.java.lang.Object, 0), new_array(jvm.java.lang.String, 0)
+    try:  # through the interface, as the server's own class is not open
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+    except Py4JJavaError:
+        pass  # a JVM without the command keeps what it has
