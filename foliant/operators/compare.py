@@ -74,27 +74,58 @@ def align(a: DataFrame, b: DataFrame, scores: DataFrame | None = None) -> DataFr
     return kept.select("pair", a_order.alias("a_order"), b_order.alias("b_order"), method.alias("method"))
 
 
+#: A pair of versions with at most so many candidates is matched in one pass over them.
+ONE_PASS = 1 << 14
+
+
+def one_pass(candidates: DataFrame) -> DataFrame:
+    """pair, a_order, b_order, score taken from each pair's candidates, best first, each section once."""
+    kind = "array<struct<a_order:int,b_order:int,score:double>>"
+
+    @F.pandas_udf(kind)
+    def matched(lists: pd.Series) -> pd.Series:
+        out = []
+        for rows in lists:
+            used_a, used_b, taken = set(), set(), []
+            for score, i, j in sorted(((r["score"], r["a_order"], r["b_order"]) for r in rows), reverse=True):
+                if i not in used_a and j not in used_b:
+                    used_a.add(i)
+                    used_b.add(j)
+                    taken.append({"a_order": i, "b_order": j, "score": score})
+            out.append(taken)
+        return pd.Series(out)
+
+    rows = candidates.groupBy("pair").agg(F.collect_list(F.struct(F.col("a_order").cast("int").alias("a_order"), F.col("b_order").cast("int").alias("b_order"), F.col("score").cast("double").alias("score"))).alias("rows"))
+    return rows.select("pair", F.explode(matched("rows")).alias("m")).select("pair", "m.a_order", "m.b_order", "m.score")
+
+
 def greedy_match(scores: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """pair, a_order, b_order, score: best first, each section once. scores: the candidates (pair, a_order, b_order, score).
 
-    In rounds: a candidate that both its sections rank first is taken, and all others of the two sections go. That gives the rows of
-    one pass over the candidates in order, without a pair of versions ever being one group. Of equal scores the later
+    A pair of at most ONE_PASS candidates is one row of lists. Larger ones go by rounds until they are that small: a candidate that both its sections
+    rank first is taken, and all others of the two sections go, which gives the rows of one pass over the candidates in order. Of equal scores the later
     section comes first, in the old version and then in the new. Repeated candidates count once, with their best score; null orders and scores are
     no candidates.
     """
     open_ = scores.filter((F.col("score") >= least) & F.col("a_order").isNotNull() & F.col("b_order").isNotNull())
     open_ = cut(open_.groupBy("pair", "a_order", "b_order").agg(F.max("score").alias("score")))
     found: list[DataFrame] = []
-    while not open_.isEmpty():
+    while True:
+        large = cut(open_.groupBy("pair").count().filter(F.col("count") > ONE_PASS).select("pair"))
+        if large.isEmpty():
+            found.append(one_pass(open_))
+            break
+        found.append(one_pass(open_.join(large, "pair", "left_anti")))
+        open_ = open_.join(large, "pair", "left_semi")
         of_a = open_.groupBy("pair", "a_order").agg(F.max(F.struct("score", "b_order")).alias("m")).select("pair", "a_order", "m.b_order", "m.score")
         of_b = open_.groupBy("pair", "b_order").agg(F.max(F.struct("score", "a_order")).alias("m")).select("pair", "m.a_order", "b_order")
         taken = cut(of_a.join(of_b, ["pair", "a_order", "b_order"]))
-        found.append(taken)
+        found.append(taken.select("pair", F.col("a_order").cast("int").alias("a_order"), F.col("b_order").cast("int").alias("b_order"), F.col("score").cast("double").alias("score")))
         open_ = cut(open_.join(taken.select("pair", "a_order"), ["pair", "a_order"], "left_anti").join(taken.select("pair", "b_order"), ["pair", "b_order"], "left_anti"))
-    out = open_
-    for taken in found:
+    out = found[0]
+    for taken in found[1:]:
         out = out.unionByName(taken)
-    return out.select("pair", "a_order", "b_order", "score")
+    return out
 
 
 def word_change_share(old: str, new: str) -> float:

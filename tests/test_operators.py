@@ -5,6 +5,7 @@ import random
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import expressions as X
@@ -46,7 +47,9 @@ def test_upserts_take_one_row_of_a_key(spark):
     assert {tuple(r) for r in catalog.insert_ignore(old, new, ["k"], ["at"]).collect()} == {(1, "a", 0), (2, "b", 0), (3, "p", 1)}
 
 
-def test_greedy_match_agrees_with_one_ordered_pass(spark):
+@pytest.mark.parametrize("most", [1 << 14, 5])
+def test_greedy_match_agrees_with_one_ordered_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(compare, "ONE_PASS", most)
     random.seed(4)
     rows = [(p, i, j, random.randint(80, 99) / 100) for p in range(6) for i in range(9) for j in range(8) if random.random() < 0.7]
     rows += rows[:20] + [(7, i, i + d, 0.9 + (2 * i + d) / 1000) for i in range(12) for d in (0, 1)] + [(8, None, 1, 0.9), (8, 1, 1, None), (9, 1, 1, 0.5)]
