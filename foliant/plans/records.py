@@ -74,7 +74,7 @@ def metadata_filters(spark, sf_dir):
 def permission_keys(spark, sf_dir):
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     roles = s.select(F.col("s_suppkey").alias("user_id"), F.explode(F.array(F.col("s_nationkey").cast("long"), F.col("s_suppkey") % 25)).alias("role"))
-    return scope.permission_keys(roles, n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("role"), F.col("r_name").alias("permission")))
+    return scope.permission_keys(roles, n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_nationkey").cast("long").alias("role"), F.col("r_name").alias("permission")))
 
 
 _CURRENT = f"""current AS (SELECT id, document_id, version_number FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY effective_date DESC NULLS LAST, version_number DESC) AS n FROM versions

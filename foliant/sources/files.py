@@ -74,6 +74,18 @@ def docx_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, page_number int, text string")
 
 
+def parsed_pages(uploads: DataFrame) -> DataFrame:
+    """path, page_number, text and reason of files (path, content, kind) by the parser of their kind: docx, or text in UTF-8.
+
+    Files of other kinds, and those that their parser cannot read, give one row with the reason and no text.
+    """
+    docx = docx_pages(uploads.filter("kind = 'docx'"))
+    text = uploads.filter("kind = 'text'").select("path", F.lit(1).alias("page_number"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")).filter("text IS NOT NULL")
+    read = docx.unionByName(text).withColumn("_read", F.lit(True))
+    reason = F.when(F.col("_read"), F.lit(None).cast("string")).when(F.col("kind").isin("docx", "text"), "unreadable").otherwise("unsupported")
+    return uploads.select("path", "kind").join(read, "path", "left").select("path", "page_number", "text", reason.alias("reason"))
+
+
 def ocr_lines(words: DataFrame) -> DataFrame:
     """Lines of recognised words (page, block, par, line, word_no, text, conf, left, top, width, height): text, box and mean confidence."""
     good = words.filter((F.col("conf") >= 0) & (F.trim("text") != ""))

@@ -36,6 +36,6 @@ def frames_of_chunks(chunks: DataFrame, stream: str = "stream") -> DataFrame:
     The chunks of a stream, which is one connection, are put together before they are cut at blank lines; a last frame may lack its end.
     """
     ordered = F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("data").alias("hex"))))
-    whole = F.decode(F.unhex(F.array_join(F.transform(ordered, lambda c: c["hex"]), "")), "UTF-8")
+    whole = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ordered, lambda c: c["hex"]), "")).cast("string"))
     blocks = chunks.groupBy(stream).agg(whole.alias("whole")).select(stream, F.posexplode(F.split("whole", "\n\n")).alias("place", "block"))
     return parsed_frames(blocks)
