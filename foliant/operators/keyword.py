@@ -34,7 +34,8 @@ def bucket(term: Column) -> Column:
 
 def write_postings(index: DataFrame, path: str) -> None:
     """Stores postings in folders by bucket of the term, so that a search reads the folders of its terms alone."""
-    index.withColumn("bucket", bucket(F.col("term"))).repartition(F.col("bucket")).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    rows = index.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket")  # a bucket with a very frequent term is dealt among tasks
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def stored_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def build(vectors: DataFrame, path: str, *, cells: int, sample: int = 50_000, ro
     model = KMeans(k=cells, maxIter=rounds, seed=seed).fit(some) if cells > 1 else None
     centres = np.array(model.clusterCenters()) if model else np.zeros((1, len(units.first()["v"])))
     dealt = units.withColumn("near", nearest_centres(centres, 1)("v")).select("vec_id", "label", "v", F.col("near.cell")[0].alias("cell"), F.col("near.distance")[0].alias("distance"))
-    dealt.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    dealt.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(path)  # a crowded cell is dealt among tasks
     radius, rows = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
     stored = vectors.sparkSession.read.parquet(path)
     for r in stored.groupBy("cell").agg(F.max("distance").alias("far"), F.count("*").alias("n")).collect():  # one row a cell
