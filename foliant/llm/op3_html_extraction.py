@@ -2,9 +2,10 @@
 
 Every page is parsed into a light tree. Each container element gets a hash of its tag, its attributes' names and classes, its
 text and its children. Spark counts on how many pages of a host each hash stands; subtrees that recur on at least
-`min_pages` pages and `min_share` of the host's pages are template and are deleted, unless they hold most of the page's
-text. Elements that are furniture by tag, role or class go in any case. The text is what the page's article holds, or its main
-element, or else its body.
+`min_pages` pages are template and are deleted, however many pages the host has, unless they hold most of the page's content, as the article of a page that stands under
+several addresses does. Elements that are furniture by tag, role or class go in any case: a name counts if it is listed, or if one of its parts between
+hyphens or underscores is; words that articles are about too count in a compound only beside words of page layout. A container of such a compound name that holds the article, the main
+element or the page's heading is a wrapper and stays. The text is what the page's article holds, or its main element, or else its body.
 
 Defined cases: a null or empty html gives an empty text; a null or odd url has no host and only the fixed rules apply; a page
 that repeats counts once for its template; repeated page ids are extracted one by one; pages of any length and depth are read whole; broken markup never fails: tags that are open end with
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from hashlib import blake2b
 
 import numpy as np
@@ -38,6 +39,12 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog nav
 CLASSES = frozenset(
     "ad ads adsense advert advertisement alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Of these, words that a compound name needs company for, and the company: words of page layout.
+VAGUE = frozenset("alert comments consent media menu notice related replies reply respond share sharing social".split()) - {"comments"}
+LAYOUT = frozenset(
+    "area bar block bottom box button buttons container content entry form global group header icon icons inner item items left link links list main outer page panel post posts right row section site slot top unit user wrap wrapper".split()
+)
+HEADINGS = frozenset(("article", "main", "h1"))
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"},
@@ -56,10 +63,10 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class Node:
-    __slots__ = ("tag", "furniture", "items", "mark", "size", "hash", "label")
+    __slots__ = ("tag", "furniture", "compound", "items", "size", "hash", "label")
 
-    def __init__(self, tag: str, label: str = "", furniture: bool = False):
-        self.tag, self.label, self.furniture = tag, label, furniture
+    def __init__(self, tag: str, label: str = "", furniture: bool = False, compound: bool = False):
+        self.tag, self.label, self.furniture, self.compound = tag, label, furniture, compound
         self.items: list = []  # texts and nodes
         self.size = self.hash = 0
 
@@ -77,55 +84,93 @@ def is_furniture(tag: str, attrs: dict[str, str]) -> bool:
     return tag in NAMED and not CLASSES.isdisjoint(names.split())
 
 
+def is_compound(name: str) -> bool:
+    """Whether a part of a name between hyphens or underscores names furniture."""
+    parts = re.split(r"[-_]+", name)
+    if len(parts) < 2:
+        return False
+    clear = any(p in CLASSES and p not in VAGUE for p in parts)
+    return clear or (any(p in VAGUE for p in parts) and all(p in CLASSES or p in LAYOUT for p in parts))
+
+
 def parse(text: str) -> Node:
+    """The page's elements. Where each open tag and block begins is kept, so what a tag closes is found without a walk."""
     root = Node("#root")
-    stack, open_tags = [root], Counter()
+    stack, places, blocks = [root], defaultdict(list), []
 
     def end(k: int) -> None:
         """Closes the elements from the k-th on."""
-        open_tags.subtract(n.tag for n in stack[k:])
+        for n in stack[k:]:
+            places[n.tag].pop()
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
         del stack[k:]
 
+    def last(tags) -> int:
+        """The innermost open element of these tags."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     for m in _PART.finditer(text):
         if m[5] is not None:
             stack[-1].items.append(entities.unescape(m[5]))
         elif m[3] is not None:
             tag = m[3].lower()
             if m[2]:
-                if open_tags[tag] > 0:
-                    end(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+                if places.get(tag):
+                    end(places[tag][-1])
                 continue
-            if tag in BLOCK and tag != "br" and open_tags["p"] > 0:  # an open paragraph ends where a block begins
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        end(k)
-                        break
-                    if stack[k].tag in BLOCK:
-                        break
-            if tag in CLOSES and any(open_tags[t] > 0 for t in CLOSES[tag]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CLOSES[tag]:
-                        end(k)
-                        break
-                    if stack[k].tag in FENCES.get(tag, ("table",)):
-                        break
+            if tag in BLOCK and tag != "br" and blocks and stack[blocks[-1]].tag == "p":  # an open paragraph ends where a block begins
+                end(blocks[-1])
+            if tag in CLOSES:
+                k = last(CLOSES[tag])
+                if k > last(FENCES.get(tag, ("table",))):
+                    end(k)
             attrs = attributes(m[4]) if m[4].strip("/ ") else {}
-            node = Node(tag, f"{tag} {' '.join(sorted(attrs))} {attrs.get('class', '')}", is_furniture(tag, attrs))
+            names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
+            node = Node(tag, f"{tag} {' '.join(sorted(attrs))} {attrs.get('class', '')}", is_furniture(tag, attrs), tag in NAMED and any(map(is_compound, names)))
             stack[-1].items.append(node)
             if tag not in VOID and not m[4].endswith("/"):
+                places[tag].append(len(stack))
+                if tag in BLOCK:
+                    blocks.append(len(stack))
                 stack.append(node)
-                open_tags[tag] += 1
+    settle(root)
     return root
 
 
-def hash_subtrees(node: Node) -> None:
-    """Sets size (characters of text) and hash of every node, children first."""
-    todo, order = [node], []
+def in_order(root: Node) -> list[Node]:
+    """All elements, each before those inside it."""
+    todo, order = [root], []
     while todo:
         n = todo.pop()
         order.append(n)
         todo.extend(x for x in n.items if isinstance(x, Node))
+    return order
+
+
+def settle(root: Node) -> None:
+    """Elements of compound names become furniture unless they hold the article, the main element or the heading of the page."""
+    order = in_order(root)
+    if not any(n.compound for n in order):
+        return
+    holds: set[int] = set()
     for n in reversed(order):
+        inside = any(id(x) in holds for x in n.items if isinstance(x, Node))
+        if n.compound and not inside and n.tag not in HEADINGS:
+            n.furniture = True
+        if (inside or n.tag in HEADINGS) and not n.furniture and not (n.tag in HEADINGS and named(n)):
+            holds.add(id(n))
+
+
+def named(n: Node) -> bool:
+    """Whether an article is called a comment, an advert or the like."""
+    names = n.label.lower().split()[1:]
+    return not CLASSES.isdisjoint(names) or any(map(is_compound, names))
+
+
+def hash_subtrees(node: Node) -> None:
+    """Sets size (characters of text) and hash of every node, children first."""
+    for n in reversed(in_order(node)):
         parts, size = [n.label], 0
         for x in n.items:
             if isinstance(x, Node):
@@ -145,7 +190,7 @@ def contents(root: Node) -> list[Node]:
         while todo:
             n = todo.pop()
             if n.tag == tag and not n.furniture:
-                if not CLASSES.isdisjoint(n.label.lower().split()):
+                if named(n):
                     continue
                 found.append(n)
                 continue
@@ -209,13 +254,13 @@ def host_key(name: str | None, mark: int) -> int:
     return int.from_bytes(blake2b(f"{name} {mark}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def extract_pages(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
+def extract_pages(pages: DataFrame, *, min_pages: int = 5) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
-    arrow = pa.schema([("host", pa.string()), ("page", pa.int64()), ("subtree", pa.int64())])
+    arrow = pa.schema([("page", pa.int64()), ("subtree", pa.int64())])
 
     def met(cols: dict) -> dict:
-        hosts, keys, subtrees = [], [], []
+        keys, subtrees = [], []
         for url, text in zip(cols["url"].to_pylist(), cols["html"].to_pylist()):
             name = host(url)
             if name is None or not text:
@@ -224,16 +269,13 @@ def extract_pages(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.
             hash_subtrees(root)
             found = {host_key(name, n.hash) for n in template_nodes(contents(root))}
             page = host_key(name, root.hash)
-            hosts += [name] * (len(found) + 1)
-            keys += [page] * (len(found) + 1)
-            subtrees += [None, *sorted(found)]  # null: the page itself
-        return {"host": hosts, "page": keys, "subtree": subtrees}
-
-    rows = stash(pages.mapInArrow(each_batch(met, arrow), "host string, page long, subtree long"))
-    sizes = rows.filter("subtree IS NULL").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.filter("subtree IS NOT NULL").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    template = counts.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("subtree")
-    template = stash(template)
+            keys += [page] * len(found)
+            subtrees += sorted(found)  # the number of a subtree tells its host too
+        return {"page": keys, "subtree": subtrees}
+
+    rows = stash(pages.mapInArrow(each_batch(met, arrow), "page long, subtree long"))
+    counts = rows.distinct().groupBy("subtree").agg(F.count("*").alias("n"))
+    template = stash(counts.filter(F.col("n") >= min_pages).select("subtree"))
     few = template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few:
         known = pages.sparkSession.sparkContext.broadcast({r["subtree"] for r in template.collect()})
