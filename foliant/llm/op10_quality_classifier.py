@@ -8,7 +8,8 @@ temperature fitted on rows kept out of training calibrates it.
 
 Defined cases: a null or empty text has the zero vector and still gets a score; labels that are null are not learned; several
 labels of a document count as the lowest; without labels of both kinds every score is the share of label 1, or 0.5;
-repeated rows are scored one by one; other columns are ignored; an empty table gives an empty result.
+repeated rows are scored one by one, equal texts alike; a very long text is read whole and pooled to one vector; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ repeats of at least `min_repeat` words must not cover more than `max_covered` of
 than `max_longest` words.
 
 Defined cases: a null text counts as empty; an empty text has zero counts and fails the base rule; repeated rows and ids are
-judged one by one; other columns are ignored; an empty table gives an empty result.
+judged one by one, equal texts alike; repeats of equal length count alike, as their union and the longest length are taken; a very long text makes a batch
+alone, whose arrays take some hundred bytes a word; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ labelled rows; every document is scored.
 
 Defined cases: a null or empty text is the empty set and gets the intercepts; labels that are null are not learned; several labels of a
 document count as the highest; a category without both kinds of label has its base rate for all, 0 without labels; repeated rows are
-scored one by one; other columns are ignored; an empty table gives an empty result.
+scored one by one, equal texts alike; a very long text is read whole, as a set it is no larger than its different words; other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
