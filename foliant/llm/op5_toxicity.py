@@ -3,7 +3,8 @@
 A document is the set of its hashed lower-case words and their beginnings. The categories are learned in the given order; the linear model of
 a category sees the words and the earlier categories' probabilities. In training these are out-of-fold predictions, so a
 later model learns from probabilities as uncertain as those it gets for new documents. Training uses a bounded sample of
-labelled rows; every document is scored.
+labelled rows; every document is scored. Where labels name one category only, the earlier ones are its kinds: clusters of its rows by the words that are far
+more frequent in them.
 
 Defined cases: a null or empty text is the empty set and gets the intercepts; labels that are null are not learned; several labels of a
 document count as the highest; a category without both kinds of label has its base rate for all, 0 without labels; repeated rows are
@@ -26,11 +27,6 @@ from foliant.llm.common import each_batch, fold, list_array, table
 BITS = 18
 _WORD = re.compile(r"[^\W\d_]+")
 
-# The weak categories of the query, by the words that show them in a document labelled toxic.
-INSULT = ["idiot", "moron", "clown", "loser", "stupid"]
-CONTEMPT = ["pathetic", "worthless", "disgusting", "scum", "trash"]
-
-
 PREFIXES = (3, 4, 5, 6)
 _SEEN: dict[str, tuple[int, ...]] = {}
 
@@ -105,6 +101,43 @@ class Linear:
         return sigmoid(sums(flat, sizes, self.words) + dense @ self.dense + self.base)
 
 
+def telling(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, least_z: float = 4.0, least: int = 5) -> np.ndarray:
+    """Buckets that rows with y have far more often than chance would give them."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    share = np.bincount(flat, minlength=1 << BITS) / max(len(y), 1)
+    shown = np.bincount(flat, weights=y[doc], minlength=1 << BITS)
+    spread = np.sqrt(y.sum() * share * (1 - share)) + 1e-9
+    return np.flatnonzero((share * len(y) >= least) & (shown - y.sum() * share >= least_z * spread))
+
+
+def kinds_of(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, kinds: int, rounds: int = 20) -> np.ndarray:
+    """A 0/1 column for each kind of the rows with y: clusters by cosine of their telling buckets, the largest first; no kinds where nothing tells them apart.
+
+    The first centre is the rows' mean direction, each next one the row farthest from those before it, so reruns agree.
+    """
+    out = np.zeros((len(y), kinds))
+    words, rows = telling(flat, sizes, y) if kinds else [], np.flatnonzero(y > 0)
+    if not len(words) or len(rows) < 2 * kinds:
+        return out
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.full(1 << BITS, -1)
+    place[words] = np.arange(len(words))
+    x = np.zeros((len(y), len(words)), np.float32)
+    seen = place[flat] >= 0
+    x[doc[seen], place[flat[seen]]] = 1
+    x = x[rows]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = x.mean(axis=0, keepdims=True)
+    while len(centres) < kinds:
+        centres = np.vstack((centres, x[np.argmin((x @ centres.T).max(axis=1))]))
+    for _ in range(rounds):
+        of = (x @ (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).T).argmax(axis=1)
+        centres = np.stack([x[of == k].mean(axis=0) if (of == k).any() else centres[k] for k in range(kinds)])
+    for column, k in enumerate(sorted(range(kinds), key=lambda k: (-(of == k).sum(), k))):
+        out[rows[of == k], column] = 1
+    return out
+
+
 def train_chain(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, folds: int = 4) -> list[Linear]:
     """One model per column of labels; the inputs from earlier categories are out-of-fold predictions."""
     n, chain = len(sizes), []
@@ -124,14 +157,15 @@ def train_chain(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, folds:
     return chain
 
 
-def classifier_chain(docs: DataFrame, labelled: DataFrame, categories: list[str], *, max_train: int = 5000) -> DataFrame:
+def classifier_chain(docs: DataFrame, labelled: DataFrame, categories: list[str], *, kinds: int = 0, max_train: int = 5000) -> DataFrame:
     """doc_id and a probability p_<category> for every row of docs (doc_id, text).
 
     labelled: doc_id, text and a 0/1 column for each category. About max_train of its rows at most, chosen by a hash of
-    the id, are learned from.
+    the id, are learned from. kinds: so many kinds of the last category's rows come first in the chain, as categories kind_1, kind_2 and so on.
     """
+    given, categories = categories, [f"kind_{k + 1}" for k in range(kinds)] + categories
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = labelled.select(F.col("doc_id").cast("long"), "text", F.array(*[F.col(c).cast("double") for c in categories]).alias("y"))
+    known = labelled.select(F.col("doc_id").cast("long"), "text", F.array(*[F.col(c).cast("double") for c in given]).alias("y"))
     share = min(1.0, max_train / max(labelled.filter(F.col("doc_id").isNotNull()).count(), 1))
     known = known.filter(F.col("doc_id").isNotNull() & ~F.exists("y", lambda x: x.isNull()))
     arrow = pa.schema([("doc_id", pa.int64()), ("y", pa.list_(pa.float64())), ("words", pa.list_(pa.int32()))])
@@ -144,7 +178,8 @@ def classifier_chain(docs: DataFrame, labelled: DataFrame, categories: list[str]
     rows = chosen.mapInArrow(each_batch(sets, arrow), "doc_id long, y array<double>, words array<int>").limit(2 * max_train).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"], r["y"]))
     flat = np.array([w for r in rows for w in r["words"]], np.int64)
-    chain = train_chain(flat, np.array([len(r["words"]) for r in rows], np.int64), np.array([r["y"] for r in rows]).reshape(len(rows), len(categories)))
+    sizes, labels = np.array([len(r["words"]) for r in rows], np.int64), np.array([r["y"] for r in rows]).reshape(len(rows), len(given))
+    chain = train_chain(flat, sizes, np.column_stack((kinds_of(flat, sizes, labels[:, -1], kinds), labels)))
     out = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in categories)])
 
     def score(cols: dict) -> dict:
@@ -164,10 +199,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = fold(table(spark, sf_dir, "labels"), 4, 2).filter(~F.col("held_out") & F.col("toxic").isNotNull())
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
-    def shows(words: list[str]):
-        return (F.col("toxic") == 1) & F.lower("text").rlike(rf"\b({'|'.join(words)})\b")
-
-    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
-    labelled = labelled.withColumn("insult", shows(INSULT).cast("int")).withColumn("contempt", shows(CONTEMPT).cast("int"))
-    found = classifier_chain(docs, labelled, ["insult", "contempt", "toxic"])
+    found = classifier_chain(docs, docs.select("doc_id", "text").join(labels, "doc_id"), ["toxic"], kinds=2)
     return fold(found, 4, 2).withColumn("toxic_pred", (F.col("p_toxic") >= 0.5).cast("int"))

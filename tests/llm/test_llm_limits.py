@@ -69,3 +69,20 @@ def test_tokens_and_word_sets_are_those_of_plain_patterns():
     at = np.concatenate(([0], np.cumsum(many)))
     assert np.allclose(total, [weights[flat[a:b]].sum() for a, b in zip(at, at[1:])]) and many[1] == many[3] == 0
     assert many[0] > 0 and len(set(flat[: many[0]])) == many[0] and re.findall(r"\w+", texts[0])
+
+
+def test_kinds_of_toxic_rows_are_their_clusters():
+    rng = np.random.default_rng(2)
+    rows, kind = [], []
+    for i in range(600):
+        k = 0 if i % 3 == 0 else 1 if i % 3 == 1 else None
+        words = {f"plain{w}" for w in rng.integers(0, 60, 20)} | ({f"insult{w}" for w in rng.integers(0, 6, 4)} if k == 0 and i % 2 else set()) | ({f"threat{w}" for w in rng.integers(0, 6, 4)} if k == 1 else set())
+        rows.append(" ".join(sorted(words)))
+        kind.append(0 if k == 0 and i % 2 else 1 if k == 1 else None)
+    flat, sizes = op5_toxicity.word_sets(rows)
+    y = np.array([float(k is not None) for k in kind])
+    got = op5_toxicity.kinds_of(flat, sizes, y, 2)
+    assert (got.sum(axis=1) == y).all()
+    groups = [{kind[i] for i in np.flatnonzero(got[:, c])} for c in range(2)]
+    assert groups == [{1}, {0}]  # the larger kind first
+    assert not op5_toxicity.kinds_of(flat, sizes, np.zeros(600), 2).any() and not op5_toxicity.kinds_of(flat[:0], sizes[:0], y[:0], 2).any()
