@@ -27,6 +27,12 @@ def claim_words(text: Column) -> Column:
     return F.array_distinct(F.filter(X.terms(F.coalesce(text, F.lit(""))), lambda w: F.length(w) > 2))
 
 
+def with_spans(rows: DataFrame, content: str) -> DataFrame:
+    """Adds _spans: begin, end and words of each sentence of the content, which with_quote needs; best added before sources meet the claims that cite them."""
+    spans = R.sentence_spans(F.coalesce(F.col(content), F.lit("")))
+    return rows.withColumn("_spans", F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), claim_words(s["sentence"]).alias("words"))))
+
+
 def with_quote(pairs: DataFrame, content: str, claim: str) -> DataFrame:
     """Adds quote: text, begin, end, before and after of the part of the content that backs the claim.
 
@@ -34,12 +40,11 @@ def with_quote(pairs: DataFrame, content: str, claim: str) -> DataFrame:
     together, the earliest of equals; if there is none but the whole text, its head.
     """
     whole = F.coalesce(F.col(content), F.lit(""))
-    rows = pairs.withColumns({"_spans": R.sentence_spans(whole), "_claim": claim_words(F.col(claim))})
+    rows = (pairs if "_spans" in pairs.columns else with_spans(pairs, content)).withColumn("_claim", claim_words(F.col(claim)))
 
     def score(span: Column) -> Column:
-        own = claim_words(span["sentence"])
-        shared = F.size(F.array_intersect("_claim", own))
-        return F.when(F.size(own) > 0, shared / F.size(own) + F.when(F.size("_claim") > 0, shared / F.size("_claim")).otherwise(0.0))
+        own = span["words"]
+        return F.when(F.size(own) > 0, X.let(F.size(F.array_intersect("_claim", own)), lambda shared: shared / F.size(own) + F.when(F.size("_claim") > 0, shared / F.size("_claim")).otherwise(0.0)))
 
     scored = F.transform("_spans", lambda s: F.struct(score(s).alias("score"), (-s["begin"]).alias("order"), s["end"].alias("end")))
     rows = rows.withColumn("_best", F.array_max(F.filter(scored, lambda s: s["score"].isNotNull())))
@@ -79,7 +84,8 @@ def citations(claims: DataFrame, sources: DataFrame) -> DataFrame:
     sources: message_id, citation_index, content and whatever tells where it is from. Markers that name one source twice are two citations.
     """
     marks = claims.select("message_id", "claim_no", "claim", F.posexplode("markers").alias("_at", "citation_index"))
-    rows = marks.join(sources, ["message_id", "citation_index"])
+    named = sources.join(marks.select("message_id", "citation_index").distinct(), ["message_id", "citation_index"], "left_semi")
+    rows = marks.join(with_spans(named, "content"), ["message_id", "citation_index"])
     place = F.row_number().over(Window.partitionBy("message_id").orderBy("claim_no", "_at")) - 1
     return with_quote(rows.withColumn("place", place).drop("_at"), "content", "claim")
 
