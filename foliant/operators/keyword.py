@@ -3,29 +3,62 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import english as E
+from foliant.operators.compare import cut
 
 #: Fixed values of the rank: weight of a word, sum of 1 / n**2, furthest distance that counts, most positions of a term and the last one told apart.
 WEIGHT, SQUARES, FAR, MOST_POSITIONS, LAST_POSITION = 0.1, 1.64493406685, 100, 256, 16383
 BUCKETS = 256
 
 
+#: Stems of at most so many different words are sent to all tasks; the documents of a bucket are dealt into so many shares.
+MOST_STEMS, SHARES = 1 << 20, 16
+
+
+def listed_words(docs: DataFrame, key: str) -> DataFrame:
+    """key, word and at (positions from 1, ascending) of every different word of each text; a text is one row, so nothing is shuffled."""
+    schema = pa.schema([(key, pa.int64()), ("word", pa.string()), ("at", pa.list_(pa.int32()))])
+    word = re.compile(r"[^\W_]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, words, places = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found: dict[str, list[int]] = {}
+                for at, w in enumerate(word.findall(text or ""), 1):
+                    found.setdefault(w, []).append(min(at, LAST_POSITION))
+                names += [name] * len(found)
+                words += found
+                places += [p[:MOST_POSITIONS] for p in found.values()]
+                if len(names) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((names, words, places), schema)], schema=schema)
+                    names, words, places = [], [], []
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((names, words, places), schema)], schema=schema)
+
+    return docs.select(F.col(key).cast("long"), F.lower("text").alias("text")).mapInArrow(run, f"{key} long, word string, at array<int>")
+
+
 def postings(docs: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """term, key and positions (from 1, ascending) of every stemmed word of docs (key, text) that is no stop word.
+    """term, key, positions (from 1, ascending) and bucket of every stemmed word of docs (key, text) that is no stop word.
 
     Positions count stop words too; the first MOST_POSITIONS of a term are kept, those past LAST_POSITION stand as that one. Stems are made once a
-    distinct word and joined back by word, the key that the table is dealt by anyway.
+    distinct word. The rows are shuffled once, by bucket of the term and a share of the documents, so that no frequent term is one task, and grouped where they lie.
     """
-    words = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(E.WORD), 0)).alias("at", "word")).filter(~E.is_stop_word(F.col("word")))
-    listed = words.groupBy("word", key).agg(F.collect_list(F.least(F.col("at") + 1, F.lit(LAST_POSITION))).alias("at"))
-    stems = E.with_stems(listed.select("word").distinct(), "word", "term")
-    terms = listed.join(stems, "word").groupBy("term", key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("positions"))
-    return terms.withColumn("positions", F.slice("positions", 1, MOST_POSITIONS))
+    words = listed_words(docs, key).filter(~E.is_stop_word(F.col("word")))
+    low = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(E.WORD), 0))).alias("word")).distinct().filter(~E.is_stop_word(F.col("word")))
+    stems = cut(E.with_stems(low, "word", "term"))
+    few = stems.limit(MOST_STEMS + 1).count() <= MOST_STEMS
+    rows = words.join(F.broadcast(stems) if few else stems, "word").select("term", key, "at", bucket(F.col("term")).alias("bucket"), F.pmod(F.xxhash64(key), F.lit(SHARES)).alias("_share"))
+    terms = rows.repartition("bucket", "_share").groupBy("bucket", "_share", "term", key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("positions"))
+    return terms.select("term", key, F.slice("positions", 1, MOST_POSITIONS).alias("positions"), "bucket")
 
 
 def bucket(term: Column) -> Column:
@@ -34,8 +67,7 @@ def bucket(term: Column) -> Column:
 
 def write_postings(index: DataFrame, path: str) -> None:
     """Stores postings in folders by bucket of the term, so that a search reads the folders of its terms alone."""
-    rows = index.withColumn("bucket", bucket(F.col("term"))).hint("rebalance", "bucket")  # a bucket with a very frequent term is dealt among tasks
-    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    index.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def stored_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
