@@ -19,7 +19,7 @@ BUCKETS = 256
 
 
 #: Stems of at most so many different words are sent to all tasks; the documents of a bucket are dealt into so many shares.
-MOST_STEMS, SHARES = 1 << 20, 16
+MOST_STEMS, SHARES = 1 << 16, 16
 
 
 def listed_words(docs: DataFrame, key: str) -> DataFrame:

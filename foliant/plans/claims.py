@@ -12,12 +12,19 @@ from foliant.plans.texts import _MARKED, marked
 _SOURCES = "sources AS (SELECT a.doc_id AS message_id, i AS citation_index, d.doc_id AS source_id, d.text AS content FROM documents a, unnest(range(1, 10)) n(i) JOIN documents d ON d.doc_id = (a.doc_id * 7 + i * 13) % (SELECT max(doc_id) + 1 FROM documents))"
 
 
-def sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+def source_numbers(spark, sf_dir):
+    """message_id, citation_index and source_id of the nine sources of each message."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
     size = docs.agg((F.max("doc_id") + 1).alias("n"))
     numbers = docs.select(F.col("doc_id").alias("message_id"), F.explode(F.sequence(F.lit(1), F.lit(9))).alias("citation_index"))
     asked = numbers.join(F.broadcast(size)).withColumn("source_id", (F.col("message_id") * 7 + F.col("citation_index") * 13) % F.col("n"))  # one row
-    return asked.drop("n").join(docs.select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")), "source_id")
+    return asked.drop("n").join(docs.withColumnRenamed("doc_id", "source_id"), "source_id", "left_semi")
+
+
+def sources(spark, sf_dir, marks):
+    """The sources that marks (message_id, citation_index) name, with their texts."""
+    named = source_numbers(spark, sf_dir).join(marks.distinct(), ["message_id", "citation_index"], "left_semi")
+    return named.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")), "source_id")
 
 
 _CLEAN = f"""m AS ({_MARKED}), clean AS (SELECT message_id, regexp_replace(regexp_replace(text, '\\[(?:SOURCE\\s*)?(?:00?|1[0-9]|[2-9][0-9])\\]', '', 'g'), ' {{2,}}', ' ', 'g') AS text FROM m),
@@ -28,7 +35,7 @@ _CLEAN = f"""m AS ({_MARKED}), clean AS (SELECT message_id, regexp_replace(regex
 
 
 def claims(spark, sf_dir):
-    valid = sources(spark, sf_dir).select("message_id", "citation_index")
+    valid = source_numbers(spark, sf_dir).select("message_id", "citation_index")
     return C.claims_of(C.cleaned_answers(marked(spark, sf_dir), valid))
 
 
@@ -55,7 +62,8 @@ _STOP = "CAST(CASE WHEN len(content) <= 400 THEN len(content) WHEN x IS NULL OR
  SELECT c.message_id, CAST(c.place AS INT) AS place, CAST(c.claim_no AS INT) AS claim_no, c.citation_index, c.source_id, {_BEGIN} AS "begin", {_STOP} AS "end" FROM cited c LEFT JOIN best USING (message_id, place)""")
 def quoted_citations(spark, sf_dir):
     """Every marker of every answer with its source and the span quoted from it."""
-    found = C.citations(claims(spark, sf_dir), sources(spark, sf_dir))
+    rows = claims(spark, sf_dir)
+    found = C.citations(rows, sources(spark, sf_dir, rows.select("message_id", F.explode("markers").alias("citation_index"))))
     return found.select("message_id", "place", "claim_no", "citation_index", "source_id", "quote.begin", "quote.end")
 
 
@@ -112,7 +120,7 @@ def item_citations(spark, sf_dir):
     rows = judged(spark, sf_dir)
     text = F.when(F.col("claim_no") % 2 == 0, F.upper(F.replace("claim", F.lit("ß"), F.lit("ss")))).otherwise(F.substring("claim", 1, 12))
     items = rows.select("message_id", F.col("claim_no").alias("item_id"), text.alias("text"))
-    marks = C.citations(rows, sources(spark, sf_dir).select("message_id", "citation_index", F.lit("").alias("content")))
+    marks = C.citations(rows, source_numbers(spark, sf_dir).select("message_id", "citation_index", F.lit("").alias("content")))
     return C.item_sources(items, rows.select("message_id", "claim_no", "claim", "status"), marks).select("message_id", "item_id", "place")
 
 
