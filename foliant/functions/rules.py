@@ -1,7 +1,11 @@
-"""Column rules around dates, token budgets, answers and life cycles. All are built-in expressions."""
+"""Column rules around dates, token budgets, answers and life cycles. All but sentence_spans are built-in expressions."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,21 +105,40 @@ def strip_markers(text: Column, valid: Column) -> Column:
     return F.regexp_replace(cleaned, " {2,}", " ")
 
 
+#: Where a text is cut into sentences, and the white space that regular expressions of Spark know.
+SENTENCE_END, BLANKS = re.compile(r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])|(?<=\])\s+""", re.ASCII), " \t\n\x0b\f\r"
+
+
+def spans_of(text: str) -> Iterator[tuple[str, int, int]]:
+    """sentence, begin and end of the sentences of a text, in one pass over it."""
+    text = text.replace("\x01", " ")
+    at = 0
+    for stop in [*(m.end() for m in SENTENCE_END.finditer(text)), len(text)]:
+        piece = text[at:stop]
+        bare = piece.strip(BLANKS)
+        if bare:
+            begin = at + len(piece) - len(piece.lstrip(BLANKS))
+            yield bare, begin, stop if stop == len(text) else begin + len(bare)
+        at = stop
+
+
 def sentence_spans(text: Column) -> Column:
     """(sentence, begin, end) with offsets into the text; cut before a capital, digit, quote or bracket, and after a marker. Blank pieces go."""
-    marked = F.regexp_replace(F.translate(text, "\x01", " "), r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])|(?<=\])\s+""", "$0\x01")
-    parts = F.split(marked, "\x01")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sentence:string,begin:int,end:int>>").alias("spans"))
-
-    def step(s, piece):
-        after = s["at"] + F.length(piece)
-        bare = F.regexp_replace(piece, r"\s+$", "")
-        end = F.when(after == F.length(text), after).otherwise(s["at"] + F.length(bare))
-        begin = s["at"] + F.length(piece) - F.length(F.regexp_replace(piece, r"^\s+", ""))
-        span = F.struct(strip(piece).alias("sentence"), begin.alias("begin"), end.alias("end"))
-        return F.struct(after.alias("at"), F.when(bare == "", s["spans"]).otherwise(F.concat(s["spans"], F.array(span))).alias("spans"))
-
-    return F.aggregate(parts, start, step)["spans"]
+    kind = pa.struct([("sentence", pa.string()), ("begin", pa.int32()), ("end", pa.int32())])
+
+    @F.arrow_udf("array<struct<sentence:string,begin:int,end:int>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        offsets, sentences, begins, ends = [0], [], [], []
+        for t in texts:
+            for sentence, begin, end in spans_of(t.as_py() or ""):
+                sentences.append(sentence)
+                begins.append(begin)
+                ends.append(end)
+            offsets.append(len(sentences))
+        rows = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((sentences, begins, ends), kind)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=texts.is_null())
+
+    return spans(text)
 
 
 def fallback_topic(label_a: Column, label_b: Column) -> Column:
