@@ -50,16 +50,17 @@ def homes(pairs: DataFrame, open_: DataFrame) -> DataFrame:
     return state.drop("parent")
 
 
-def merge_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def merge_pairs(pairs: DataFrame, members: DataFrame, *, own: bool = False) -> DataFrame:
     """What taking the confirmed pairs one by one, by seq, does to the conflicts: pairs' columns, outcome, conflict_id, opened_by, joined.
 
     pairs: seq (unique, of any type that has an order), a, b. members: conflict_id, chunk_id, status, detected_at of recorded conflicts. Outcomes:
     `recorded` where both chunks stand in one conflict already, of any status; `created`, a new conflict of both chunks, named by opened_by = seq of the pair that
     opened it; `grown`, where one chunk is in an open conflict, which the other (joined) enters; `skipped`, where the chunks are in
     two open conflicts. Of several open conflicts that hold a chunk the first detected counts. Nothing is done pair by pair (see homes), so a chunk of
-    any number of pairs is no group. Pairs of one chunk with itself or with a null chunk or seq are left out.
+    any number of pairs is no group. Pairs with a null chunk or seq are left out, and so are those of one chunk with itself, unless own:
+    then the first such pair of a chunk that no conflict holds opens one, and the others are recorded.
     """
-    rows = pairs.filter("a <> b AND seq IS NOT NULL")
+    rows = pairs.filter(("a IS NOT NULL AND b IS NOT NULL" if own else "a <> b") + " AND seq IS NOT NULL")
     open_ = members.filter("status = 'OPEN' AND chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("chunk")).agg(F.min(F.struct("detected_at", "conflict_id")).alias("_of"))
     known = recorded_pairs(rows, members).withColumnRenamed("conflict_id", "_known")
     rows = cut(rows.join(known, "seq", "left"))

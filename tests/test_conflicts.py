@@ -58,6 +58,13 @@ def test_repeated_odd_and_empty_pairs(spark):
     assert merged(spark, [], members) == {} and merged(spark, [(1, 8, 9)], []) == {1: ("created", ("new", 1), None)}
 
 
+def test_pairs_of_a_chunk_with_itself_count_if_asked(spark):
+    pairs = spark.createDataFrame([(1, 5, 5), (2, 5, 6), (3, 6, 6), (4, 8, 8), (5, None, 5)], "seq long, a long, b long")
+    members = spark.createDataFrame([(40, 8, "OPEN", 1)], MEMBERS)
+    got = {r["seq"]: (r["outcome"], r["conflict_id"], r["opened_by"], r["joined"]) for r in C.merge_pairs(pairs, members, own=True).collect()}
+    assert got == {1: ("created", None, 1, None), 2: ("grown", None, 1, 6), 3: ("recorded", None, 1, None), 4: ("recorded", 40, None, None)}
+
+
 def test_statements_of_created_and_grown_conflicts(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 4, 1), (4, 3, 4)], "seq long, a long, b long")
     got = C.new_statements(C.merge_pairs(pairs, spark.createDataFrame([], MEMBERS))).collect()
