@@ -55,3 +55,14 @@ def test_odd_rows_and_bounds(spark, tmp_path):
         V.build(vectors.limit(0), str(tmp_path / "none"), cells=4)
     with pytest.raises(ValueError):
         V.build(vectors, str(tmp_path / "many"), cells=10**6)
+
+
+def test_exact_answers_by_the_index_are_those_of_all_cells(spark, tmp_path):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, i % 3, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")
+    index = V.build(vectors, str(tmp_path / "exact"), cells=6)
+    got, all_ = (sorted((r["vec_id"], r["rank"], r["other_id"], r["score"]) for r in x.collect()) for x in (V.exact_by_index(index, vectors, 5, probes=1), V.nearest_by_index(index, vectors, 5, probes=6)))
+    assert got == all_ and len(got) == 1500
