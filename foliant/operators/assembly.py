@@ -22,8 +22,13 @@ def retrieval_rows(chunks: DataFrame, versions: DataFrame, documents: DataFrame,
 
 
 def shared_conflicts(retrieved: DataFrame, statements: DataFrame) -> DataFrame:
-    """query, conflict_id and n of conflicts of which at least two retrieved chunks (query, chunk_id) are statements."""
-    met = retrieved.join(statements, "chunk_id").groupBy("query", "conflict_id").agg(F.count_distinct("chunk_id").alias("n"))
+    """query, conflict_id and n of conflicts of which at least two retrieved chunks (query, chunk_id) are statements.
+
+    Repeated rows go where their chunk lies, before the join, so what meets is counted once each without a table of all chunks of a task.
+    """
+    asked = retrieved.select("query", "chunk_id").repartition("chunk_id").distinct()
+    held = statements.select("conflict_id", "chunk_id").repartition("chunk_id").distinct()
+    met = asked.join(held, "chunk_id").groupBy("query", "conflict_id").agg(F.count("*").alias("n"))
     return met.filter("n >= 2")
 
 

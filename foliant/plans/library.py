@@ -87,7 +87,8 @@ def fallback_topics(spark, sf_dir):
  s AS (SELECT doc_id, list_transform(raw, lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END / 2147483648::DOUBLE) AS v FROM r)
  SELECT doc_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS vector FROM s""")
 def stub_embeddings(spark, sf_dir):
-    vector = F.transform(R.stub_embedding(F.col("text"), 12), lambda x: F.round(x, 6))
+    # as the SQL rounds: the scaled double, half away from zero, and -0.0 for a small negative number
+    vector = F.transform(R.stub_embedding(F.col("text"), 12), lambda x: F.signum(x) * F.round(F.abs(x) * 1e6) / 1e6)
     return table(spark, sf_dir, "documents").select("doc_id", vector.alias("vector"))
 
 

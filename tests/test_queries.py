@@ -57,3 +57,15 @@ def test_query_without_sql_runs(spark, name):
 def test_names_are_documented_once():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert len(WITHOUT_SQL) < 10 and os.path.isdir(DATA)
+
+
+def test_stub_embeddings_round_small_negative_numbers_as_their_sql_does(spark, tmp_path):
+    texts = [(1, "text 243183"), (2, "text 256169"), (3, "text 547724"), (4, ""), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = con.execute(registry.ORACLE_SQL["stub_embeddings"]).fetchall()
+    con.close()
+    got = [(r["doc_id"], r["vector"]) for r in registry.QUERIES["stub_embeddings"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))  # repr tells -0.0 from 0.0
+    assert "-0.0," in repr(expected)
