@@ -21,13 +21,20 @@ def retrieval_rows(chunks: DataFrame, versions: DataFrame, documents: DataFrame,
     return chunks.join(versions, "version_id").join(documents, "document_id").join(labels, "section_id", "left")
 
 
+#: Rows of both sides that one task of a join by chunk takes.
+ROWS_OF_PART = 1 << 20
+
+
 def shared_conflicts(retrieved: DataFrame, statements: DataFrame) -> DataFrame:
     """query, conflict_id and n of conflicts of which at least two retrieved chunks (query, chunk_id) are statements.
 
-    Repeated rows go where their chunk lies, before the join, so what meets is counted once each without a table of all chunks of a task.
+    Repeated rows go where their chunk lies, before the join, so what meets is counted once each without a table of all chunks of a task. Chunks are dealt
+    into parts of about ROWS_OF_PART rows, so a task's memory does not grow with the tables.
     """
-    asked = retrieved.select("query", "chunk_id").repartition("chunk_id").distinct()
-    held = statements.select("conflict_id", "chunk_id").repartition("chunk_id").distinct()
+    spark = retrieved.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, (retrieved.count() + statements.count()) // ROWS_OF_PART + 1)
+    asked = retrieved.select("query", "chunk_id").repartition(parts, "chunk_id").distinct()
+    held = statements.select("conflict_id", "chunk_id").repartition(parts, "chunk_id").distinct()
     met = asked.join(held, "chunk_id").groupBy("query", "conflict_id").agg(F.count("*").alias("n"))
     return met.filter("n >= 2")
 
