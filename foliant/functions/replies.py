@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions import rules as R
+from foliant.functions.expressions import let
 
 #: Intents of a question, items of an extraction, lists of a summary, and the longest reason, topics, rationale and list of hints.
 INTENTS = ["QUESTION", "COMPARISON", "CHANGE_DETECTION", "SUMMARY", "CONFLICT_DETECTION", "EXTRACTION"]
@@ -15,25 +16,27 @@ REASON, CONFLICT_TOPIC, TOPIC, RATIONALE, HINTS = 300, 80, 60, 200, 10
 
 def json_text(raw: Column) -> Column:
     """The reply without a fence and from its first to its last brace, if it has both."""
-    bare = R.strip(F.coalesce(raw, F.lit("")))
-    inner = F.regexp_extract(bare, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
-    text = F.when(bare.rlike(r"(?s)^```(?:json)?\s*(.*?)\s*```$"), R.strip(inner)).otherwise(bare)
-    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(braced != "", braced).otherwise(text)
+
+    def unfenced(bare: Column) -> Column:
+        inner = F.regexp_extract(bare, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
+        return F.when(bare.rlike(r"(?s)^```(?:json)?\s*(.*?)\s*```$"), R.strip(inner)).otherwise(bare)
+
+    def braced(text: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), text)
+
+    return let(let(R.strip(F.coalesce(raw, F.lit(""))), unfenced), braced)
 
 
 def reply(raw: Column) -> Column:
     """The reply's object as a variant, null if it holds none."""
-    parsed = F.try_parse_json(json_text(raw))
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT<"), parsed)
+    return let(F.try_parse_json(json_text(raw)), lambda parsed: F.when(F.schema_of_variant(parsed).startswith("OBJECT<"), parsed))
 
 
 def field(v: Column, name: str, kind: str) -> Column:
     """A field of the given kind: text, number, integer, boolean or list; null if it is of another."""
-    part = F.try_variant_get(v, f"$.{name}", "variant")
     is_a = {"text": "^STRING$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "boolean": "^BOOLEAN$", "list": "^ARRAY<"}[kind]
     to = {"text": "string", "number": "double", "integer": "long", "boolean": "boolean", "list": "array<variant>"}[kind]
-    return F.when(F.schema_of_variant(part).rlike(is_a), F.try_variant_get(v, f"$.{name}", to))
+    return let(F.try_variant_get(v, f"$.{name}", "variant"), lambda part: F.when(F.schema_of_variant(part).rlike(is_a), F.try_variant_get(part, "$", to)))
 
 
 def short(v: Column, name: str, most: int) -> Column:
@@ -93,12 +96,14 @@ def analysis_reply(raw: Column) -> Column:
 
 def extraction_reply(raw: Column, most: int) -> Column:
     """Items of each category, at most `most`; null if the reply is no object."""
-    v = reply(raw)
-    return F.when(v.isNotNull(), F.struct(*[texts(v, c, most).alias(c) for c in R.CATEGORIES]))
+    return let(reply(raw), lambda v: F.when(v.isNotNull(), F.struct(*[texts(v, c, most).alias(c) for c in R.CATEGORIES])))
 
 
 def summary_reply(raw: Column) -> Column:
     """executive_summary, empty if it is no text, and the lists; null if the reply is no object."""
-    v = reply(raw)
-    executive = F.coalesce(R.strip(field(v, "executive_summary", "text")), F.lit(""))
-    return F.when(v.isNotNull(), F.struct(executive.alias("executive_summary"), *[texts(v, c).alias(c) for c in SUMMARY_LISTS]))
+
+    def found(v: Column) -> Column:
+        executive = F.coalesce(R.strip(field(v, "executive_summary", "text")), F.lit(""))
+        return F.when(v.isNotNull(), F.struct(executive.alias("executive_summary"), *[texts(v, c).alias(c) for c in SUMMARY_LISTS]))
+
+    return let(reply(raw), found)

@@ -31,7 +31,9 @@ def replies(spark, sf_dir, kind):
     raw = F.get(F.array(*map(F.lit, kind)), (F.col("p_partkey") % 10).cast("int"))
     for mark, column in (("NAME", "p_name"), ("TYPE", "p_type"), ("SIZE", "p_size")):
         raw = F.replace(raw, F.lit(mark), F.col(column).cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    # parts are one small file, which would be one task; a reply takes far longer to check than to move
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.select("p_partkey", raw.alias("raw"))
 
 
 def _rows(kind: list[str]) -> str:
