@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from foliant.functions.packing import Limits, pack_section, token_estimate
 from foliant.operators.compare import cut
@@ -77,17 +80,23 @@ def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     have = {c: F.col(c) if c in rows.columns else F.lit(None).cast(kind) for c, kind in (("size", "double"), ("body", "double"), ("bold", "boolean"), ("running", "boolean"), ("solo", "boolean"))}
     bold, running, solo = (F.coalesce(have[c], F.lit(False)) for c in ("bold", "running", "solo"))
     words = F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))
-    number = title = level = F.lit(None)
-    for kind, pattern, depth in reversed(NUMBERING):
-        hit = F.col("line").rlike(pattern)
-        found, rest = F.regexp_extract("line", pattern, 1), F.trim(F.regexp_extract("line", pattern, 2))
+    tried = F.lit(None)
+    for n, (_, pattern, _) in reversed(list(enumerate(NUMBERING))):
+        tried = F.when(F.col("line").rlike(pattern), n).otherwise(tried)
+    found = rest = fits = depths = F.lit(None)
+    for n, (kind, pattern, depth) in enumerate(NUMBERING):
+        own = F.col("_kind") == n
         short = words <= (MOST_SINGLE_WORDS if kind == "single" else MOST_WORDS)
-        fits = (rest != "") & (short | bold if kind in ("decimal", "single") else short)
-        named = F.concat(F.lit("Appendix "), found) if kind == "appendix" else found
-        number = F.when(hit, F.when(fits, named)).otherwise(number)
-        title = F.when(hit, F.when(fits, rest)).otherwise(title)
-        level = F.when(hit, F.when(fits, F.size(F.split(found, r"\.")) if depth == 0 else F.lit(depth))).otherwise(level)
-    out = rows.filter(~running).withColumns({"number": number, "title": title, "level": level.cast("int")})
+        found = F.when(own, F.regexp_extract("line", pattern, 1)).otherwise(found)
+        rest = F.when(own, F.trim(F.regexp_extract("line", pattern, 2))).otherwise(rest)
+        fits = F.when(own, short | bold if kind in ("decimal", "single") else short).otherwise(fits)
+        depths = F.when(own, F.size(F.split("_found", r"\.")) if depth == 0 else F.lit(depth)).otherwise(depths)
+    appendix = F.col("_kind") == [kind for kind, _, _ in NUMBERING].index("appendix")
+    rows = rows.filter(~running).withColumn("_kind", tried).withColumns({"_found": found, "_rest": rest, "_fits": fits})
+    taken = (F.col("_rest") != "") & F.col("_fits")
+    number = F.when(taken, F.when(appendix, F.concat(F.lit("Appendix "), F.col("_found"))).otherwise(F.col("_found")))
+    title, level = F.when(taken, F.col("_rest")), F.when(taken, depths)
+    out = rows.withColumns({"number": number, "title": title, "level": level.cast("int")}).drop("_kind", "_found", "_rest", "_fits")
     before = Window.partitionBy(key).orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, -1)
     fresh = ~F.coalesce(F.max(F.col("number").isNotNull()).over(before), F.lit(False))
     shape = F.when(have["size"].isNotNull() & have["body"].isNotNull(), font_heading(F.col("line"), have["size"], have["body"], bold))
@@ -109,33 +118,105 @@ def solo_lines(page_lines: DataFrame, page: str) -> DataFrame:
     return page_lines.groupBy(page).agg(F.count("*").alias("n"), F.first("line").alias("line")).filter("n = 1").select(page, "line")
 
 
-def section_tree(heads: DataFrame, last_page: DataFrame, key: str = "doc_id") -> DataFrame:
-    """sort_order, parent_order and end_page of headings (key, page, line_no, level, ...).
+class _Tree:
+    """The sections of sorted headings that come in batches; what is open goes on to the next batch, one section of a level at most."""
+
+    def __init__(self, last: bool, chains: bool):
+        self.last, self.chains = last, chains
+        self.key, self.count, self.page = None, 0, None
+        self.open: list[tuple] = []  # level, sort_order, title, row
+        self.held: pa.Table | None = None  # rows of open sections
+        self.known: list[list] = [[], [], []]  # of these rows parent_order, end_page and chain
+
+    def run(self, batch: pa.Table, keys: list, levels: list, pages: list, titles: list) -> pa.Table:
+        """The rows that are closed with parent_order, _end and chain."""
+        rows = batch if self.held is None else pa.concat_tables([self.held, batch])
+        at = rows.num_rows - len(keys)
+        parents, ends, chains = (list(x) + [None] * len(keys) for x in self.known)
+        stack, key, count, page = self.open, self.key, self.count, self.page
+        for k, level, its_page, title in zip(keys, levels, pages, titles):
+            if k != key:
+                if self.last:
+                    for s in stack:
+                        ends[s[3]] = page
+                stack, key, count = [], k, 0
+            count += 1
+            page = its_page
+            if level is not None:
+                while stack and stack[-1][0] >= level:
+                    ends[stack.pop()[3]] = page
+                if stack:
+                    parents[at] = stack[-1][1]
+                stack.append((level, count, title, at))
+                if self.chains:
+                    chains[at] = [(s[1], s[2]) for s in stack]
+            elif self.chains:
+                chains[at] = [(count, title)]
+            at += 1
+        self.key, self.count, self.page = key, count, page
+        still = [s[3] for s in stack]
+        self.open = [(*s[:3], n) for n, s in enumerate(stack)]
+        self.held = rows.take(pa.array(still, pa.int64())).combine_chunks()
+        self.known = [[x[n] for n in still] for x in (parents, ends, chains)]
+        kept = np.ones(rows.num_rows, bool)
+        kept[still] = False
+        return self.told(rows, parents, ends, chains).filter(pa.array(kept))
+
+    def rest(self) -> pa.Table | None:
+        if self.held is None:
+            return None
+        parents, ends, chains = self.known
+        return self.told(self.held, parents, [self.page] * len(ends) if self.last else ends, chains)
+
+    def told(self, rows: pa.Table, parents: list, ends: list, chains: list) -> pa.Table:
+        for name, values in (("parent_order", parents), ("_end", ends)):
+            rows = rows.append_column(name, pa.array(values, pa.int32()))
+        if self.chains:
+            flat = [x for c in chains for x in c]
+            pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.string())], names=["sort_order", "title"])
+            rows = rows.append_column("chain", pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, chains)]), pa.int32()), pairs))
+        return rows
+
+
+def section_tree(heads: DataFrame, last_page: DataFrame | None, key: str = "doc_id", *, chains: bool = False) -> DataFrame:
+    """sort_order, parent_order and end_page of headings (key, page, line_no, level, ...), and with chains chain: (sort_order, title) from the root down to the section.
 
     The parent is the last earlier section of smaller level; a section ends on the page where the next of the same or a smaller level begins.
-    last_page: key and the number of the document's last page. One running maximum and, from the end, one running minimum for each level there is, so a document
-    takes time and memory linear in its headings.
+    last_page: key and the number of the document's last page; None: the page of its last heading, and headings without a level have no end. One pass over the sorted headings, which holds the open sections
+    alone (one of a level at most), so a document takes time linear in its headings and no more memory than its levels.
     """
-    order = Window.partitionBy(key).orderBy("page", "line_no")
-    rows = heads.withColumn("sort_order", F.row_number().over(order))
-    levels = sorted(r[0] for r in rows.select("level").distinct().collect())  # as many as there are kinds of headings
-    before = Window.partitionBy(key).orderBy("sort_order").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(key).orderBy(F.desc("sort_order")).rowsBetween(Window.unboundedPreceding, -1)
-    last, following = F.lit(None).cast("int"), F.lit(None).cast("struct<sort_order:int,page:int>")
-    for n in levels:
-        own = F.col("level") == n
-        last = F.when(own, F.max(F.when(F.col("level") < n, F.col("sort_order"))).over(before)).otherwise(last)
-        following = F.when(own, F.min(F.when(F.col("level") <= n, F.struct("sort_order", F.col("page").cast("int").alias("page")))).over(after)).otherwise(following)
-    out = rows.withColumn("parent_order", last).withColumn("_next", following)
-    return out.join(last_page, key).withColumn("end_page", F.coalesce("_next.page", "last_page")).drop("_next", "last_page")
+    # the window deals the headings by document, if they do not lie so already; the sort after it is none where they are sorted
+    order = F.row_number().over(Window.partitionBy(key).orderBy("page", "line_no"))
+    rows = heads.filter(F.col(key).isNotNull()).withColumn("sort_order", order).sortWithinPartitions(key, "page", "line_no")
+    last = last_page is None
+    schema = StructType([*rows.schema.fields, *(StructField(n, IntegerType()) for n in ("parent_order", "_end"))])
+    if chains:
+        schema = schema.add("chain", ArrayType(StructType([StructField("sort_order", IntegerType()), StructField("title", StringType())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _Tree(last, chains)
+        for batch in batches:
+            keys, levels, pages = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (key, "level", "page"))
+            titles = batch.column(batch.schema.get_field_index("title")).to_pylist() if chains else keys
+            yield from tree.run(pa.Table.from_batches([batch]), keys, levels, pages, titles).to_batches()
+        end = tree.rest()
+        if end is not None:
+            yield from end.to_batches()
+
+    out = rows.mapInArrow(run, schema)
+    if last:
+        return out.withColumnRenamed("_end", "end_page")
+    return out.join(last_page, key).withColumn("end_page", F.coalesce("_end", "last_page")).drop("_end", "last_page")
 
 
 def with_ancestors(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, sort_order and chain: (sort_order, title) from the root down to the section, at any depth.
 
-    Pointers are doubled: each round puts the chain of the section pointed at before one's own and points where that one points, so there are as many rounds as
+    Sections that bring their chain (see section_tree) are taken as they are. Else pointers are doubled: each round puts the chain of the section pointed at before one's own and points where that one points, so there are as many rounds as
     the deepest chain has binary digits. A parent that is missing ends a chain.
     """
+    if "chain" in sections.columns:
+        return sections.select(key, "sort_order", "chain")
     state = sections.select(key, "sort_order", F.col("parent_order").alias("up"), F.array(F.struct("sort_order", "title")).alias("chain"))
     while True:
         state = cut(state)
@@ -147,9 +228,13 @@ def with_ancestors(sections: DataFrame, key: str = "doc_id") -> DataFrame:
         state = state.filter("up IS NULL").unionByName(moved.select(key, "sort_order", F.col("_up").alias("up"), longer.alias("chain")))
 
 
+def titles(chain: Column) -> Column:
+    return F.transform(chain, lambda x: x["title"])
+
+
 def heading_paths(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, sort_order, and path: titles from the root to the section; its length is the section's level in a table of contents."""
-    return with_ancestors(sections, key).select(key, "sort_order", F.transform("chain", lambda x: x["title"]).alias("path"))
+    return with_ancestors(sections, key).select(key, "sort_order", titles(F.col("chain")).alias("path"))
 
 
 def descendants(sections: DataFrame, key: str = "doc_id") -> DataFrame:

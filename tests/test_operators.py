@@ -361,3 +361,52 @@ def test_text_rules(spark):
         rules.clip_to_tokens(F.lit("w " * 100), 3).alias("cut"), rules.version_step_allowed(F.lit("FAILED"), F.lit("READY")).alias("step"),
     ).first()
     assert tuple(row)[:3] == ("a [1] b c [01]", None, "Good. Fine.") and row["cut"].endswith(" [...]") and not row["step"]
+
+
+def test_a_tree_is_one_pass_over_batches_and_starts_no_job(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(d, i // 4, i, draw.choice([1, 2, 3, 4, None]) if d else 1, f"t{i}") for d in range(7) for i in range(draw.randint(1, 40))] + [(None, 1, 1, 1, "lost")]
+    heads = spark.createDataFrame(rows, "doc_id long, page int, line_no long, level int, title string")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        spark.sparkContext.setJobGroup("tree", "tree")
+        tree = structure.section_tree(heads, None, chains=True)
+        paths = structure.heading_paths(tree)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("tree")
+        got = {(r["doc_id"], r["sort_order"]): r for r in tree.collect()}
+        told = {(r["doc_id"], r["sort_order"]): r["path"] for r in paths.collect()}
+    finally:
+        spark.conf.set(size, before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == len(rows) - 1
+    for d in range(7):
+        own = [r for r in rows if r[0] == d]
+        for n, (_, page, _, level, title) in enumerate(own, 1):
+            above = [m for m, r in enumerate(own[: n - 1], 1) if level is not None and r[3] is not None and r[3] < level]
+            after = [r[1] for r in own[n:] if level is not None and r[3] is not None and r[3] <= level]
+            r = got[d, n]
+            assert (r["parent_order"], r["end_page"]) == (max(above, default=None), None if level is None else after[0] if after else own[-1][1])
+            assert told[d, n] == (told[d, r["parent_order"]] if r["parent_order"] else []) + [title]
+
+
+def test_shared_conflicts_count_repeated_rows_once_without_a_table_of_chunks(spark):
+    from foliant.operators import assembly
+
+    asked = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (2, None)], "query long, chunk_id long")
+    held = spark.createDataFrame([(10, 7), (10, 7), (11, 7), (10, 8), (None, 7)], "chunk_id long, conflict_id long")
+    found = assembly.shared_conflicts(asked, held)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 2)]
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_reply_is_parsed_once(spark):
+    from foliant.functions import replies
+
+    rows = spark.createDataFrame([('{"executive_summary": " x ", "roles": ["a", 1]}',)], "raw string").withColumn("r", replies.summary_reply(F.col("raw")))
+    found = rows.select(F.col("r").isNotNull().alias("valid"), "r.*")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") + found._jdf.queryExecution().optimizedPlan().toString().count("parse_json(") == 1
+    assert (found.first()["executive_summary"], found.first()["roles"]) == ("x", ["a"])
