@@ -45,6 +45,7 @@ LEVEL = 58  # bit from which a ranked shingle holds its level; the sign bit stay
 SALTED = 12  # shingles of this level and above have lists dealt over several tasks, of about 2**SALTED entries each
 COUNTED = 1 << 21  # shingles counted in one group, 4 bytes each
 CHUNK = 1024  # parts of a long list that meet those of another chunk in one task
+PARITY = 2048  # bits of a set that tell most unlike sets of a long list apart
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -105,6 +106,21 @@ def may_reach(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
     return 100 * most >= PERCENT * (n + m - most)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """PARITY bits, each whether an odd number of the set's shingles falls on it. Two sets differ in at least as many shingles as their bits do."""
+    odd = np.bincount((mix(s.view(np.uint64)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_overlap(bits: np.ndarray, sizes: np.ndarray, k: int, near: np.ndarray) -> np.ndarray:
+    """Which of near can be similar to k, by the bits of sets of known size (0: not known, which may be)."""
+    if not sizes[k]:
+        return np.ones(len(near), bool)
+    differ = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+    most = (sizes[near] + sizes[k] - differ) // 2
+    return (sizes[near] == 0) | (100 * most >= PERCENT * (sizes[near] + sizes[k] - most))
+
+
 def packed(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([s.tobytes() for s in sets], pa.binary())
 
@@ -293,15 +309,21 @@ def short_lists(rows: DataFrame, buckets: int, longest: int) -> DataFrame:
 
 
 def long_list_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b), a < b: the parts of each list (token, part, left) that can be similar; the chunks of a list meet in pairs."""
+    """(a, b), a < b: the parts of each list (token, part, left, n, bits) that can be similar; the chunks of a list meet in pairs.
+
+    n and bits (see parity) are those of the only set of a part, null for a part of several. They bound the overlap of two sets, so sets that share a passage
+    and no more leave no pair, however many there are.
+    """
     per = entries.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     own = entries.join(per, "token").withColumn("chunk", F.pmod(F.xxhash64("part"), "chunks"))
     other = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    met = own.withColumn("other", F.explode(other)).select("token", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "part", "left")
+    met = own.withColumn("other", F.explode(other)).select("token", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "part", "left", "n", "bits")
 
     def pairs(got: pa.Table) -> pa.Table:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         part, left, chunk = (got.column(c).to_numpy() for c in ("part", "left", "chunk"))
+        sizes = got.column("n").fill_null(0).to_numpy()
+        bits = np.frombuffer(b"".join(x or bytes(PARITY // 8) for x in got.column("bits").to_pylist()), np.uint64).reshape(len(part), -1)
         one = chunk == got.column("x")[0].as_py()
         same = got.column("x")[0].as_py() == got.column("y")[0].as_py()
         i = np.flatnonzero(one)
@@ -310,6 +332,7 @@ def long_list_pairs(entries: DataFrame) -> DataFrame:
         for k in i:
             near = j[(part[j] > part[k]) | (not same)]
             near = near[feasible(share(left[k : k + 1]), share(left[near]))]
+            near = near[may_overlap(bits, sizes, k, near)]
             out_a.append(np.minimum(part[k], part[near]))
             out_b.append(np.maximum(part[k], part[near]))
         return pa.Table.from_arrays([pa.array(np.concatenate([*x, part[:0]])) for x in (out_a, out_b)], schema=schema)
@@ -387,14 +410,14 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
     release(spark)
     alone = nodes.select("mark", "least").join(parts.filter("mark != part"), "mark", "left_anti")  # one set of each part
     late = spark.sparkContext.broadcast(frequent_levels(texts_of(alone), most_levels))
-    low_kind = pa.schema([("mark", pa.int64()), ("n", pa.int64()), ("low", pa.binary())])
+    low_kind = pa.schema([("mark", pa.int64()), ("n", pa.int64()), ("low", pa.binary()), ("bits", pa.binary())])
 
     def lowest(cols: dict) -> dict:
         sets = [s for s in shingles(texts_as_bytes(cols["text"])) if len(s)]
         lows = [ranked(s, late.value)[: max(dealt(len(s)), math.ceil(WINDOW * len(s)) + 2)] for s in sets]
-        return {"mark": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "low": packed(lows)}
+        return {"mark": [fingerprint(s) for s in sets], "n": [len(s) for s in sets], "low": packed(lows), "bits": pa.array([parity(s) for s in sets], pa.binary())}
 
-    lows = stash(texts_of(nodes).mapInArrow(each_batch(lowest, low_kind), "mark long, n long, low binary"))
+    lows = stash(texts_of(nodes).mapInArrow(each_batch(lowest, low_kind), "mark long, n long, low binary, bits binary"))
     total = nodes.agg(F.sum(F.col("n") * (1 - PERCENT / 100) + 1)).first()[0] or 0
     found = stash(short_lists(with_part(lows, parts).select("part", "n", "low"), max(16, int(total / 4e5) + 1), longest))
     cand, entries = found.filter("token IS NULL").select("a", "b"), found.filter("token IS NOT NULL").select("token", F.col("a").alias("part"), F.col("b").alias("left"))
@@ -407,6 +430,9 @@ def jaccard_components(docs: DataFrame, *, longest: int = 16, most_levels: int =
         moved = parts_by(as_links(parts).unionByName(confirmed(stash(stars))))
         anew = join_counted(entries, moved.withColumnRenamed("mark", "old").withColumnRenamed("part", "new").withColumnRenamed("old", "part"), "part", "left")
         anew = anew.groupBy("token", F.coalesce("new", "part").alias("part")).agg(F.max("left").alias("left"))
+        asked = anew.select(F.col("part").alias("mark")).distinct().join(moved, "mark", "left_anti")  # parts of one set
+        told = join_counted(lows.select("mark", "n", "bits"), stash(asked), "mark", "left_semi").dropDuplicates(["mark"])
+        anew = anew.join(told.withColumnRenamed("mark", "part"), "part", "left")
         for side in ("a", "b"):
             cand = join_counted(cand, moved.select(F.col("mark").alias(side), F.col("part").alias("new")), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
         cand = cand.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").unionByName(long_list_pairs(stash(anew)))

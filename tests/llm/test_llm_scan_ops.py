@@ -228,3 +228,19 @@ def test_periodic_runs_take_odd_tables(spark):
             want.append((i, len(words), runs, brute_collapse(words, runs)))
     same(got, want)
     assert op13_periodic_runs.periodic_runs(docs.limit(0)).count() == 0
+
+
+def test_sets_of_a_long_list_that_share_a_passage_leave_no_pairs(spark):
+    import numpy as np
+
+    from foliant.llm import op8_ngram_jaccard as op8
+
+    draw = np.random.default_rng(3)
+    passage = draw.integers(-(2**62), 2**62, 30)
+    sets = [np.unique(np.concatenate((passage, draw.integers(-(2**62), 2**62, 70)))) for _ in range(200)]
+    sets.append(np.unique(np.concatenate((sets[0][:95], draw.integers(-(2**62), 2**62, 5)))))  # similar to the first
+    rows = [(1, i, int(op8.LOW), len(s), bytearray(op8.parity(s))) for i, s in enumerate(sets)] + [(1, 900, int(op8.LOW), None, None)]
+    entries = spark.createDataFrame(rows, "token long, part long, left long, n long, bits binary")
+    got = {tuple(r) for r in op8.long_list_pairs(entries).collect()}
+    assert (0, 200) in got and {(i, 900) for i in range(201)} <= got  # what is like or not known stays
+    assert len(got) == 202
