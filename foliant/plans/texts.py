@@ -274,10 +274,10 @@ def section_alignment(spark, sf_dir):
 
 @query(None)
 def version_comparison(spark, sf_dir):
-    a, b = versions(spark, sf_dir)
+    a, b = map(compare.stored, versions(spark, sf_dir))  # read by every step below
     near = a.select("pair", F.col("sort_order").alias("a_order"), "title").join(b.select("pair", F.col("sort_order").alias("b_order"), F.replace("title", F.lit("PART-"), F.lit("Part ")).alias("other")), "pair")
     scores = near.select("pair", "a_order", "b_order", F.round(1 - F.levenshtein("title", "other") / F.greatest(F.length("title"), F.length("other")), 6).alias("score"))
-    return compare.section_changes(compare.align(a, b, scores), a, b, ["part 7"]).drop("old_text", "new_text")
+    return compare.section_changes(compare.stored(compare.align(a, b, scores)), a, b, ["part 7"]).drop("old_text", "new_text")
 
 
 def text_pairs(spark, sf_dir):
@@ -306,8 +306,8 @@ def alignment_degraded(spark, sf_dir):
 
 @query(None)
 def comparison_summaries(spark, sf_dir):
-    a, b = versions(spark, sf_dir)
-    aligned = compare.align(a, b)
+    a, b = map(compare.stored, versions(spark, sf_dir))  # read by every step below, as is the alignment
+    aligned = compare.stored(compare.align(a, b))
     return compare.comparison_summary(aligned, compare.section_changes(aligned, a, b, ["part 7"]))
 
 

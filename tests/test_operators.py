@@ -410,3 +410,21 @@ def test_a_reply_is_parsed_once(spark):
     found = rows.select(F.col("r").isNotNull().alias("valid"), "r.*")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") + found._jdf.queryExecution().optimizedPlan().toString().count("parse_json(") == 1
     assert (found.first()["executive_summary"], found.first()["roles"]) == ("x", ["a"])
+
+
+def test_texts_are_compared_by_slices_and_normal_forms_made_once(spark):
+    rows = [(i, f"One {i}. Two two.", f"One {i}. Two  two." if i % 3 == 0 else f"One {i}. Two three." if i % 3 == 1 else None) for i in range(300)] + [(300, None, None)]
+    found = compare.text_changes(spark.createDataFrame(rows, "id int, old_text string, new_text string").coalesce(1))
+    got = {r["id"]: (r["unchanged"], r["changed_words"], len(r["spans"])) for r in found.collect()}
+    assert all(got[i] == [(True, 0, 0), (False, 2, 2), (False, 4, 1)][i % 3] for i in range(300)) and got[300] == (True, 0, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{3,}") == 2 and "sha2" not in plan
+
+
+def test_short_sequences_have_the_blocks_of_long_ones():
+    from foliant.functions import difference as D
+
+    draw = random.Random(8)
+    for _ in range(3000):
+        old, new = ([draw.choice("abcd"[: draw.randint(1, 4)]) for _ in range(draw.randint(0, 8))] for _ in range(2))
+        assert D.short_blocks(old, new) == D.matching_blocks(*D.numbers(old, new)), (old, new)
