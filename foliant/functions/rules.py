@@ -106,7 +106,7 @@ def strip_markers(text: Column, valid: Column) -> Column:
 
 
 #: Where a text is cut into sentences, and the white space that regular expressions of Spark know.
-SENTENCE_END, BLANKS = re.compile(r"""(?<=[.!?])\s+(?=[A-Z0-9"'(])|(?<=\])\s+""", re.ASCII), " \t\n\x0b\f\r"
+SENTENCE_END, BLANKS = re.compile(r"""[.!?\]](?:(?<=\])\s+|(?<!\])\s+(?=[A-Z0-9"'(]))""", re.ASCII), " \t\n\x0b\f\r"
 
 
 def spans_of(text: str) -> Iterator[tuple[str, int, int]]:

@@ -25,6 +25,16 @@ def test_items_stand_by_their_claims(spark):
     ]
 
 
+def test_quotes_are_sought_once_and_replies_are_parsed_once(spark):
+    replies = spark.createDataFrame([(1, json.dumps({"risk": ["Late filing costs money [1]."]}))], "message_id long, raw string")
+    sources = spark.createDataFrame([(1, 1, "s")], "message_id long, citation_index int, content string")
+    verdicts = spark.createDataFrame([(1, 0, 1, "yes")], "message_id long, claim_no int, citation_index int, verdict string")
+    found = pipelines.extracted_items(replies, sources, verdicts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [_backing(") == 1 and "parse_json" not in plan
+    assert [(r["label"], r["quoted"]) for r in found.collect()] == [("Late filing costs money .", "s")]
+
+
 def test_budget_of_checks_leaves_later_items_unverified_but_kept(spark):
     reply = {"date": [f"Day {i} counts [1]." for i in range(8)]}
     replies = spark.createDataFrame([(1, json.dumps(reply))], "message_id long, raw string")
