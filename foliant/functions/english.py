@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,3 +144,68 @@ def stem(word: Column) -> Column:
 
 def with_stems(words: DataFrame, word: str, name: str = "stem") -> DataFrame:
     return words.withColumn(name, stem(F.col(word)))
+
+
+#: Words whose terms a worker keeps; words told apart by their endings, as patterns of Python.
+KNOWN_TERMS = 1 << 18
+_STOPPED, _OWN = frozenset(STOP_WORDS), OWN_STEMS | {k: k for k in KEPT}
+_FIRST, _REGION, _SHORT, _VOWEL, _AFTER_VOWEL = (re.compile(p) for p in (FIRST_REGION, REGION, SHORT, "[aeiouy]", "([aeiouy])y"))
+_PLURAL, _VERB, _FINAL_Y = re.compile("[aeiouy].+s$"), re.compile("(?:eedly|eed|ingly|edly|ing|ed)$"), re.compile("^(.+[^aeiouy])[yY]$")
+_TABLES = [(tuple(t), re.compile(f"(?:{longest_first(t)})$"), t) for t in (STEP_2, STEP_3)]
+_LAST_ENDS, _LAST = tuple(STEP_4), re.compile(f"(?:{longest_first(STEP_4)})$")
+_DOUBLED = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+
+
+def stem_of(word: str) -> str:
+    """stem of a Python string, for texts that are read word by word."""
+    if len(word) <= 2 or word in _OWN:
+        return _OWN.get(word, word)
+    w = _AFTER_VOWEL.sub(r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    found = _FIRST.search(w)
+    first = found.end() - found.start() if found else len(w)
+    found = _REGION.search(w[first:])
+    second = first + (found.end() if found else len(w) - first)
+    if w.endswith("s"):
+        if w.endswith("sses"):
+            w = w[:-2]
+        elif w.endswith("ies"):
+            w = w[:-2] if len(w) > 4 else w[:-1]
+        elif not w.endswith(("us", "ss")) and _PLURAL.search(w):
+            w = w[:-1]
+    elif w.endswith("ied"):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    if w in KEPT_LATER:
+        return w
+    found = w.endswith(("ed", "ing", "edly", "ingly")) and _VERB.search(w)
+    if found:
+        cut = w[: found.start()]
+        if found[0].startswith("eed"):
+            w = cut + "ee" if len(cut) >= first else w
+        elif _VOWEL.search(cut):
+            if cut.endswith(("at", "bl", "iz")):
+                w = cut + "e"
+            elif cut.endswith(_DOUBLED):
+                w = cut[:-1]
+            else:
+                w = cut + "e" if first >= len(cut) and _SHORT.search(cut) else cut
+    if w.endswith(("y", "Y")):
+        w = _FINAL_Y.sub(r"\1i", w)
+    for ends, pattern, table in _TABLES:
+        found = w.endswith(ends) and pattern.search(w)
+        if found and found.start() >= first:
+            end, cut = found[0], w[: found.start()]
+            if (end != "ogi" or cut.endswith("l")) and (end != "li" or cut.endswith(tuple("cdeghkmnrt"))) and (end != "ative" or len(cut) >= second):
+                w = cut + table[end]
+    found = w.endswith(_LAST_ENDS) and _LAST.search(w)
+    if found and found.start() >= second and (found[0] != "ion" or w[: found.start()].endswith(("s", "t"))):
+        w = w[: found.start()]
+    cut = w[:-1]
+    if (w.endswith("e") and (len(cut) >= second or (len(cut) >= first and not _SHORT.search(cut)))) or (w.endswith("ll") and len(cut) >= second):
+        w = cut
+    return w.replace("Y", "y")
+
+
+@lru_cache(KNOWN_TERMS)
+def term_of(word: str) -> str | None:
+    """The stem of a word of a text, None of a stop word."""
+    return None if word in _STOPPED else stem_of(word)

@@ -70,7 +70,7 @@ def _found(terms: list[str], rank: str, where: str) -> str:
 
 
 def index(spark, sf_dir):
-    return K.postings(table(spark, sf_dir, "documents"))
+    return K.listed_postings(table(spark, sf_dir, "documents"))
 
 
 def stored(spark, sf_dir) -> str:
@@ -93,8 +93,8 @@ def search_stems(spark, sf_dir):
 
 @query(f"WITH {_WORDS} SELECT term, count(*) AS texts, CAST(sum(len(positions)) AS BIGINT) AS occurrences, CAST(sum(list_sum(positions)) AS BIGINT) AS places FROM postings GROUP BY term")
 def search_postings(spark, sf_dir):
-    places = F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)
-    return index(spark, sf_dir).groupBy("term").agg(F.count("*").alias("texts"), F.sum(F.size("positions")).alias("occurrences"), F.sum(places).alias("places"))
+    places = F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + x)
+    return index(spark, sf_dir).groupBy("term").agg(F.sum(F.size("keys")).alias("texts"), F.sum(F.size("places")).alias("occurrences"), F.sum(places).alias("places"))
 
 
 @query(_found(["er", "re", "tion"], _all(["er", "re", "tion"]), "len(list_filter(t0, lambda p: list_contains(t1, p + 2))) > 0 AND t2 IS NOT NULL"))

@@ -23,6 +23,15 @@ def test_stems_are_the_published_ones(spark):
     assert [r["stem"] for r in odd] == [None, "", "a", "é", "123", "yyy"]
 
 
+def test_stems_of_texts_are_those_of_columns(spark):
+    rnd, ends = random.Random(3), "s ss sses ies ied us ed ing edly ingly eed eedly y ly ational ization ogi logi li fulness ative ative ment ion sion tion e ll al 7".split()
+    made = ["".join(rnd.choice("aeiouybcdgklmnprstwxzé") for _ in range(rnd.randint(0, 6))) + rnd.choice(ends) + rnd.choice(["", *ends]) for _ in range(20_000)]
+    words = sorted({*made, *STEMS, *E.OWN_STEMS, *E.KEPT, *E.KEPT_LATER, *E.STOP_WORDS, "", "a", "é", "yyy"})
+    got = E.with_stems(spark.createDataFrame([(w,) for w in words], "word string"), "word").collect()
+    assert [(r["word"], r["stem"]) for r in got if r["stem"] != E.stem_of(r["word"])] == [] and len(got) == len(words)
+    assert E.term_of("the") is None and E.term_of("running") == "run"
+
+
 def test_web_syntax(spark):
     def plain(query):
         return [[(p.stems, p.offsets, p.excluded) for p in branch] for branch in K.parse(spark, query)]
@@ -109,6 +118,24 @@ def test_positions_are_bounded(spark):
     assert got["alpha", 1] == list(range(1, 257)) and got["alpha", 2] == [16383] and got["beta", 2] == list(range(1, 257))
 
 
+def test_postings_are_grouped_where_texts_are_read_and_shuffled_once(spark, tmp_path, monkeypatch):
+    rows = [*texts(60), (90, "the of"), (91, ""), (92, "beta " * 16500 + "alpha alpha"), (93, "running run " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = K.postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want = {}
+    for i, text in rows:
+        for term, at in places(text).items():
+            want[term, i] = sorted({min(p, 16383) for p in at})[:256]
+    want |= {("run", 93): list(range(1, 257))}
+    for listed in (1, 40, K.LISTED):  # a stretch may be one text
+        monkeypatch.setattr(K, "LISTED", listed)
+        assert {(r["term"], r["doc_id"]): r["positions"] for r in K.postings(docs).collect() if r["term"] != "the"} == want
+        K.write_postings(K.listed_postings(docs), str(tmp_path / f"i{listed}"))
+        index = K.stored_postings(spark, str(tmp_path / f"i{listed}"), ["alpha", "run"])
+        assert {(r["term"], r["doc_id"]): r["positions"] for r in index.collect()} == {k: v for k, v in want.items() if k[0] in ("alpha", "run")}
+
+
 def test_search_reads_the_folders_of_its_terms(spark, tmp_path):
     K.write_postings(K.postings(spark.createDataFrame(texts(20), "doc_id long, text string")), str(tmp_path / "index"))
     plan = K.stored_postings(spark, str(tmp_path / "index"), ["alpha"])._jdf.queryExecution().executedPlan().toString()
