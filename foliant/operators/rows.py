@@ -113,11 +113,11 @@ def narrated_conflicts(conflicts: DataFrame, statements: DataFrame) -> DataFrame
 
     statements: conflict_id, place, name, text.
     """
-    named = F.coalesce("name", F.lit("Unknown document"))
-    said = F.array_sort(F.collect_list(F.struct("place", named.alias("name"), snippet(F.coalesce("text", F.lit("")), 200).alias("text"))))
-    of = statements.filter("place <= 4").groupBy("conflict_id").agg(said.alias("_said"))
-    names = statements.groupBy("conflict_id").agg(F.array_join(F.array_sort(F.collect_set(named)), ", ").alias("_names"))
-    rows = conflicts.join(of, "conflict_id", "left").join(names, "conflict_id", "left")
+    said = F.struct("place", "name", "text")
+    rows = statements.select("conflict_id", "place", F.coalesce("name", F.lit("Unknown document")).alias("name"), F.when(F.col("place") <= 4, snippet(F.coalesce("text", F.lit("")), 200)).alias("text"))
+    of = rows.groupBy("conflict_id").agg(F.collect_list(F.when(F.col("place") <= 4, said)).alias("_said"), F.collect_set("name").alias("_names"))
+    of = of.select("conflict_id", F.when(F.size("_said") > 0, F.array_sort("_said")).alias("_said"), F.array_join(F.array_sort("_names"), ", ").alias("_names"))
+    rows = conflicts.join(of, "conflict_id", "left")
     head = F.concat(F.lit("\n• ["), F.col("severity"), F.lit("] "), F.coalesce("topic", F.lit("Unlabelled conflict")), F.lit(" — conflicting sources: "), F.coalesce("_names", F.lit("")))
     lines = F.transform(F.coalesce("_said", F.filter("_said", lambda s: F.lit(False))), lambda s: F.concat(F.lit("    - "), s["name"], F.lit(': "'), s["text"], F.lit('"')))
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))

@@ -106,8 +106,8 @@ def narrated_conflicts(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     name = F.when(F.col("l_suppkey") % 5 > 0, F.concat(F.lit("Doc "), F.col("l_suppkey").cast("string")))
     said = F.repeat(F.concat(F.lit("x"), F.col("l_partkey").cast("string"), F.lit(" ")), 60)
-    statements = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("conflict_id"), F.row_number().over(order).alias("place"), name.alias("name"), said.alias("text"))
-    return rows.narrated_conflicts(conflicts, statements)
+    numbered = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", F.row_number().over(order).alias("place"))  # texts are made after the shuffle
+    return rows.narrated_conflicts(conflicts, numbered.select(F.col("l_orderkey").alias("conflict_id"), "place", name.alias("name"), said.alias("text")))
 
 
 #: Settings of every shape.

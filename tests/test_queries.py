@@ -69,3 +69,9 @@ def test_stub_embeddings_round_small_negative_numbers_as_their_sql_does(spark, t
     got = [(r["doc_id"], r["vector"]) for r in registry.QUERIES["stub_embeddings"](spark, str(tmp_path)).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))  # repr tells -0.0 from 0.0
     assert "-0.0," in repr(expected)
+
+
+def test_narrated_conflicts_reads_statements_once_and_makes_their_texts_after_the_shuffle(spark):
+    plan = registry.QUERIES["narrated_conflicts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1
+    assert plan.index("repeat(") < plan.index("Window [")  # the root comes first
