@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,8 +69,8 @@ def marked_lines(page_lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.drop("_norm", "_first", "_last", "_n")
 
 
-def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds number, title and level to heading lines (key, page, line_no, line); other lines go.
+def headings(rows: DataFrame, key: str = "doc_id", *, every: bool = False) -> DataFrame:
+    """Adds number, title and level to heading lines (key, page, line_no, line); other lines go, or with every stay without them.
 
     Numbered lines are headings if short enough, or whatever their length if in bold. Until the first numbered one of the document, lines set larger than the body text
     are headings, and where there are no fonts, capitals, of level 2. Optional columns: size, body and bold of the line's font (null: none at hand);
@@ -92,8 +91,8 @@ def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         fits = F.when(own, short | bold if kind in ("decimal", "single") else short).otherwise(fits)
         depths = F.when(own, F.size(F.split("_found", r"\.")) if depth == 0 else F.lit(depth)).otherwise(depths)
     appendix = F.col("_kind") == [kind for kind, _, _ in NUMBERING].index("appendix")
-    rows = rows.filter(~running).withColumn("_kind", tried).withColumns({"_found": found, "_rest": rest, "_fits": fits})
-    taken = (F.col("_rest") != "") & F.col("_fits")
+    rows = (rows if every else rows.filter(~running)).withColumn("_kind", tried).withColumns({"_found": found, "_rest": rest, "_fits": fits})
+    taken = (F.col("_rest") != "") & F.col("_fits") & ~running
     number = F.when(taken, F.when(appendix, F.concat(F.lit("Appendix "), F.col("_found"))).otherwise(F.col("_found")))
     title, level = F.when(taken, F.col("_rest")), F.when(taken, depths)
     out = rows.withColumns({"number": number, "title": title, "level": level.cast("int")}).drop("_kind", "_found", "_rest", "_fits")
@@ -101,9 +100,16 @@ def headings(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     fresh = ~F.coalesce(F.max(F.col("number").isNotNull()).over(before), F.lit(False))
     shape = F.when(have["size"].isNotNull() & have["body"].isNotNull(), font_heading(F.col("line"), have["size"], have["body"], bold))
     shape = F.coalesce(shape, F.when(have["size"].isNull() & ~solo & is_caps_heading(F.col("line")), 2))
-    out = out.withColumn("_shape", F.when(F.col("number").isNull() & fresh, shape))
+    out = out.withColumn("_shape", F.when(F.col("number").isNull() & fresh & ~running, shape))
     out = out.withColumns({"title": F.coalesce("title", F.when(F.col("_shape").isNotNull(), F.col("line"))), "level": F.coalesce("level", "_shape")})
-    return out.filter("title IS NOT NULL").drop("_shape")
+    return (out if every else out.filter("title IS NOT NULL")).drop("_shape")
+
+
+def in_sections(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds heading and section (the sort_order of the last heading at or before the line, null before the first; see section_tree) to every line with what headings tells of it."""
+    heading = F.col("title").isNotNull()
+    before = Window.partitionBy(key).orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"heading": heading, "section": F.nullif(F.count_if(heading).over(before), F.lit(0))})
 
 
 def font_heading(line, size, body, bold):
@@ -261,6 +267,7 @@ def segments(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 CHUNK = "struct<content:string,token_count:long,page:int,end_page:int,contains_table:boolean,contains_list:boolean,forced_split:boolean>"
+CHUNKS = pa.list_(pa.struct([("content", pa.string()), ("token_count", pa.int64()), ("page", pa.int32()), ("end_page", pa.int32()), *[(c, pa.bool_()) for c in ("contains_table", "contains_list", "forced_split")]]))
 
 
 def chunk(segment_rows: DataFrame, *, target: int = 800, least: int = 500, most: int = 1000, overlap: int = 78, count: Callable[[str], int] = token_estimate, table_pages: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
@@ -275,9 +282,10 @@ def chunk(segment_rows: DataFrame, *, target: int = 800, least: int = 500, most:
     grouped = segment_rows.groupBy(key, "section").agg(F.min("segment").alias("_first"), parts.alias("_parts"))
     limits = Limits(target, least, max(most, target), overlap)
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def pack(sections: pd.Series) -> pd.Series:
-        return pd.Series([pack_section([(p["kind"], p["text"], p["page"], p["end_page"]) for p in parts], limits, count) for parts in sections])
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def pack(sections: pa.Array) -> pa.Array:
+        chunks = [pack_section([(p["kind"], p["text"], p["page"], p["end_page"]) for p in parts.as_py()], limits, count) for parts in sections]
+        return pa.array(chunks, CHUNKS)
 
     packed = grouped.select(key, "section", "_first", F.posexplode(pack("_parts")).alias("_place", "_chunk"))
     order = Window.partitionBy(key).orderBy("_first", "_place")

@@ -75,3 +75,19 @@ def test_narrated_conflicts_reads_statements_once_and_makes_their_texts_after_th
     plan = registry.QUERIES["narrated_conflicts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [l_orderkey") == 1
     assert plan.index("repeat(") < plan.index("Window [")  # the root comes first
+
+
+def test_chunk_documents_marks_lines_once_and_places_them_by_counting_headings(spark):
+    from foliant.operators import library, structure
+    from foliant.plans import texts
+
+    plan = registry.QUERIES["chunk_documents"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_norm" not in plan and "Generate explode(split(" not in plan  # stored lines are read
+    lines = structure.marked_lines(texts.policy_lines(spark, DATA)).cache()
+    told, heads = structure.headings(lines, every=True), structure.headings(lines)
+    columns = ["doc_id", "line_no", "number", "title", "level"]
+    assert told.count() == lines.count()
+    assert sorted(map(str, told.filter("title IS NOT NULL").select(columns).collect())) == sorted(map(str, heads.select(columns).collect()))
+    tree = structure.section_tree(heads, lines.groupBy("doc_id").agg({"page": "max"}).toDF("doc_id", "last_page"))
+    want = library.carried_sections(lines, tree).select("doc_id", "line_no", "section").collect()
+    assert sorted(map(str, structure.in_sections(told).select("doc_id", "line_no", "section").collect())) == sorted(map(str, want))
