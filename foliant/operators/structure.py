@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -284,8 +286,8 @@ def chunk(segment_rows: DataFrame, *, target: int = 800, least: int = 500, most:
 
     @F.arrow_udf(f"array<{CHUNK}>")
     def pack(sections: pa.Array) -> pa.Array:
-        chunks = [pack_section([(p["kind"], p["text"], p["page"], p["end_page"]) for p in parts.as_py()], limits, count) for parts in sections]
-        return pa.array(chunks, CHUNKS)
+        of = iter(zip(*[column.to_pylist() for column in sections.flatten().flatten()[1:]]))  # kind, text, page and end_page
+        return pa.array([pack_section(list(islice(of, n)), limits, count) for n in pc.list_value_length(sections).to_pylist()], CHUNKS)
 
     packed = grouped.select(key, "section", "_first", F.posexplode(pack("_parts")).alias("_place", "_chunk"))
     order = Window.partitionBy(key).orderBy("_first", "_place")
